@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +34,23 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> SparkSession:
+    """Keeps the Arrow batches that workers get small enough for long texts and packed rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(rows, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a shared folder when the driver's Python ends."""
+    atexit.register(_remove_quietly, spark, path)
+
+
 def _remove_quietly(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
@@ -46,10 +62,10 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts the lineage: an executor that is
     lost afterwards costs no recomputation. The folder goes when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    atexit.register(_remove_quietly, spark, path)
+    remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
@@ -109,5 +125,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
         raise RuntimeError(f"components did not settle in {most} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
-
-LONG = T.LongType()

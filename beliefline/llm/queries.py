@@ -3,14 +3,72 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import ann, bpe, chat, cws, langid, mixing, quality, warc
+from .common import crc_mod, remove_at_exit, shared_path, table
 from .minhash import near_duplicates
+from .substrings import repeated_passages
+
+
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    return langid.predict(docs, langid.train(docs.where(~out))).withColumn("held_out", out)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    return quality.score(docs, quality.train(docs, labels.where(~out))).withColumn("held_out", out)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(bpe.encode(table(spark, sf_dir, "documents")))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(warc.with_revisits(table(spark, sf_dir, "pages")), path)
+    remove_at_exit(spark, path)
+    back = warc.read(spark, path)
+    page = F.col("record_id").cast("long").alias("page_id")
+    return back.select(page, "payload_bytes", F.coalesce("computed_digest", "payload_digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.format_chats(turns.union(more)))
 
 
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op3_source_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op10_chat_formatting": chat.ORACLE}
