@@ -91,37 +91,37 @@ def as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in like.columns))
 
 
+def few(df: DataFrame, rows: int, each: int = 500_000) -> DataFrame:
+    """df in as many tasks as ``rows`` rows call for, two a core at least: small tables need no more."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // each))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components", most: int = 60) -> DataFrame:
     """(node, component) of an undirected graph; component is the least node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014): each step points the neighbours of a node to
     the least of them, so the number of edges never grows and hub nodes only ever take part in aggregations and
-    skew-splittable joins. A step's edges are written to the shared folder. Nodes without an edge do not appear;
-    loops and null ends are ignored.
+    skew-splittable joins. A step's edges are written to the shared folder. The end is reached when every node has
+    one parent and no parent has one. Nodes without an edge do not appear; loops and null ends are ignored.
     """
-    spark = edges.sparkSession
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    # parents are less than their children from the start
-    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = materialise(e, name)
-    before = None
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}")
+    e = materialise(e.distinct(), name)
     for _ in range(most):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(e.select("v", F.lit(0), F.lit(1)))
+        open_ends = ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or (child = 1 and parent = 1)")
+        if open_ends.agg(F.count("*")).first()[0] == 0:
+            break
+        rows = e.count()
+        both = e.union(e.select("v", "u"))
         # large star: neighbours above u point to the least around u
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(least.select("u", F.least("m", "u").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its lesser neighbours point to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = materialise(small, name)
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low)
+        after = materialise(few(small.distinct(), rows), name)
         drop_materialised(e)
         e = after
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-

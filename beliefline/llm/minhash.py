@@ -6,7 +6,8 @@ so groups of copies of any size cost one row after a map-side combine. Each dist
 of one permutation; an empty bin copies the first non-empty one of its own random order (optimal densification), so
 each bin still collides with the probability of the Jaccard similarity. Every bucket that holds two sets or more
 proposes a star, from each member to a centre, never all pairs. Full sets confirm each proposal exactly. Buckets
-whose members are still apart propose a new star around another centre, until a round confirms nothing new.
+whose members are still apart propose stars around four times as many centres as before, until a round confirms
+nothing new.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import connected_components, drop_materialised, materialise
+from .common import connected_components, drop_materialised, few, materialise
 
 BANDS, ROWS = 32, 4
 
@@ -141,32 +142,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = marked.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     banded = sets.select("set_id", F.explode("bands").alias("key"))
     # a bucket's centre is the member whose id differs least from the key: another one in each bucket of a group
-    shared = banded.groupBy("key").agg(F.min(F.expr("set_id ^ key")).alias("low"), F.max(F.expr("set_id ^ key")).alias("high")).where("low <> high").select("key")
-    buckets = materialise(banded.join(shared, "key"), "buckets")
+    shared = banded.groupBy("key").agg(F.min(F.expr("set_id ^ key")).alias("low"), F.max(F.expr("set_id ^ key")).alias("high")).where("low <> high")
+    buckets = materialise(banded.join(shared.select("key", F.expr("low ^ key").alias("centre")), "key"), "buckets")
     reps = buckets.select("set_id").distinct().join(sets.select("set_id", "rep"), "set_id")
     wanted = materialise(
         read.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").select("set_id", "text").mapInArrow(_texts(k), "set_id long, text string").dropDuplicates(["set_id"]),
         "texts",
     )
-    links, found, component, tries = None, None, None, 0
-    while True:
-        salt = F.xxhash64("key", F.lit(tries))
-        now = buckets if component is None else buckets.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        if component is None:
-            now = now.withColumn("component", F.col("set_id"))
-        centres = now.groupBy("key").agg(F.min_by("set_id", F.col("set_id").bitwiseXOR(salt)).alias("centre"), F.min_by("component", F.col("set_id").bitwiseXOR(salt)).alias("of"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        pairs = now.join(centres, "key").where("component <> of").select(F.col("set_id").alias("a"), F.col("centre").alias("b")).distinct()
-        if links is not None:
-            pairs = pairs.join(found, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(wanted.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a").join(wanted.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
-        new = materialise(sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
-        tries += 1
-        if new.isEmpty():
-            break
-        found = pairs if found is None else found.union(pairs)
-        links = new if links is None else links.union(new)
-        component = connected_components(links)
+        return materialise(sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+
+    new = confirmed(buckets.where("set_id <> centre").select(F.col("set_id").alias("a"), F.col("centre").alias("b")).distinct())
+    component, centres = None, 1
+    while not new.isEmpty():
+        if component is None:
+            component = connected_components(new)
+        else:  # links join components, which point to the least of theirs
+            merged = connected_components(new.select(F.col("component").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
+            alone = merged.join(component, merged["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
+            component = component.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
+        component = materialise(few(component, buckets.count()), "component")
+        centres *= 4
+        now = buckets.select("key", "set_id").join(component.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
+        stars = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *(F.min(F.col("set_id").bitwiseXOR(F.xxhash64("key", F.lit(j)))).alias(f"c{j}") for j in range(centres))).where("low <> high")
+        stars = stars.select("key", F.array_distinct(F.array(*(F.col(f"c{j}").bitwiseXOR(F.xxhash64("key", F.lit(j))) for j in range(centres)))).alias("centres"))
+        pairs = now.join(stars, "key").select(F.col("set_id").alias("a"), "component", F.explode("centres").alias("b")).where("a <> b").distinct()
+        other = component.select(F.col("node").alias("b"), F.col("component").alias("of"))
+        pairs = pairs.join(other, "b", "left").select("a", "b", "component", F.coalesce("of", "b").alias("other")).where("component <> other")
+        pairs = materialise(few(pairs, buckets.count()), "pairs")
+        new = confirmed(pairs.select("a", "b")).join(pairs, ["a", "b"])
     drop_materialised(wanted)
     drop_materialised(buckets)
     known = marked.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
