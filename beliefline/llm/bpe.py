@@ -1,10 +1,11 @@
 """Byte-level BPE over a corpus: each distinct pre-token is encoded once, wherever it stands.
 
 ``encode`` splits whole texts into pre-tokens with positions. A task gathers blocks of texts; a block is its distinct
-pre-tokens and, for each text, the sequence of their places in that list. The distinct pre-tokens of all blocks are
-shuffled by hash, so that equal ones meet and each is encoded once; their ids return to their blocks, where each
-text's ids are put together by position. What moves is a pre-token once a block and some bits a position, never a row
-a position. ``decode`` looks ids up in the table of token bytes, whose size the vocabulary fixes.
+pre-tokens and, for each text, the sequence of their places in that list. One exchange carries both: the sequences to
+their block's partition, the distinct pre-tokens by hash, so that equal ones meet and each is encoded once. Their ids
+are then cogrouped with the sequences, which need not move again, and each text's ids are put together by position.
+What moves is a pre-token once a block and some bits a position, never a row a position. A block's list depends on its
+texts alone, so a task that is run again after the loss of an executor gives the same one. ``decode`` looks ids up in the table of token bytes, whose size the vocabulary fixes.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkernels as K
-from .common import bounded_batches, materialise
+from .common import bounded_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens of a block at least, if there are so many.
-BLOCK = 3_000_000
+BLOCK = 8_000_000
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Code points with the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -98,6 +99,16 @@ def pre_tokens(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers by byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(x.T).view("<u4").reshape(-1)
+
+
 class _Block:
     """Distinct pre-tokens and the texts made of them."""
 
@@ -125,7 +136,7 @@ class _Block:
         self.distinct += len(u)
 
     def flush(self, block: int) -> Iterator[tuple]:
-        """(block, kind, bucket, head, body, doc_ids, counts): words have kind 0 and go to buckets, texts have 1."""
+        """(key, block, head, body, doc_ids, counts): words go by their bucket (keys below 0), texts by their block."""
         u, index, inverse = np.unique(np.concatenate(self.uniques), return_index=True, return_inverse=True)
         often = np.zeros(len(u), np.int64)
         for p in self.places:
@@ -136,17 +147,15 @@ class _Block:
         sizes, blob = np.concatenate(self.sizes), np.concatenate(self.blobs)
         begin = np.cumsum(sizes) - sizes
         bucket = (u % np.uint64(self.buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
+        by = np.lexsort((rank, bucket))
         cut = np.searchsorted(bucket[by], np.arange(self.buckets + 1))
-        press = zstandard.ZstdCompressor(level=1).compress
+        press = zstandard.ZstdCompressor(level=3).compress
         for k in np.flatnonzero(np.diff(cut)):
             mine = by[cut[k] : cut[k + 1]]
             size = sizes[index[mine]]
-            words = blob[K.ragged(begin[index[mine]], size)]
-            yield block, 0, int(k), press(np.concatenate([rank[mine], size]).astype(np.uint32).tobytes()), press(words.tobytes()), None, None
+            yield -1 - int(k), block, _pack(np.concatenate([np.diff(rank[mine], prepend=0), size])), press(blob[K.ragged(begin[index[mine]], size)].tobytes()), None, None
         for p, (doc_ids, counts) in zip(self.places, self.rows, strict=True):
-            x = rank[inverse[p]].astype(np.uint32).view(np.uint8).reshape(-1, 4)
-            yield block, 1, -1, None, press(np.ascontiguousarray(x.T).tobytes()), doc_ids, counts
+            yield block, block, None, _pack(rank[inverse[p]]), doc_ids, counts
 
 
 def _split(ids: pa.DataType, buckets: int, schema: pa.Schema):
@@ -158,9 +167,9 @@ def _split(ids: pa.DataType, buckets: int, schema: pa.Schema):
             if not block.rows:
                 return
             number = (TaskContext.get().partitionId() << 32) + seq
-            for b, kind, bucket, head, body, doc_ids, counts in block.flush(number):
-                lists = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids) if kind else pa.nulls(1, pa.list_(ids))
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([head], pa.binary()), pa.array([body], pa.binary()), lists, pa.array([counts.tolist() if kind else None], pa.list_(pa.int64()))], schema=schema)
+            for key, b, head, body, doc_ids, counts in block.flush(number):
+                lists = pa.nulls(1, pa.list_(ids)) if doc_ids is None else pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([b]), pa.array([head], pa.binary()), pa.array([body], pa.binary()), lists, pa.array([None if counts is None else counts.tolist()], pa.list_(pa.int64()))], schema=schema)
             seq, block = seq + 1, _Block(ids, buckets)
 
         for batch in batches:
@@ -187,21 +196,18 @@ def _encoding(path: str):
 
 
 def _encode_words(path: str):
-    """Each distinct word of a bucket is encoded once; rows come in by bucket."""
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("head", pa.binary()), ("body", pa.binary())])
+    """Each distinct word that comes to a task is encoded once; texts are passed over."""
+    schema = pa.schema([("key", pa.int64()), ("places", pa.binary()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = _encoding(path)._encode_single_piece
         known: dict[bytes, list[int]] = {}
-        bucket, press, unpress = None, zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != bucket:
-                    bucket = row["bucket"]
-                    known.clear()
-                head = np.frombuffer(unpress(row["head"]), np.uint32)
+            for i in np.flatnonzero(batch.column(0).to_numpy() < 0).tolist():
+                head = _unpack(batch.column(2)[i].as_buffer())
                 places, sizes = head[: len(head) // 2], head[len(head) // 2 :]
-                blob, out, at = unpress(row["body"]), [], 0
+                blob, out, at = unpress(batch.column(3)[i].as_buffer()), [], 0
                 for size in sizes.tolist():
                     word = blob[at : at + size]
                     at += size
@@ -210,45 +216,35 @@ def _encode_words(path: str):
                         ids = known[word] = piece(word)
                     out.append(ids)
                 lengths = np.fromiter(map(len, out), np.uint32, len(out))
-                ids = np.fromiter((i for x in out for i in x), np.uint32, int(lengths.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([0], pa.int32()), pa.array([press(np.concatenate([places, lengths]).tobytes())], pa.binary()), pa.array([press(ids.tobytes())], pa.binary())], schema=schema)
+                ids = np.fromiter((t for x in out for t in x), np.uint32, int(lengths.sum()))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, 1), pa.array([_pack(np.concatenate([places, lengths]))], pa.binary()), pa.array([_pack(ids)], pa.binary())], schema=schema)
 
     return run
 
 
 def _assemble(ids: pa.DataType):
-    """Words of a block come first, then its texts."""
+    """Cogroups a block's texts with the ids of its words; groups of words alone (keys below 0) give nothing."""
     schema = pa.schema([("doc_id", ids), ("ids", pa.list_(pa.int32()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress, block, parts, table = zstandard.ZstdDecompressor().decompress, None, [], None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if number != block:
-                    block, parts, table = number, [], None
-                body = unpress(batch.column(3)[i].as_buffer())
-                if kind == 0:
-                    head = np.frombuffer(unpress(batch.column(2)[i].as_buffer()), np.uint32)
-                    parts.append((head[: len(head) // 2].astype(np.int64), head[len(head) // 2 :].astype(np.int64), np.frombuffer(body, np.uint32).astype(np.int32)))
-                    continue
-                doc_ids, counts = batch.column(4)[i].values, batch.column(5)[i].values.to_numpy()
-                if table is None and parts:
-                    places = np.concatenate([x[0] for x in parts])
-                    order = np.argsort(places)
-                    size = np.concatenate([x[1] for x in parts])
-                    table = (np.cumsum(size) - size)[order], size[order], np.concatenate([x[2] for x in parts])
-                    parts = []
-                x = np.frombuffer(body, np.uint8).reshape(4, -1)
-                place = np.ascontiguousarray(x.T).view(np.uint32).reshape(-1).astype(np.int64)
-                if table is None:
-                    found, made = np.zeros(0, np.int32), np.zeros(len(counts) + 1, np.int64)
-                else:
-                    begin, size, flat = table
-                    lengths = size[place]
-                    found = flat[K.ragged(begin[place], lengths)]
-                    made = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(made.astype(np.int32)), pa.array(found))], schema=schema)
+    def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0 or not texts.num_rows:
+            return schema.empty_table()
+        places, sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for head, body in zip(words["places"], words["ids"], strict=True):
+            head = _unpack(head.as_buffer()).astype(np.int64)
+            places.append(np.cumsum(head[: len(head) // 2]))
+            sizes.append(head[len(head) // 2 :])
+            flat.append(_unpack(body.as_buffer()).astype(np.int32))
+        order = np.argsort(np.concatenate(places))
+        size, flat = np.concatenate(sizes), np.concatenate(flat)
+        begin, size = (np.cumsum(size) - size)[order], size[order]
+        out = []
+        for body, doc_ids, counts in zip(texts["body"], texts["doc_ids"], texts["counts"], strict=True):
+            place, counts = _unpack(body.as_buffer()).astype(np.int64), counts.values.to_numpy()
+            lengths = size[place]
+            made = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+            out.append(pa.RecordBatch.from_arrays([doc_ids.values, pa.ListArray.from_arrays(pa.array(made.astype(np.int32)), pa.array(flat[K.ragged(begin[place], lengths)]))], schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
 
     return run
 
@@ -265,15 +261,13 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     buckets = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType
     arrow, name = to_arrow_type(kind), kind.simpleString()
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("head", pa.binary()), ("body", pa.binary()), ("doc_ids", pa.list_(arrow)), ("counts", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("head", pa.binary()), ("body", pa.binary()), ("doc_ids", pa.list_(arrow)), ("counts", pa.list_(pa.int64()))])
     split = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _split(arrow, buckets, schema), f"block long, kind int, bucket int, head binary, body binary, doc_ids array<{name}>, counts array<long>"
+        _split(arrow, buckets, schema), f"key long, block long, head binary, body binary, doc_ids array<{name}>, counts array<long>"
     )
-    split = materialise(split, "bpe", by="kind")
-    words = split.where("kind = 0").select("block", "bucket", "head", "body").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path), "block long, kind int, head binary, body binary")
-    words = words.select("*", F.lit(None).cast(f"array<{name}>").alias("doc_ids"), F.lit(None).cast("array<long>").alias("counts"))
-    texts = split.where("kind = 1").select("block", F.lit(1).alias("kind"), "head", "body", "doc_ids", "counts")
-    return words.union(texts).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_assemble(arrow), f"doc_id {name}, ids array<int>")
+    dealt = split.repartition("key")  # both branches take all columns, so that they share this exchange
+    words = dealt.mapInArrow(_encode_words(path), "key long, places binary, ids binary")
+    return dealt.groupBy("key").cogroup(words.groupBy("key")).applyInArrow(_assemble(arrow), f"doc_id {name}, ids array<int>")
 
 
 @lru_cache(maxsize=2)
