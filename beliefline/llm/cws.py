@@ -25,18 +25,25 @@ from .common import bounded_batches
 SAMPLES = 64
 
 
-def _uniforms(h: np.ndarray, k: int) -> list[np.ndarray]:
-    """Five uniform numbers in (0, 1) for each hash and sample, from 21 bits each."""
+def _uniforms(h: np.ndarray, columns: np.ndarray) -> list[np.ndarray]:
+    """Five uniform numbers in (0, 1) for each hash and sample, from 21 bits each of two related 64-bit hashes."""
+    x = K.mix(h[:, None] ^ K.random_words(int(columns[-1]) + 1, 10)[None, columns])
+    y = x * np.uint64(0xD1B54A32D192ED03)
+    y ^= y >> np.uint64(29)
+    y *= np.uint64(0x94D049BB133111EB)
+    parts = (x >> np.uint64(43), x >> np.uint64(22), x >> np.uint64(1), y >> np.uint64(43), y >> np.uint64(22))
     out = []
-    for part in range(2):
-        x = K.mix(h[:, None] ^ K.random_words(k, 10 + part)[None, :])
-        out += [((x >> np.uint64(21 * i)) & np.uint64(0x1FFFFF)).astype(np.float32) for i in range(3)]
-    return [(u + np.float32(0.5)) / np.float32(1 << 21) for u in out[:5]]
+    for p in parts:
+        u = (p & np.uint64(0x1FFFFF)).view(np.int64).astype(np.float32)
+        u += np.float32(0.5)
+        u *= np.float32(1 / (1 << 21))
+        out.append(u)
+    return out
 
 
-def samples(h: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ln a, t) for each weighted term and sample."""
-    u = _uniforms(h, k)
+def samples(h: np.ndarray, weight: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ln a, t) for each weighted term and the given samples."""
+    u = _uniforms(h, columns)
     r, log_c = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3]))
     t = np.floor(np.log(weight.astype(np.float32))[:, None] / r + u[4])
     return log_c - r * (t - u[4]) - r, t
@@ -59,17 +66,17 @@ def signatures(data: np.ndarray, offsets: np.ndarray, k: int = SAMPLES) -> np.nd
     h, weight = terms[pairs // most], pairs % most
     first = np.searchsorted(row, np.arange(n + 1))
     have = np.flatnonzero(np.diff(first))
-    step = max(1, (1 << 22) // max(1, len(pairs)))
-    for a in range(0, k, step):  # some samples at a time, if there are many terms
-        cols = np.arange(a, min(k, a + step))
-        log_a, t = samples(h, weight, k) if step >= k else (x[:, cols] for x in samples(h, weight, k))
-        bits = log_a.astype(np.float32).view(np.int32).astype(np.int64)
-        bits = np.where(bits < 0, bits ^ 0x7FFFFFFF, bits)  # in the order of the numbers
-        rank = (bits << 32) + np.arange(len(pairs))[:, None]
-        for i in range(0, len(have), 512):  # some texts at a time
-            some = have[i : i + 512]
+    for a in range(0, k, 16):  # some samples at a time
+        cols = np.arange(a, min(k, a + 16))
+        log_a, t = samples(h, weight, cols)
+        bits = log_a.view(np.int32).astype(np.int64)
+        bits ^= (bits >> 63) & 0x7FFFFFFF  # in the order of the numbers
+        bits <<= 32
+        bits += np.arange(len(pairs))[:, None]
+        for i in range(0, len(have), 256):  # some texts at a time
+            some = have[i : i + 256]
             lo, hi = first[some[0]], first[some[-1] + 1]
-            best = np.minimum.reduceat(rank[entry[lo:hi]], first[some] - lo, axis=0) & 0xFFFFFFFF
+            best = np.minimum.reduceat(bits[entry[lo:hi]], first[some] - lo, axis=0) & 0xFFFFFFFF
             chosen = K.mix(h[best] ^ (t[best, np.arange(len(cols))[None, :]].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
             sig[some[:, None], cols[None, :]] = (chosen >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     return sig
@@ -121,14 +128,16 @@ def _edited(k: int, share: int, ids: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.RecordBatch | None = None
         for batch in batches:
-            for part, _, _ in K.text_blocks(batch):
+            for part, _, _ in K.text_blocks(batch, size=2 * K.CHUNK):
                 rows = part if carry is None else pa.Table.from_batches([carry, part]).combine_chunks().to_batches()[0]
                 carry = rows.slice(rows.num_rows - 1)
                 if rows.num_rows < 2:
                     continue
                 data, offsets, _ = clean_utf8(*K.utf8(rows.column(2)))
                 n, blob, at = _edit(data, offsets, share)
-                own, other = signatures(data, offsets, k), signatures(np.frombuffer(blob, np.uint8), at, k)
+                # texts and edited texts share most words, whose numbers are drawn once
+                both = signatures(np.concatenate([data, np.frombuffer(blob, np.uint8)]), np.concatenate([offsets, offsets[-1] + at[1:]]), k)
+                own, other = both[: rows.num_rows], both[rows.num_rows :]
                 real = np.flatnonzero(~rows.column(1).to_numpy(zero_copy_only=False)[:-1])
                 if len(real):
                     yield pa.RecordBatch.from_arrays([
