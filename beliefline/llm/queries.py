@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import ann, bpe, chat, cws, langid, mixing, quality, warc
 from .common import crc_mod, remove_at_exit, shared_path, table
 from .minhash import near_duplicates
-from .substrings import repeated_passages
+from .substrings import by_document, repeated_passages
 
 
 def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return by_document(repeated_passages(table(spark, sf_dir, "documents")))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
