@@ -30,7 +30,7 @@ from .common import bounded_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens of a block at least, if there are so many.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Code points with the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
