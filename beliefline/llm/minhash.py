@@ -5,7 +5,8 @@ five-word shingles, or the whole sequence where it is shorter. Documents with eq
 so groups of copies of any size cost one row after a map-side combine. Each distinct set gets ``bands * rows`` bins
 of one permutation; an empty bin copies the first non-empty one of its own random order (optimal densification), so
 each bin still collides with the probability of the Jaccard similarity. Every bucket that holds two sets or more
-proposes a star, from each member to a centre, never all pairs. Full sets confirm each proposal exactly. Buckets
+proposes a star, from each member to a centre, never all pairs. A proposal whose sketches (the bins) are far below the
+threshold goes; full sets confirm the others exactly. Buckets
 whose members are still apart propose stars around four times as many centres as before, until a round confirms
 nothing new.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import textkernels as K
 from .common import connected_components, drop_materialised, few, materialise
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS, SHORT = 32, 4, 0.25
 
 
 def densified(hashes: np.ndarray, offsets: np.ndarray, bins: int) -> np.ndarray:
@@ -68,28 +69,31 @@ def set_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _signatures(id_type: pa.DataType, bands: int, rows: int, k: int):
-    schema = pa.schema([("doc_id", id_type), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", id_type), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in K.text_blocks(batch):
                 h, o = K.shingle_sets(K.Words(data, offsets, lower=True), k)
                 sizes = np.diff(o)
-                keys = band_keys(densified(h, o, bands * rows), bands, rows).view(np.int64)
+                sig = densified(h, o, bands * rows)
+                keys = band_keys(sig, bands, rows).view(np.int64)
+                sketch = np.ascontiguousarray((K.mix(sig) >> np.uint64(48)).astype("<u2"))
+                sketches = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((np.arange(part.num_rows + 1) * sketch.shape[1] * 2).astype(np.int32)), pa.py_buffer(sketch)])
                 have = np.flatnonzero(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)), pa.array(keys[have].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(set_ids(h, o).view(np.int64), mask=sizes == 0), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(set_ids(h, o).view(np.int64), mask=sizes == 0), lists, sketches], schema=schema)
 
     return run
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for an empty set) and the band keys of each row."""
+    """doc_id, n_shingles, set_id (null for an empty set), the band keys and the sketch (16 bits a bin) of each row."""
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _signatures(to_arrow_type(kind), bands, rows, k), f"doc_id {kind.simpleString()}, n_shingles long, set_id long, bands array<long>"
+        _signatures(to_arrow_type(kind), bands, rows, k), f"doc_id {kind.simpleString()}, n_shingles long, set_id long, bands array<long>, sketch binary"
     )
 
 
@@ -115,6 +119,19 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _alike(least: float):
+    """Keeps the pairs whose sketches agree on a share of ``least`` of the bins or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(K.utf8(batch.column(c))[0].tobytes(), "<u2").reshape(batch.num_rows, -1) for c in (2, 3))
+                good = np.flatnonzero((a == b).mean(axis=1) >= least)
+                yield batch.select([0, 1]).take(pa.array(good))
+
+    return run
+
+
 def _texts(k: int):
     """Keeps the rows whose text gives the set that it is asked for (an id may stand on rows of different texts)."""
 
@@ -139,47 +156,77 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialise(signatures(read, bands=bands, rows=rows, k=k), "minhash")
-    sets = marked.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    sets = marked.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     banded = sets.select("set_id", F.explode("bands").alias("key"))
     # a bucket's centre is the member whose id differs least from the key: another one in each bucket of a group
     shared = banded.groupBy("key").agg(F.min(F.expr("set_id ^ key")).alias("low"), F.max(F.expr("set_id ^ key")).alias("high")).where("low <> high")
     buckets = materialise(banded.join(shared.select("key", F.expr("low ^ key").alias("centre")), "key"), "buckets")
-    reps = buckets.select("set_id").distinct().join(sets.select("set_id", "rep"), "set_id")
-    wanted = materialise(
-        read.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").select("set_id", "text").mapInArrow(_texts(k), "set_id long, text string").dropDuplicates(["set_id"]),
-        "texts",
-    )
+    known = materialise(buckets.select("set_id").distinct().join(sets.select("set_id", "rep", "sketch"), "set_id"), "sketches")
+    # 128 bins fall 0.25 short of a link's similarity by six standard deviations
+    least = percent / 100 - SHORT
+    component, centres = None, 1
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(wanted.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a").join(wanted.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
+        """Pairs (a, b) that are links: sketches first, then full sets from whole texts."""
+        side = lambda c: known.select(F.col("set_id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike(least), "a long, b long")
+        near = materialise(near, "near")
+        text = lambda c: wanted.select(F.col("set_id").alias(c), F.col("text").alias(f"text_{c}"))
+        sides = near.join(text("a"), "a").join(text("b"), "b")
         return materialise(sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
 
-    new = confirmed(buckets.where("set_id <> centre").select(F.col("set_id").alias("a"), F.col("centre").alias("b")).distinct())
-    component, centres = None, 1
+    wanted = materialise(
+        read.join(known.select("set_id", F.col("rep").alias("doc_id")), "doc_id").select("set_id", "text").mapInArrow(_texts(k), "set_id long, text string").dropDuplicates(["set_id"]),
+        "texts",
+    )
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    tested = materialise(buckets.where("set_id <> centre").select(*ordered("set_id", "centre")).distinct(), "pairs")
+    new = confirmed(tested)
     while not new.isEmpty():
         if component is None:
             component = connected_components(new)
         else:  # links join components, which point to the least of theirs
-            merged = connected_components(new.select(F.col("component").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
+            ends = new.join(component.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(component.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            merged = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
             alone = merged.join(component, merged["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
             component = component.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
         component = materialise(few(component, buckets.count()), "component")
         centres *= 4
         now = buckets.select("key", "set_id").join(component.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
-        stars = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *(F.min(F.col("set_id").bitwiseXOR(F.xxhash64("key", F.lit(j)))).alias(f"c{j}") for j in range(centres))).where("low <> high")
-        stars = stars.select("key", F.array_distinct(F.array(*(F.col(f"c{j}").bitwiseXOR(F.xxhash64("key", F.lit(j))) for j in range(centres)))).alias("centres"))
-        pairs = now.join(stars, "key").select(F.col("set_id").alias("a"), "component", F.explode("centres").alias("b")).where("a <> b").distinct()
-        other = component.select(F.col("node").alias("b"), F.col("component").alias("of"))
-        pairs = pairs.join(other, "b", "left").select("a", "b", "component", F.coalesce("of", "b").alias("other")).where("component <> other")
-        pairs = materialise(few(pairs, buckets.count()), "pairs")
-        new = confirmed(pairs.select("a", "b")).join(pairs, ["a", "b"])
+        salts = [F.xxhash64("key", F.lit(j)) for j in range(centres)]
+        stars = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *(F.min(F.col("set_id").bitwiseXOR(x)).alias(f"c{j}") for j, x in enumerate(salts))).where("low <> high")
+        stars = stars.select("key", F.array_distinct(F.array(*(F.col(f"c{j}").bitwiseXOR(x) for j, x in enumerate(salts)))).alias("centres"))
+        pairs = now.join(stars, "key").select("set_id", "component", F.explode("centres").alias("centre")).where("set_id <> centre").distinct()
+        other = component.select(F.col("node").alias("centre"), F.col("component").alias("of"))
+        pairs = pairs.join(other, "centre", "left").where("component <> coalesce(of, centre)").select(*ordered("set_id", "centre")).distinct()
+        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested, new = tested.union(pairs), confirmed(pairs)
     drop_materialised(wanted)
     drop_materialised(buckets)
-    known = marked.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
+    groups = marked.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     if component is not None:
-        known = known.join(component.withColumnRenamed("node", "set_id"), "set_id", "left")
-        whole = known.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
-        known = known.join(whole, "component", "left").select("set_id", "n_copies", F.coalesce("lowest", "least").alias("least"))
-    out = marked.drop("bands").join(known, "set_id", "left")
+        groups = groups.join(component.withColumnRenamed("node", "set_id"), "set_id", "left")
+        whole = groups.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
+        groups = groups.join(whole, "component", "left").select("set_id", "n_copies", F.coalesce("lowest", "least").alias("least"))
+    out = marked.drop("bands", "sketch").join(groups, "set_id", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+#: The same in DuckDB's SQL, by an exact join on shared shingles.
+ORACLE = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, unnest(case when len(w) = 0 then []::varchar[] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) end) as s from words),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id
+  having 100 * count(*) >= 75 * ((select n from sizes where doc_id = a.doc_id) + (select n from sizes where doc_id = b.doc_id) - count(*))),
+reach as (select a as doc_id, b as other from links union select r.doc_id, l.b from reach r join links l on l.a = r.other),
+least as (select doc_id, min(other) as other from reach group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) as component_id, d.doc_id <= coalesce(other, d.doc_id) as kept
+from documents d left join sizes using (doc_id) left join least using (doc_id)
+"""

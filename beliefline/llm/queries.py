@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, cws, langid, mixing, quality, warc
+from . import ann, bpe, chat, cws, langid, minhash, mixing, quality, warc
 from .common import crc_mod, remove_at_exit, shared_path, table
-from .minhash import near_duplicates
 from .substrings import by_document, repeated_passages
 
 
@@ -55,7 +54,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -71,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op10_chat_formatting": chat.ORACLE}
+    return {"op3_source_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op9_minhash_near_dedup": minhash.ORACLE, "op10_chat_formatting": chat.ORACLE}
