@@ -198,3 +198,17 @@ v as (select n, c, n*0.25e0 as p, n*0.75e0 as q, 0.70e0 as a, 0.78e0 as b from g
 h as (select *, (a*(1-a)+(p-1)*(a/(2-a)-a*a)+(q-1)*(2*a*a/(1+a)-a*a))/(p*q) as va, (b*(1-b)+(p-1)*(b/(2-b)-b*b)+(q-1)*(2*b*b/(1+b)-b*b))/(p*q) as vb from v)
 select c as correlation, min(n) filter (0.08e0/sqrt(va+vb-2*c*sqrt(va*vb)) >= 1.959963984540054e0+0.8416212335729143e0) as records from h group by c"""
 SEEDS = "select n_name, (('0x' || substr(sha256(n_name),1,16))::ubigint % 2147483647)::bigint as seed, n_name || '|agent|' || n_regionkey::varchar as key from nation"
+
+
+def _discovery() -> str:
+    support = SUPPORT[: SUPPORT.rindex("\nselect")] + ", sup as (" + SUPPORT[SUPPORT.rindex("\nselect") :].replace("round(least", "(least").replace(",6) as support", ") as support") + ")"
+    scores = """, base as (select 'P:' || i as candidate from range(1,40) t(i)),
+dep0 as (select 'P:' || l_partkey as candidate, -avg(l_quantity)/50 as effect, case when count(*) >= 28 then -avg(l_discount+0e0)*10 end as response, avg(l_tax+0e0)*10 as fx from lineitem where l_partkey < 40 group by l_partkey),
+dscored as (select candidate, fx, least(greatest((-0.1e0-effect)/1.2e0,0e0),1e0) as b, least(greatest(-0.2e0-response,0e0),1e0) as r, response from dep0),
+scores as (select b.candidate, s.support as kg, case when d.response is null then d.b else 0.6e0*d.b+0.4e0*d.r end as dep, d.fx as flux, null::double as clin, false as vulnerable
+           from base b left join sup s on s.source = b.candidate left join dscored d on d.candidate = b.candidate)"""
+    rest = REPORTS[REPORTS.index(",\nraw as") :]
+    return support + scores + rest + "\nselect candidate, round(kg,6) as kg, round(dep,6) as dep, round(flux,6) as flux, round(betp,6) as betp, round(width,6) as width, round(total_conflict,6) as total_conflict from reports"
+
+
+DISCOVERY = _discovery()

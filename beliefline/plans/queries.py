@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import calibration, cohort, flux, fusion, graph, metrics, ordering, simulation, stats
+from ..operators import discovery as operators_of
+from ..sources import reference_data as data
 from . import oracles as O
 from .fixtures import view
 
@@ -366,12 +368,42 @@ def simulated_design(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def flux_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(flux.variability(spark, flux.toy_network(), fraction=0.9))
+    return tidy(flux.variability(spark, data.reduced_network(), fraction=0.9))
 
 
 @query(None)
 def knockout_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(flux.knockouts(spark, flux.toy_network()))
+    return tidy(flux.knockouts(spark, data.reduced_network()))
+
+
+@query(None)
+def pathway_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(flux.pathway_capacity(spark, data.reduced_network()))
+
+
+@query(None)
+def panel_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = data.control_panel(spark).where("calibration").withColumn("y", F.col("label").cast("double"))
+    return tidy(calibration.fit_folds(rows, "ordinal"))
+
+
+@query(O.DISCOVERY)
+def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = view(spark, sf_dir, "edges")
+    candidates = _sources(spark).withColumnRenamed("source", "candidate")
+    kinds = edges.select(F.explode(F.array("src", "dst")).alias("key")).distinct().withColumn("kind", F.when(F.col("key").startswith("T:"), "pathway").otherwise("other"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey < 40")
+    table = lines.groupBy(F.concat(F.lit("P:"), F.col("l_partkey")).alias("gene")).agg((-F.avg("l_quantity") / 50).alias("effect"), F.when(F.count("*") >= 28, -F.avg(F.col("l_discount") + 0.0) * 10).alias("response"))
+    scores = lines.groupBy(F.concat(F.lit("P:"), F.col("l_partkey")).alias("gene")).agg(F.avg(F.col("l_tax") + 0.0).alias("t")).select("gene", (F.col("t") * 10).alias("score"))
+    rows = operators_of.discover(candidates, RATES, operators_of.path_evidence(candidates, edges, kinds, "R:2"), operators_of.dependency_evidence(candidates, table), operators_of.capacity_evidence(candidates, scores))
+    return tidy(rows.select("candidate", "kg", "dep", "flux", "betp", "width", "total_conflict"))
+
+
+@query(None)
+def benchmark_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = operators_of.operator_scores(_reports(spark, sf_dir), data.operator_plan())
+    ranked = rows.groupBy("number", "family").agg(F.avg("score").alias("mean_score"), F.avg(F.when(F.col("vulnerable"), F.col("score"))).alias("mean_positive"), F.count("*").alias("n"))
+    return tidy(ranked)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -173,3 +173,18 @@ def test_poisson_bootstrap_covers_the_mean(spark):
 def test_normal_cdf(spark):
     assert one(spark, stats.normal_cdf(F.lit(1.959963984540054))) == pytest.approx(0.975)
     assert math.isclose(stats.two_sided_p(1.959963984540054), 0.05, rel_tol=1e-9)
+
+
+def test_published_network_values():
+    from beliefline.sources.reference_data import control_scores, reduced_network
+
+    net = reduced_network()
+    best = net.optimum()
+    assert best == pytest.approx(0.151899, abs=1e-6) and len(net.reactions) == 66
+    for name, low, high in (("LDHA", 0.0, 0.600), ("MCT1_export", 0.0, 0.600), ("OXPHOS", 0.615, 0.682)):
+        assert net.optimum(name, maximise=False, floor=0.9 * best) == pytest.approx(low, abs=1e-3)
+        assert net.optimum(name, floor=0.9 * best) == pytest.approx(high, abs=1e-3)
+    panel = control_scores()
+    rows = panel[(panel.modality == "FLUX") & panel.calibration]
+    a, b = rows.score - 0.5, 0.5 - rows.label
+    assert -(a * b).sum() / (a * a).sum() == pytest.approx(0.5533206584743218, abs=1e-12)
