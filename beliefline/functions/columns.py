@@ -241,3 +241,11 @@ def normal_ppf(p: Column) -> Column:
     u = F.sqrt(-2.0 * F.ln(1.0 - p))
     middle = _horner(q * q, _A) * q / _horner(q * q, (*_B, 1.0))
     return F.when((p > 0) & (p < 1), F.when(p < low, _horner(t, _C) / _horner(t, (*_D, 1.0))).when(p > 1 - low, -_horner(u, _C) / _horner(u, (*_D, 1.0))).otherwise(middle))
+
+
+def learning_rate(step: Column, total: int, *, rate: float, least: float = 0.0, warmup: float = 0.0, schedule: str = "cosine") -> Column:
+    """The rate at a step: a linear warm-up over a share of the steps, then constant, linear or cosine decay."""
+    first = int(warmup * total)
+    progress = clip((step - first) / float(max(1, total - first)))
+    decay = {"constant": F.lit(rate), "linear": rate + progress * (least - rate), "cosine": least + (rate - least) * 0.5 * (1.0 + F.cos(math.pi * progress))}[schedule]
+    return F.when(step < first, rate * (step + 1) / float(max(1, first))).otherwise(decay)

@@ -223,7 +223,7 @@ def poisson_bootstrap(rows: DataFrame, by: list[str], value: str, key: str, *, r
     return means.groupBy(*by).agg(F.percentile("m", F.lit((1 - level) / 2)).alias("lower"), F.percentile("m", F.lit(1 - (1 - level) / 2)).alias("upper"))
 
 
-def sizing(spark: SparkSession, *, baseline: float = 0.70, margin: float = 0.08, prevalence: float = 0.25, z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143, correlations: tuple[float, ...] = (0.3, 0.4, 0.5), ceiling: int = 20_000) -> DataFrame:
+def sizing(spark: SparkSession, *, baseline: float = 0.70, margin: float = 0.081, prevalence: float = 0.25, z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143, correlations: tuple[float, ...] = (0.3, 0.4, 0.5), ceiling: int = 20_000) -> DataFrame:
     """correlation, records: the first even size whose paired difference is detected; NULL beyond the ceiling."""
     n = F.col("records").cast("double")
     rows = spark.range(20, ceiling + 1, 2).withColumnRenamed("id", "records")
@@ -233,6 +233,14 @@ def sizing(spark: SparkSession, *, baseline: float = 0.70, margin: float = 0.08,
     return rows.groupBy("correlation").agg(F.min(F.when(ok, F.col("records"))).alias("records"))
 
 
+def power_curve(spark: SparkSession, sizes: list[int], *, baseline: float = 0.70, margin: float = 0.081, prevalence: float = 0.25, z_alpha: float = 1.959963984540054, correlation: float = 0.4) -> DataFrame:
+    """records, power of the two-sided paired comparison at each size."""
+    n = F.col("records").cast("double")
+    var = paired_variance(F.lit(baseline), F.lit(baseline + margin), n * prevalence, n * (1 - prevalence), F.lit(correlation))
+    rows = spark.createDataFrame([(s,) for s in sizes], "records long").withColumn("shift", F.lit(margin) / F.sqrt(var))
+    return rows.select("records", (normal_cdf(F.col("shift") - z_alpha) + normal_cdf(-F.col("shift") - z_alpha)).alias("power"))
+
+
 def linear_r2(rows: DataFrame, features: list[str], target: str) -> float:
     """R2 of least squares with an intercept, from one aggregation of moments; rank deficiency is pseudo-inverted."""
     cols = [F.lit(1.0), *(F.col(c).cast("double") for c in features)]

@@ -194,9 +194,9 @@ CONTRASTS = """with r as (select o_orderpriority as level, year(o_orderdate) as
 l as (select level, avg(value) as mean, coalesce(stddev_samp(value),0e0) as sd, count(*) as n from r group by level), p as (select *, lag(mean) over (order by level) as previous from l)
 select level, round(mean,4) as mean, round(sd,4) as sd, n, round(previous,4) as previous, coalesce(mean >= previous-1e-12, true) as non_decreasing from p"""
 SIZING = """with g as (select n, c from range(20,20001,2) r(n), (select unnest([0.3e0,0.4e0,0.5e0]) as c)),
-v as (select n, c, n*0.25e0 as p, n*0.75e0 as q, 0.70e0 as a, 0.78e0 as b from g),
+v as (select n, c, n*0.25e0 as p, n*0.75e0 as q, 0.70e0 as a, 0.781e0 as b from g),
 h as (select *, (a*(1-a)+(p-1)*(a/(2-a)-a*a)+(q-1)*(2*a*a/(1+a)-a*a))/(p*q) as va, (b*(1-b)+(p-1)*(b/(2-b)-b*b)+(q-1)*(2*b*b/(1+b)-b*b))/(p*q) as vb from v)
-select c as correlation, min(n) filter (0.08e0/sqrt(va+vb-2*c*sqrt(va*vb)) >= 1.959963984540054e0+0.8416212335729143e0) as records from h group by c"""
+select c as correlation, min(n) filter (0.081e0/sqrt(va+vb-2*c*sqrt(va*vb)) >= 1.959963984540054e0+0.8416212335729143e0) as records from h group by c"""
 SEEDS = "select n_name, (('0x' || substr(sha256(n_name),1,16))::ubigint % 2147483647)::bigint as seed, n_name || '|agent|' || n_regionkey::varchar as key from nation"
 
 

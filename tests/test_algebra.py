@@ -188,3 +188,13 @@ def test_published_network_values():
     rows = panel[(panel.modality == "FLUX") & panel.calibration]
     a, b = rows.score - 0.5, 0.5 - rows.label
     assert -(a * b).sum() / (a * a).sum() == pytest.approx(0.5533206584743218, abs=1e-12)
+
+
+def test_published_sizes(spark):
+    assert {r["correlation"]: r["records"] for r in stats.sizing(spark).collect()} == {0.3: 632, 0.4: 542, 0.5: 454}
+    assert [round(r["power"], 4) for r in stats.power_curve(spark, [200, 400, 600, 800]).orderBy("records").collect()] == [0.3973, 0.6723, 0.8385, 0.9258]
+
+
+def test_schedules(spark):
+    rows = spark.range(10).select(C.learning_rate(F.col("id"), 10, rate=1.0, warmup=0.2).alias("x")).collect()
+    assert rows[0]["x"] == 0.5 and rows[1]["x"] == 1.0 and rows[2]["x"] == 1.0 and rows[9]["x"] == pytest.approx(0.5 * (1 + math.cos(math.pi * 7 / 8)))
