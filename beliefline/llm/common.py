@@ -58,13 +58,12 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts the lineage: an executor that is
     lost afterwards costs no recomputation. The folder goes when the driver's Python ends."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
