@@ -7,8 +7,8 @@ of one permutation; an empty bin copies the first non-empty one of its own rando
 each bin still collides with the probability of the Jaccard similarity. Every bucket that holds two sets or more
 proposes a star, from each member to a centre, never all pairs. A proposal whose sketches (the bins) are far below the
 threshold goes; full sets confirm the others exactly. Buckets
-whose members are still apart propose stars around four times as many centres as before, until a round confirms
-nothing new.
+whose members are still apart propose further stars, from the members outside the bucket's main component to some of
+that and one of their own, with twice as many centres in each round, until a round confirms nothing new.
 """
 
 from __future__ import annotations
@@ -158,13 +158,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     marked = materialise(signatures(read, bands=bands, rows=rows, k=k), "minhash")
     sets = marked.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     banded = sets.select("set_id", F.explode("bands").alias("key"))
-    # a bucket's centre is the member whose id differs least from the key: another one in each bucket of a group
-    shared = banded.groupBy("key").agg(F.min(F.expr("set_id ^ key")).alias("low"), F.max(F.expr("set_id ^ key")).alias("high")).where("low <> high")
-    buckets = materialise(banded.join(shared.select("key", F.expr("low ^ key").alias("centre")), "key"), "buckets")
+    # a bucket's centre is the member whose id differs least from one of eight masks: a group has few centres
+    masked = "set_id ^ xxhash64(key & 7)"
+    shared = banded.groupBy("key").agg(F.min(F.expr(masked)).alias("low"), F.max(F.expr(masked)).alias("high")).where("low <> high")
+    buckets = materialise(banded.join(shared.select("key", F.expr("low ^ xxhash64(key & 7)").alias("centre")), "key"), "buckets")
     known = materialise(buckets.select("set_id").distinct().join(sets.select("set_id", "rep", "sketch"), "set_id"), "sketches")
     # 128 bins fall 0.25 short of a link's similarity by six standard deviations
     least = percent / 100 - SHORT
-    component, centres = None, 1
+    component, centres = None, 2
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that are links: sketches first, then full sets from whole texts."""
@@ -192,14 +193,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             alone = merged.join(component, merged["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
             component = component.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
         component = materialise(few(component, buckets.count()), "component")
-        centres *= 4
+        centres *= 2
         now = buckets.select("key", "set_id").join(component.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
-        salts = [F.xxhash64("key", F.lit(j)) for j in range(centres)]
-        stars = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *(F.min(F.col("set_id").bitwiseXOR(x)).alias(f"c{j}") for j, x in enumerate(salts))).where("low <> high")
-        stars = stars.select("key", F.array_distinct(F.array(*(F.col(f"c{j}").bitwiseXOR(x) for j, x in enumerate(salts)))).alias("centres"))
-        pairs = now.join(stars, "key").select("set_id", "component", F.explode("centres").alias("centre")).where("set_id <> centre").distinct()
-        other = component.select(F.col("node").alias("centre"), F.col("component").alias("of"))
-        pairs = pairs.join(other, "centre", "left").where("component <> coalesce(of, centre)").select(*ordered("set_id", "centre")).distinct()
+        # in a bucket, members outside its main component meet some members of that, and one of their own
+        salts = [F.xxhash64("key", F.lit(centres + j)) for j in range(centres)]
+        parts = now.groupBy("key", "component").agg(F.count("*").alias("n"), *(F.min(F.col("set_id").bitwiseXOR(x)).alias(f"c{j}") for j, x in enumerate(salts)))
+        parts = parts.select("key", "component", "n", F.array_distinct(F.array(*(F.col(f"c{j}").bitwiseXOR(x) for j, x in enumerate(salts)))).alias("centres"))
+        main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max_by("centres", F.struct("n", "component")).alias("centres"), F.count("*").alias("parts")).where("parts > 1")
+        other = parts.join(main.select("key", "main"), "key").where("component <> main").groupBy("key").agg(F.min_by(F.col("centres")[0], F.xxhash64("component", F.lit(centres))).alias("own"))
+        stars = main.join(other, "key").select(F.col("key").alias("at"), "main", F.concat("centres", F.array("own")).alias("centres"))
+        outside = now.join(stars, (F.col("key") == F.col("at")) & (F.col("component") != F.col("main")))
+        pairs = outside.select("set_id", F.explode("centres").alias("centre")).where("set_id <> centre").select(*ordered("set_id", "centre")).distinct()
         pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested, new = tested.union(pairs), confirmed(pairs)
     drop_materialised(wanted)
