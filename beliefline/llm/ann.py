@@ -2,8 +2,10 @@
 
 Vectors are halved and each half is quantised by its own k-means (on a bounded sample); a cell is a pair of
 centroids. Every vector is indexed under its cell. For each query a heap walks the pairs of centroids in the order of
-their summed distances until the cells hold enough candidates. Cells and the queries that probe them are cogrouped,
-large cells in blocks, and rerank by exact distance; the best of each block are merged.
+their summed distances until the cells hold enough candidates. How many are enough is measured: on the sample, the
+share of vectors that this order must reach before it has found ``recall`` of the true neighbours. Vectors are grouped
+by their first centroid, large groups in blocks, and cogrouped with the queries that probe them, each with its list of
+second centroids; the entries of those cells rerank by exact distance and the best of each block are merged.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from .common import bounded_batches, materialise
 
 #: Vectors, those with the least hash of the id, that the centroids are fitted on at most.
 SAMPLE = 20_000
-CANDIDATES, BLOCK, PER_CELL = 6_000, 2_048, 200
+RECALL, BLOCK, PER_CELL, TRIALS = 0.96, 2_048, 12, 200
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -64,6 +66,22 @@ def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, enough: int, at_most:
     return out
 
 
+def needed_share(x: np.ndarray, first: np.ndarray, second: np.ndarray, half: int, k: int, recall: float) -> float:
+    """The share of x that cells in the order of their summed distances hold before ``recall`` of the k nearest of
+    some of x are among them."""
+    if len(x) <= 2 * k:
+        return 1.0
+    own_first, own_second = distances(x[:, :half], first).argmin(axis=1), distances(x[:, half:], second).argmin(axis=1)
+    ranks = []
+    for q in range(min(TRIALS, len(x))):
+        d = distances(x[q : q + 1], x)[0]
+        d[q] = np.inf
+        true = np.argpartition(d, k)[:k]
+        sums = distances(x[q : q + 1, :half], first)[0][own_first] + distances(x[q : q + 1, half:], second)[0][own_second]
+        ranks.append(np.searchsorted(np.sort(sums), sums[true], "right"))
+    return float(np.quantile(np.concatenate(ranks), recall) / len(x))
+
+
 def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vec_id, distance) of the k nearest of x for each q, exactly, ties to the smaller id."""
     rows, ids, scores = [], [], []
@@ -82,13 +100,13 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, candidates: int = CANDIDATES, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, by Euclidean distance in double precision.
 
     vectors and queries have an id (whole numbers) and an array of numbers. Vectors that are null, zero, of another
     length than the most common one, or hold null, NaN or infinite components take no part, nor do rows with a null
     id. Rows with a query's id are its own and no candidates; repeated query rows count once, repeated candidate rows
-    each. With fewer than ``candidates`` vectors all are compared. Other columns are not read.
+    each. Other columns are not read.
     """
     spark = bounded_batches(vectors.sparkSession)
 
@@ -107,20 +125,21 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     half, size = dim // 2, int(np.clip(round((total / PER_CELL) ** 0.5), 4, 1024))
     first, second = kmeans(fitted[:, :half], size) if half else np.zeros((1, 0)), kmeans(fitted[:, half:], size)
     books = spark.sparkContext.broadcast((first, second))
+    candidates = max(1_000, int(np.ceil(total * needed_share(fitted, first, second, half, k, recall))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = books.value
         for batch in batches:
             x = _matrix(batch.column(1), dim)
-            cell = distances(x[:, :half], a).argmin(axis=1) * len(b) + distances(x[:, half:], b).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), batch.column(1)], names=["vec_id", "cell", "v"])
+            i, j = distances(x[:, :half], a).argmin(axis=1), distances(x[:, half:], b).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(i), pa.array(j), batch.column(1)], names=["vec_id", "cell", "second", "v"])
 
-    index = materialise(rows.mapInArrow(assign, "vec_id long, cell long, v array<double>"), "index")
-    held = index.groupBy("cell").count().collect()  # a row a cell, cells x cells at most
+    index = materialise(rows.mapInArrow(assign, "vec_id long, cell long, second long, v array<double>"), "index")
+    held = index.groupBy("cell", "second").count().collect()  # a row a pair of centroids that has any
     counts = np.zeros((len(first), len(second)), np.int64)
     for r in held:
-        counts[divmod(r["cell"], len(second))] = r["count"]
-    table = spark.sparkContext.broadcast(counts)
+        counts[r["cell"], r["second"]] = r["count"]
+    table, width = spark.sparkContext.broadcast(counts), len(second)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = books.value
@@ -128,28 +147,41 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         for batch in batches:
             q = _matrix(batch.column(1), dim)
             da, db = distances(q[:, :half], a), distances(q[:, half:], b)
+            blocks = -(-n.sum(axis=1) // BLOCK)
             for s in range(0, len(q), 64):
-                take, cells, blocks = [], [], []
+                take, cells, parts, seconds = [], [], [], []
                 for i in range(s, min(s + 64, len(q))):
-                    for cell in walk(da[i], db[i], n, candidates, max(PER_CELL * 4, candidates // 8)):
-                        for block in range(-(-int(n.reshape(-1)[cell]) // BLOCK)):
+                    pairs = np.array(walk(da[i], db[i], n, candidates, max(4 * PER_CELL, candidates // 8)), np.int64)
+                    for cell in np.unique(pairs // len(b)):
+                        mine = (pairs[pairs // len(b) == cell] % len(b)).tolist()
+                        for block in range(int(blocks[cell])):
                             take.append(i)
-                            cells.append(cell)
-                            blocks.append(block)
+                            cells.append(int(cell))
+                            parts.append(block)
+                            seconds.append(mine)
                 at = pa.array(take, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(cells, pa.int64()), pa.array(blocks, pa.int64()), batch.column(1).take(at)], names=["query_id", "cell", "block", "q"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(cells, pa.int64()), pa.array(parts, pa.int64()), pa.array(seconds, pa.list_(pa.int64())), batch.column(1).take(at)], names=["query_id", "cell", "block", "seconds", "q"])
 
-    blocks = spark.createDataFrame([(r["cell"], -(-r["count"] // BLOCK)) for r in held], "cell long, blocks long")
-    dealt = index.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).select("cell", "block", "vec_id", "v")
-    probes = asked.mapInArrow(probe, "query_id long, cell long, block long, q array<double>")
+    blocks = spark.createDataFrame([(i, int(-(-n // BLOCK))) for i, n in enumerate(counts.sum(axis=1).tolist()) if n], "cell long, blocks long")
+    dealt = index.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).select("cell", "block", "second", "vec_id", "v")
+    probes = asked.mapInArrow(probe, "query_id long, cell long, block long, seconds array<long>, q array<double>")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, q = _matrix(left["v"].combine_chunks(), dim), _matrix(right["q"].combine_chunks(), dim)
-        ids, asked_ids = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
-        row, found, score = nearest(q, asked_ids, x, ids, k)
-        return pa.table({"query_id": asked_ids[row], "vec_id": found, "score": score})
+        asked_ids, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            x, q = _matrix(left["v"].combine_chunks(), dim), _matrix(right["q"].combine_chunks(), dim)
+            ids, second, queries_ids = left["vec_id"].to_numpy(), left["second"].to_numpy(), right["query_id"].to_numpy()
+            wanted = right["seconds"].combine_chunks()
+            for i in range(len(q)):
+                flags = np.zeros(width, bool)
+                flags[wanted[i].values.to_numpy()] = True
+                some = np.flatnonzero(flags[second])
+                if len(some):
+                    _, near, score = nearest(q[i : i + 1], queries_ids[i : i + 1], x[some], ids[some], k)
+                    asked_ids.append(np.full(len(near), queries_ids[i]))
+                    found.append(near)
+                    scores.append(score)
+        return pa.table({"query_id": np.concatenate(asked_ids), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     found = dealt.groupBy("cell", "block").cogroup(probes.groupBy("cell", "block")).applyInArrow(rerank, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -292,13 +292,13 @@ def test_nearest_neighbours(spark):
     assert ann.search(few, few.where("vec_id = 0")).count() == 3
 
 
-def test_recall_under_a_small_budget(spark):
+def test_recall_of_clustered_vectors(spark):
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(40, 16)) * 2
     x = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     found = {}
-    for r in ann.search(df, df.where("vec_id % 100 = 0"), candidates=1500).collect():
+    for r in ann.search(df, df.where("vec_id % 100 = 0")).collect():
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
     hits = []
     for q, ids in found.items():
@@ -306,3 +306,16 @@ def test_recall_under_a_small_budget(spark):
         d[q] = np.inf
         hits.append(len(ids & set(np.argsort(d)[:10].tolist())) / 10)
     assert np.mean(hits) >= 0.9
+
+
+def test_recall_without_structure(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(8000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, df.where("vec_id % 100 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    d = x[::100] @ x.T
+    d[np.arange(80), np.arange(0, 8000, 100)] = -np.inf
+    assert np.mean([len(found[100 * i] & set(np.argsort(-d[i])[:10].tolist())) / 10 for i in range(80)]) >= 0.9
