@@ -8,7 +8,7 @@ each bin still collides with the probability of the Jaccard similarity. Every bu
 proposes a star, from each member to a centre, never all pairs. A proposal whose sketches (the bins) are far below the
 threshold goes; full sets confirm the others exactly. Buckets
 whose members are still apart propose further stars, from the members outside the bucket's main component to some of
-that and one of their own, with twice as many centres in each round, until a round confirms nothing new.
+that and one of their own, other ones in each round, until a round confirms nothing new.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import textkernels as K
 from .common import connected_components, drop_materialised, few, materialise
 
-BANDS, ROWS, SHORT = 32, 4, 0.25
+BANDS, ROWS, SHORT, CENTRES = 32, 4, 0.25, 4
 
 
 def densified(hashes: np.ndarray, offsets: np.ndarray, bins: int) -> np.ndarray:
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = materialise(buckets.select("set_id").distinct().join(sets.select("set_id", "rep", "sketch"), "set_id"), "sketches")
     # 128 bins fall 0.25 short of a link's similarity by six standard deviations
     least = percent / 100 - SHORT
-    component, centres = None, 2
+    component, rounds = None, 0
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that are links: sketches first, then full sets from whole texts."""
@@ -192,15 +192,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             merged = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
             alone = merged.join(component, merged["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
             component = component.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
-        component = materialise(few(component, buckets.count()), "component")
-        centres *= 2
+        size = buckets.count()
+        component = materialise(few(component, size), "component")
+        # buckets whose members have met for good are done with
         now = buckets.select("key", "set_id").join(component.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
+        apart = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        now = materialise(few(now.join(apart, "key"), size), "buckets")
+        drop_materialised(buckets)
+        buckets, rounds = now, rounds + 1
         # in a bucket, members outside its main component meet some members of that, and one of their own
-        salts = [F.xxhash64("key", F.lit(centres + j)) for j in range(centres)]
+        salts = [F.xxhash64("key", F.lit(CENTRES * rounds + j)) for j in range(CENTRES)]
         parts = now.groupBy("key", "component").agg(F.count("*").alias("n"), *(F.min(F.col("set_id").bitwiseXOR(x)).alias(f"c{j}") for j, x in enumerate(salts)))
         parts = parts.select("key", "component", "n", F.array_distinct(F.array(*(F.col(f"c{j}").bitwiseXOR(x) for j, x in enumerate(salts)))).alias("centres"))
         main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max_by("centres", F.struct("n", "component")).alias("centres"), F.count("*").alias("parts")).where("parts > 1")
-        other = parts.join(main.select("key", "main"), "key").where("component <> main").groupBy("key").agg(F.min_by(F.col("centres")[0], F.xxhash64("component", F.lit(centres))).alias("own"))
+        other = parts.join(main.select("key", "main"), "key").where("component <> main").groupBy("key").agg(F.min_by(F.col("centres")[0], F.xxhash64("component", F.lit(rounds))).alias("own"))
         stars = main.join(other, "key").select(F.col("key").alias("at"), "main", F.concat("centres", F.array("own")).alias("centres"))
         outside = now.join(stars, (F.col("key") == F.col("at")) & (F.col("component") != F.col("main")))
         pairs = outside.select("set_id", F.explode("centres").alias("centre")).where("set_id <> centre").select(*ordered("set_id", "centre")).distinct()
