@@ -8,7 +8,9 @@ each bin still collides with the probability of the Jaccard similarity. Every bu
 proposes a star, from each member to a centre, never all pairs. A proposal whose sketches (the bins) are far below the
 threshold goes; full sets confirm the others exactly. Buckets
 whose members are still apart propose further stars, from the members outside the bucket's main component to some of
-that and one of their own, other ones in each round, until a round confirms nothing new.
+that and one of their own, other ones in each round, until a round confirms nothing new. Then all pairs of a bucket
+that are still apart are compared, in square cells of members: sketches first, then full sets, so that in the end
+any two members of a bucket are in one component or were compared themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from . import textkernels as K
 from .common import connected_components, drop_materialised, few, materialise
 
-BANDS, ROWS, SHORT, CENTRES = 32, 4, 0.25, 4
+BANDS, ROWS, SHORT, CENTRES, CELL = 32, 4, 0.25, 4, 512
 
 
 def densified(hashes: np.ndarray, offsets: np.ndarray, bins: int) -> np.ndarray:
@@ -132,6 +134,93 @@ def _alike(least: float):
     return run
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that hold whole runs of equal values of the first three columns, rows being sorted by them."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            first = [batch.column(c).to_numpy() for c in range(3)]
+            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in first])) + 1
+            if kept and any(kept[-1].column(c)[-1] != batch.column(c)[0] for c in range(3)):
+                cuts = np.concatenate([[0], cuts])
+            if len(cuts):
+                out = pa.concat_batches([*kept, batch.slice(0, int(cuts[-1]))])
+                kept = []
+                yield out
+                batch = batch.slice(int(cuts[-1]))
+            kept.append(batch)
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    first = [batch.column(c).to_numpy() for c in range(3)]
+    cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in first])) + 1
+    edges = [0, *cuts.tolist(), batch.num_rows]
+    return zip(edges[:-1], edges[1:], strict=True)
+
+
+def _alike_in_cells(least: float):
+    """All pairs of a cell (key, i, j) that are apart and whose sketches agree on a share of ``least`` or more. Rows have
+    set_id, component, a role (1 left, 2 right, 3 both), whether they are outside the main component, the sketch."""
+    schema = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches):
+            ids, component, role = (batch.column(c).to_numpy() for c in (3, 4, 5))
+            outside = batch.column(6).to_numpy(zero_copy_only=False)
+            sketch = np.frombuffer(K.utf8(batch.column(7))[0].tobytes(), "<u2").reshape(batch.num_rows, -1)
+            left, right = [], []
+            for low, high in _groups(batch):
+                other = low + np.flatnonzero(role[low:high] & 2)
+                for x in (low + np.flatnonzero(role[low:high] & 1)).tolist():
+                    # two members outside the main component meet twice
+                    meet = other[(component[other] != component[x]) & (~outside[other] | (ids[other] > ids[x]))]
+                    good = meet[(sketch[meet] == sketch[x]).mean(axis=1) >= least] if len(meet) else meet
+                    left.append(np.full(len(good), x))
+                    right.append(good)
+            if left and len(x := np.concatenate(left)):
+                a, b = ids[x], ids[np.concatenate(right)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(x)) for c in range(3)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+    return run
+
+
+def _links_in_cells(k: int, percent: int):
+    """The links among the asked pairs of a cell. Rows have set_id, the ids it is to be compared with, the text; each text
+    of a cell is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches):
+            ids = batch.column(3).to_numpy()
+            data, at = K.utf8(batch.column(5))
+            h, o = [], [np.zeros(1, np.int64)]
+            for i, j in K.chunks(at):
+                hashes, offsets = K.shingle_sets(K.Words(data[at[i] : at[j]], at[i : j + 1] - at[i], lower=True), k)
+                h.append(hashes)
+                o.append(offsets[1:] + o[-1][-1])
+            h, o = np.concatenate(h), np.concatenate(o)
+            mates = batch.column(4).to_pylist()
+            a, b = [], []
+            for low, high in _groups(batch):
+                place = {x: low + n for n, x in enumerate(ids[low:high].tolist())}
+                for x in range(low, high):
+                    to = np.array([place[y] for y in mates[x] or () if y in place], np.int64)
+                    n, mine = o[to + 1] - o[to], h[o[x] : o[x + 1]]
+                    if not len(to) or not len(mine) or not n.all():
+                        continue
+                    those = h[K.ragged(o[to], n)]
+                    same = mine[np.minimum(np.searchsorted(mine, those), len(mine) - 1)] == those
+                    both = np.add.reduceat(same.astype(np.int64), np.cumsum(n) - n)
+                    good = to[100 * both >= percent * (n + len(mine) - both)]
+                    a += [ids[x]] * len(good)
+                    b += ids[good].tolist()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _texts(k: int):
     """Keeps the rows whose text gives the set that it is asked for (an id may stand on rows of different texts)."""
 
@@ -183,16 +272,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     tested = materialise(buckets.where("set_id <> centre").select(*ordered("set_id", "centre")).distinct(), "pairs")
     new = confirmed(tested)
-    while not new.isEmpty():
+
+    def merged_with(component: DataFrame | None, new: DataFrame) -> DataFrame:
         if component is None:
-            component = connected_components(new)
-        else:  # links join components, which point to the least of theirs
-            ends = new.join(component.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(component.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            merged = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
-            alone = merged.join(component, merged["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
-            component = component.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
-        size = buckets.count()
+            return connected_components(new)
+        # links join components, which point to the least of theirs
+        ends = new.join(component.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(component.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        alone = merged.join(component, merged["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
+        return component.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
+
+    size = buckets.count()
+    while not new.isEmpty():
+        component = merged_with(component, new)
         component = materialise(few(component, size), "component")
         # buckets whose members have met for good are done with
         now = buckets.select("key", "set_id").join(component.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
@@ -211,8 +304,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = outside.select("set_id", F.explode("centres").alias("centre")).where("set_id <> centre").select(*ordered("set_id", "centre")).distinct()
         pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested, new = tested.union(pairs), confirmed(pairs)
+    # what is still apart in a bucket is compared pair by pair: members outside the main component with all others
+    stored = buckets
+    if component is None:
+        buckets = buckets.select("key", "set_id", F.col("set_id").alias("component"))
+    parts = buckets.groupBy("key", "component").agg(F.count("*").alias("n"))
+    cells = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    cells = cells.select(F.col("key").alias("at"), "main", F.expr(f"cast(ceil((all - most) / {CELL}) as int)").alias("ni"), F.expr(f"cast(ceil(all / {CELL}) as int)").alias("nj"))
+    own = "cast(pmod(xxhash64(set_id, key), {}) as int)"
+    as_left = f"transform(sequence(0, nj - 1), x -> struct({own.format('ni')} as i, x as j, 1 as role))"
+    as_right = f"transform(sequence(0, ni - 1), x -> struct(x as i, {own.format('nj')} as j, 2 as role))"
+    roles = f"case when not outside then {as_right} when ni = 1 and nj = 1 then array(struct(0 as i, 0 as j, 3 as role)) else concat({as_left}, {as_right}) end"
+    members = buckets.join(cells, F.col("key") == F.col("at")).withColumn("outside", F.expr("component <> main")).select("key", "set_id", "component", "outside", F.explode(F.expr(roles)).alias("c"))
+    members = members.select("key", "c.i", "c.j", "set_id", "component", "c.role", "outside").join(known.select("set_id", "sketch"), "set_id")
+    ordered_cells = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = ordered_cells(members).select("key", "i", "j", "set_id", "component", "role", "outside", "sketch").mapInArrow(_alike_in_cells(least), "key long, i int, j int, a long, b long")
+    near = near.groupBy("a", "b").agg(F.min(F.struct("key", "i", "j")).alias("c")).select("c.*", "a", "b")
+    near = materialise(near.join(tested, ["a", "b"], "left_anti"), "near")
+    asked = near.groupBy("key", "i", "j", F.col("a").alias("set_id")).agg(F.collect_list("b").alias("mates"))
+    asked = asked.unionByName(near.select("key", "i", "j", F.col("b").alias("set_id"), F.lit(None).cast("array<bigint>").alias("mates")).distinct())
+    asked = asked.groupBy("key", "i", "j", "set_id").agg(F.first("mates", ignorenulls=True).alias("mates"))
+    new = ordered_cells(asked.join(wanted, "set_id")).select("key", "i", "j", "set_id", "mates", "text").mapInArrow(_links_in_cells(k, percent), "a long, b long")
+    new = materialise(new, "links")
+    if not new.isEmpty():
+        component = materialise(few(merged_with(component, new), size), "component")
     drop_materialised(wanted)
-    drop_materialised(buckets)
+    drop_materialised(stored)
     groups = marked.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     if component is not None:
         groups = groups.join(component.withColumnRenamed("node", "set_id"), "set_id", "left")

@@ -99,6 +99,25 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_links_inside_a_large_bucket_of_unlinked_texts(spark):
+    rng, rows = np.random.default_rng(5), []
+    base = rng.choice(VOCABULARY, 400)
+
+    def edited(w, n, tag):
+        w = np.array(w, dtype=object)
+        for j, at in enumerate(rng.choice(len(w), n, replace=False)):
+            w[at] = f"{tag}x{j}"
+        return w
+
+    for g in range(150):  # any two about two thirds alike, each with a partner at about 0.78
+        one = edited(base, 8, f"a{g}")
+        rows += [(g, " ".join(one)), (1000 + g, " ".join(edited(one, 10, f"b{g}")))]
+    truth = near_truth(rows)
+    assert 50 < sum(truth[1000 + g] == g for g in range(150)) and len(set(truth.values())) > 100
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == truth
+
+
 def test_repeated_passages(spark):
     p, q = words(70), words(55)
     fuzzy = p.split()
