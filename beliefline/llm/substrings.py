@@ -1,8 +1,10 @@
 """Repeated passages across documents, exact or fuzzy: shared k-mer seeds, collinear chains, aligned passages.
 
 Words are lower-cased (A-Z) runs of anything but ASCII white space. Minimisers of the 5-word k-mers (the least hash of
-each window) find which documents share text: each seed links the documents that hold it to the least of them, a star
-that grows with the occurrences and never lists all pairs. Any exact passage of ``window + 4`` words shares a seed.
+each window) find which documents share text. First each seed links a document to the least one that holds it and to
+the one before by id; links of two seeds are aligned. Seeds that no passage covers then meet all earlier holders, in
+square cells of documents: pairs whose words around one seed are alike by sketches of word pairs are aligned too. Any
+exact passage of ``window + 4`` words shares a seed.
 For each linked pair all common k-mers around its seeds are matched; runs of matches on a diagonal are segments; a Fenwick tree of
 prefix maxima chains segments that are ordered in both texts, at a cost for each word of gap; chains are cut at long
 gaps, extended and aligned word by word. A passage is reported for the later document, with its place in the other.
@@ -14,14 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkernels as K
 from .common import bounded_batches, materialise
+from .minhash import _groups, _whole_groups
 
 K_WORDS, WINDOW, MIN_WORDS, MIN_IDENTITY, MAX_GAP, GAP_COST = 5, 16, 50, 0.75, 24, 0.2
+BITS, CELL = 2048, 512
 
 
 def _slide(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -252,6 +256,73 @@ def _align(ids: pa.DataType, options: dict):
     return run
 
 
+def _around(ids: pa.DataType, reach: int, k: int):
+    """A row for each place of a seed: seed, doc_id, whether it is to be explained, place, sketch: a bit for each pair of
+    successive words (with its count so far) of the ``reach`` words on either side."""
+    schema = pa.schema([("seed", pa.int64()), ("doc_id", ids), ("open", pa.bool_()), ("place", pa.int32()), ("sketch", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in K.text_blocks(batch):
+                words = K.Words(data, offsets, lower=True)
+                spots = part.column(1)
+                counts = np.diff(spots.offsets.to_numpy())
+                seeds, low, high, opens = (x.to_numpy(zero_copy_only=False) for x in spots.flatten().flatten())
+                row = np.repeat(np.arange(part.num_rows), counts)
+                twice = np.repeat(np.arange(len(row)), np.where(low < high, 2, 1))
+                place = low[twice]
+                place[1:] = np.where(twice[1:] == twice[:-1], high[twice[1:]], place[1:])
+                good = place < words.counts[row[twice]]  # an id may stand on a shorter text too
+                twice, place = twice[good], place[good]
+                pairs = np.append(words.hashes[:-1] * K._STEP[0] + words.hashes[1:] * K._STEP[1], np.zeros(1, np.uint64))
+                steps = np.arange(-reach, k + reach)
+                for i in range(0, len(twice), 4096):
+                    t, p = twice[i : i + 4096], place[i : i + 4096]
+                    at = p[:, None] + steps
+                    inside = (at >= 0) & (at < words.counts[row[t]][:, None] - 1)
+                    near = np.where(inside, pairs[np.where(inside, at + words.first[:-1][row[t]][:, None], 0)], np.uint64(0))
+                    near.sort(axis=1)
+                    n = np.arange(near.shape[1])
+                    first = np.where(np.concatenate([np.ones((len(t), 1), bool), near[:, 1:] != near[:, :-1]], axis=1), n, 0)
+                    nth = n - np.maximum.accumulate(first, axis=1)
+                    bits = np.zeros((len(t), BITS + 1), np.uint8)
+                    spot = np.where(near > 0, (K.mix(near + nth.astype(np.uint64) * K._STEP[2]) % np.uint64(BITS)).astype(np.int64), BITS)
+                    np.put_along_axis(bits, spot, 1, axis=1)
+                    packed = np.packbits(bits[:, :BITS], axis=1)
+                    sketches = pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer((np.arange(len(t) + 1) * packed.shape[1]).astype(np.int32)), pa.py_buffer(packed)])
+                    yield pa.RecordBatch.from_arrays([pa.array(seeds[t], pa.int64()), part.column(0).take(pa.array(row[t])), pa.array(opens[t], pa.bool_()), pa.array(p.astype(np.int32)), sketches], schema=schema)
+
+    return run
+
+
+def _meet(ids: pa.DataType, least: int):
+    """Pairs (doc_id, earlier source_doc_id, place) of a cell (seed, i, j) whose sketches have ``least`` bits in common.
+    Rows have doc_id, place, role (1 left, 2 right, 3 both), sketch."""
+    schema = pa.schema([("doc_id", ids), ("source_doc_id", ids), ("place", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches):
+            docs = batch.column(3).to_numpy(zero_copy_only=False)
+            role = batch.column(5).to_numpy()
+            packed = np.frombuffer(K.utf8(batch.column(6))[0].tobytes(), np.uint64).reshape(batch.num_rows, -1)
+            edges = np.array([0, *(high for _, high in _groups(batch))])
+            right = np.flatnonzero(role & 2)
+            bounds = np.searchsorted(right, edges)
+            left = np.flatnonzero(role & 1)
+            cell = np.searchsorted(edges, left, "right") - 1
+            begin, n = bounds[cell], bounds[cell + 1] - bounds[cell]
+            for i, j in K.chunks(np.concatenate([[0], np.cumsum(n)]), 100_000):
+                x, y = np.repeat(left[i:j], n[i:j]), right[K.ragged(begin[i:j], n[i:j])]
+                earlier = (docs[y] < docs[x]).astype(bool)
+                x, y = x[earlier], y[earlier]
+                good = np.bitwise_count(packed[x] & packed[y]).sum(axis=1, dtype=np.int64) >= least
+                if good.any():
+                    x, y = pa.array(x[good]), pa.array(y[good])
+                    yield pa.RecordBatch.from_arrays([batch.column(3).take(x), batch.column(3).take(y), batch.column(4).take(x)], schema=schema)
+
+    return run
+
+
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_seeds: int = 2, **options) -> DataFrame:
     """A row for each passage of a document that an earlier one (by id) holds too: doc_id, source_doc_id, word and
     byte ranges, identity (share of words that agree), n_words.
@@ -265,10 +336,54 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     arrow, name = to_arrow_type(kind), kind.simpleString()
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     seeds = read.mapInArrow(_seeds(arrow, k, window), f"doc_id {name}, seed long, low int, high int")
-    shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("source_doc_id"), F.max("doc_id").alias("last")).where("source_doc_id <> last").drop("last")
-    linked = seeds.join(shared.hint("merge"), "seed").where("doc_id <> source_doc_id")
+    # rows that repeat an id count once; in a seed, ids ascend
+    held = seeds.repartition("seed").groupBy("seed", "doc_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    by_id = Window.partitionBy("seed").orderBy("doc_id")
+    held = held.select("*", F.first("doc_id").over(by_id.rowsBetween(Window.unboundedPreceding, 0)).alias("least"), F.lag("doc_id").over(by_id).alias("before"), F.lead("low").over(by_id).alias("after"))
+    held = materialise(held.where("before is not null or after is not null").drop("after"), "seeds")
+    spark = docs.sparkSession
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of what is written go
+    linked = held.where("before is not null").select("doc_id", F.explode(F.array_distinct(F.array("least", "before"))).alias("source_doc_id"), "low", "high")
     pairs = linked.groupBy("doc_id", "source_doc_id").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("n") >= least_seeds).drop("n")
     pairs = materialise(pairs, "pairs")
+    found = materialise(_aligned(read, pairs, window, k, options), "passages")
+    spark.sparkContext._jvm.System.gc()
+    # seeds that no passage covers meet every earlier holder
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    is_open = f"before is not null and not coalesce(exists(spans, x -> x.start_word <= low and x.end_word >= high + {k}), false)"
+    marked = held.join(spans, "doc_id", "left").select("seed", "doc_id", "low", "high", F.expr(is_open).alias("open"))
+    sizes = marked.groupBy("seed").agg(F.sum(F.col("open").cast("int")).alias("no"), F.count("*").alias("n")).where("no > 0")
+    sizes = sizes.select("seed", F.expr(f"cast(ceil(no / {CELL}) as int)").alias("ni"), F.expr(f"cast(ceil(n / {CELL}) as int)").alias("nj"))
+    places = marked.join(sizes.hint("merge"), "seed").groupBy("doc_id").agg(F.collect_list(F.struct("seed", "low", "high", "open")).alias("places"))
+    words = options.get("min_words", MIN_WORDS)
+    around = places.join(read.hint("merge"), "doc_id").select("doc_id", "places", "text").mapInArrow(_around(arrow, words, k), f"seed long, doc_id {name}, open boolean, place int, sketch binary")
+    own = "cast(pmod(xxhash64(doc_id, seed), {}) as int)"
+    as_left = f"transform(sequence(0, nj - 1), x -> struct({own.format('ni')} as i, x as j, 1 as role))"
+    as_right = f"transform(sequence(0, ni - 1), x -> struct(x as i, {own.format('nj')} as j, 2 as role))"
+    roles = f"case when not open then {as_right} when ni = 1 and nj = 1 then array(struct(0 as i, 0 as j, 3 as role)) else concat({as_left}, {as_right}) end"
+    cells = around.join(sizes.hint("merge"), "seed").select("seed", F.explode(F.expr(roles)).alias("c"), "doc_id", "place", "sketch").select("seed", "c.i", "c.j", "doc_id", "place", "c.role", "sketch")
+    # each of the words that may differ spoils two of the word pairs; five bits are left for pairs that share a bit
+    least = max(1, words - 1 - 2 * int((1 - options.get("min_identity", MIN_IDENTITY)) * words) - 5)
+    met = cells.repartition("seed", "i", "j").sortWithinPartitions("seed", "i", "j").mapInArrow(_meet(arrow, least), f"doc_id {name}, source_doc_id {name}, place int")
+    met = met.groupBy("doc_id", "source_doc_id").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    first = pairs.select("doc_id", "source_doc_id", F.col("low").alias("l"), F.col("high").alias("h"))
+    more = met.join(first, ["doc_id", "source_doc_id"], "left").where("l is null or low < l or high > h")
+    more = materialise(more.select("doc_id", "source_doc_id", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high")), "pairs")
+    spark.sparkContext._jvm.System.gc()
+    # a pair that is aligned anew, over more of its words, gives its passages anew; of passages with many holders, the
+    # ones within another of the same document say nothing more
+    stay = found.join(more.select("doc_id", "source_doc_id"), ["doc_id", "source_doc_id"], "left_anti").withColumn("anew", F.lit(0))
+    out = stay.unionByName(_aligned(read, more, window, k, options).withColumn("anew", F.lit(1)))
+    longest_first = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), "anew", "source_doc_id", "source_start_word")
+    out = out.withColumn("until", F.max("end_word").over(longest_first.rowsBetween(Window.unboundedPreceding, -1)))
+    out = out.where("anew = 0 or until is null or end_word > until").drop("anew", "until")
+    return out.withColumn("n_words", F.col("end_word") - F.col("start_word"))
+
+
+def _aligned(read: DataFrame, pairs: DataFrame, window: int, k: int, options: dict) -> DataFrame:
+    """The passages of pairs (doc_id, source_doc_id, low, high), around the words from low to high of the former."""
+    kind = read.schema["doc_id"].dataType
+    arrow, name = to_arrow_type(kind), kind.simpleString()
     # the words around the seeds are enough: min_words on either side
     slack = options.get("min_words", MIN_WORDS) + window + k
     slices = pairs.join(read.hint("merge"), "doc_id").select("doc_id", "source_doc_id", "low", "high", "text").mapInArrow(
@@ -276,11 +391,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     source = read.hint("merge")
     sides = slices.join(source.select(F.col("doc_id").alias("source_doc_id"), F.col("text").alias("source_text")), "source_doc_id")
-    out = sides.select("doc_id", "source_doc_id", "first_word", "first_byte", "text", "source_text").mapInArrow(
+    return sides.select("doc_id", "source_doc_id", "first_word", "first_byte", "text", "source_text").mapInArrow(
         _align(arrow, options),
         f"doc_id {name}, source_doc_id {name}, start_word long, end_word long, source_start_word long, source_end_word long, start_byte long, end_byte long, identity double",
     )
-    return out.withColumn("n_words", F.col("end_word") - F.col("start_word"))
 
 
 def by_document(found: DataFrame) -> DataFrame:

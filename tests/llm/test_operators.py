@@ -134,6 +134,28 @@ def test_repeated_passages(spark):
     assert substrings.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_that_earlier_holders_hide(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join("".join(x) for x in rng.choice(list("abcdefghij"), (n, 6)))
+    rows, want = [], set()
+    for g in range(20):  # the second holds the first 45 words of a passage that the first, third and last hold
+        p, i = text(60), 10 * g
+        part = " ".join(p.split()[:45])
+        rows += [(i, f"{text(30)} {part} {text(30)}"), (i + 1, f"{text(30)} {p} {text(30)}"), (i + 2, f"{text(30)} {part} {text(30)}"), (i + 3, f"{text(30)} {p} {text(30)}")]
+        want.add((i + 3, i + 1))
+    for g in range(20):  # every five words of a passage stand in other documents before and after it
+        p, i = text(60).split(), 1000 * (g + 1)
+        quotes = [" ".join(x for j in range(0, 56, 8) for x in [*p[j + m : j + m + 8 + 4], *text(10).split()]) for m in (0, 4)]
+        rows += [(i, quotes[0]), (i + 1, f"{text(20)} {' '.join(p)} {text(20)}"), (i + 2, quotes[1]), (i + 3, quotes[0] + " end"), (i + 4, f"{text(20)} {' '.join(p)} {text(20)}")]
+        want.add((i + 4, i + 1))
+    for g in range(20):  # a phrase that repeats
+        p, i = " ".join([text(6)] * 14), 100_000 + 10 * g
+        rows += [(i, f"{text(30)} {p} {text(30)}"), (i + 1, f"{text(30)} {p} {text(30)}")]
+        want.add((i + 1, i))
+    got = {(r["doc_id"], r["source_doc_id"]) for r in substrings.repeated_passages(frame(spark, rows)).collect()}
+    assert want <= got, sorted(want - got)
+
+
 def test_a_passage_in_many_documents_gives_a_row_each(spark):
     p = words(80)
     rows = [(i, f"{words(20)} {p} {words(20)}") for i in range(300)]
