@@ -24,7 +24,7 @@ from . import textkernels as K
 from .common import bounded_batches, materialise
 from .minhash import _groups, _whole_groups
 
-K_WORDS, WINDOW, MIN_WORDS, MIN_IDENTITY, MAX_GAP, GAP_COST = 5, 16, 50, 0.75, 24, 0.2
+K_WORDS, WINDOW, MIN_WORDS, MIN_IDENTITY, MAX_GAP, GAP_COST = 5, 8, 50, 0.75, 24, 0.2
 BITS, CELL = 2048, 512
 
 
@@ -259,7 +259,7 @@ def _align(ids: pa.DataType, options: dict):
 def _around(ids: pa.DataType, reach: int, k: int):
     """A row for each place of a seed: seed, doc_id, whether it is to be explained, place, sketch: a bit for each pair of
     successive words (with its count so far) of the ``reach`` words on either side."""
-    schema = pa.schema([("seed", pa.int64()), ("doc_id", ids), ("open", pa.bool_()), ("place", pa.int32()), ("sketch", pa.binary())])
+    schema = pa.schema([("seed", pa.int64()), ("doc_id", ids), ("open", pa.bool_()), ("place", pa.int32()), ("ni", pa.int32()), ("nj", pa.int32()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +267,7 @@ def _around(ids: pa.DataType, reach: int, k: int):
                 words = K.Words(data, offsets, lower=True)
                 spots = part.column(1)
                 counts = np.diff(spots.offsets.to_numpy())
-                seeds, low, high, opens = (x.to_numpy(zero_copy_only=False) for x in spots.flatten().flatten())
+                seeds, low, high, opens, ni, nj = (x.to_numpy(zero_copy_only=False) for x in spots.flatten().flatten())
                 row = np.repeat(np.arange(part.num_rows), counts)
                 twice = np.repeat(np.arange(len(row)), np.where(low < high, 2, 1))
                 place = low[twice]
@@ -290,7 +290,7 @@ def _around(ids: pa.DataType, reach: int, k: int):
                     np.put_along_axis(bits, spot, 1, axis=1)
                     packed = np.packbits(bits[:, :BITS], axis=1)
                     sketches = pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer((np.arange(len(t) + 1) * packed.shape[1]).astype(np.int32)), pa.py_buffer(packed)])
-                    yield pa.RecordBatch.from_arrays([pa.array(seeds[t], pa.int64()), part.column(0).take(pa.array(row[t])), pa.array(opens[t], pa.bool_()), pa.array(p.astype(np.int32)), sketches], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(seeds[t], pa.int64()), part.column(0).take(pa.array(row[t])), pa.array(opens[t], pa.bool_()), pa.array(p.astype(np.int32)), pa.array(ni[t], pa.int32()), pa.array(nj[t], pa.int32()), sketches], schema=schema)
 
     return run
 
@@ -354,14 +354,14 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     marked = held.join(spans, "doc_id", "left").select("seed", "doc_id", "low", "high", F.expr(is_open).alias("open"))
     sizes = marked.groupBy("seed").agg(F.sum(F.col("open").cast("int")).alias("no"), F.count("*").alias("n")).where("no > 0")
     sizes = sizes.select("seed", F.expr(f"cast(ceil(no / {CELL}) as int)").alias("ni"), F.expr(f"cast(ceil(n / {CELL}) as int)").alias("nj"))
-    places = marked.join(sizes.hint("merge"), "seed").groupBy("doc_id").agg(F.collect_list(F.struct("seed", "low", "high", "open")).alias("places"))
+    places = marked.join(sizes.hint("merge"), "seed").groupBy("doc_id").agg(F.collect_list(F.struct("seed", "low", "high", "open", "ni", "nj")).alias("places"))
     words = options.get("min_words", MIN_WORDS)
-    around = places.join(read.hint("merge"), "doc_id").select("doc_id", "places", "text").mapInArrow(_around(arrow, words, k), f"seed long, doc_id {name}, open boolean, place int, sketch binary")
+    around = places.join(read.hint("merge"), "doc_id").select("doc_id", "places", "text").mapInArrow(_around(arrow, words, k), f"seed long, doc_id {name}, open boolean, place int, ni int, nj int, sketch binary")
     own = "cast(pmod(xxhash64(doc_id, seed), {}) as int)"
     as_left = f"transform(sequence(0, nj - 1), x -> struct({own.format('ni')} as i, x as j, 1 as role))"
     as_right = f"transform(sequence(0, ni - 1), x -> struct(x as i, {own.format('nj')} as j, 2 as role))"
     roles = f"case when not open then {as_right} when ni = 1 and nj = 1 then array(struct(0 as i, 0 as j, 3 as role)) else concat({as_left}, {as_right}) end"
-    cells = around.join(sizes.hint("merge"), "seed").select("seed", F.explode(F.expr(roles)).alias("c"), "doc_id", "place", "sketch").select("seed", "c.i", "c.j", "doc_id", "place", "c.role", "sketch")
+    cells = around.select("seed", F.explode(F.expr(roles)).alias("c"), "doc_id", "place", "sketch").select("seed", "c.i", "c.j", "doc_id", "place", "c.role", "sketch")
     # each of the words that may differ spoils two of the word pairs; five bits are left for pairs that share a bit
     least = max(1, words - 1 - 2 * int((1 - options.get("min_identity", MIN_IDENTITY)) * words) - 5)
     met = cells.repartition("seed", "i", "j").sortWithinPartitions("seed", "i", "j").mapInArrow(_meet(arrow, least), f"doc_id {name}, source_doc_id {name}, place int")

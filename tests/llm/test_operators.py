@@ -156,6 +156,19 @@ def test_passages_that_earlier_holders_hide(spark):
     assert want <= got, sorted(want - got)
 
 
+def test_fuzzy_passages_are_proposed(spark):
+    rng, rows = np.random.default_rng(9), []
+    text = lambda n: ["".join(x) for x in rng.choice(list("abcdefghij"), (n, 6))]
+    for g in range(100):  # 80 words of which a fifth is changed
+        p = text(80)
+        q = [x if i else "changed" for x, i in zip(p, rng.permutation(80) >= 16, strict=True)]
+        rows += [(2 * g, " ".join([*text(30), *p, *text(30)])), (2 * g + 1, " ".join([*text(30), *q, *text(30)]))]
+    texts = [np.array([hash(w) & 0xFFFFFFFFFFFF for w in t.split()], np.uint64) for _, t in rows]
+    there = {2 * g + 1 for g in range(100) if substrings.passages(texts[2 * g + 1], texts[2 * g])}
+    got = {r["doc_id"] for r in substrings.repeated_passages(frame(spark, rows)).collect()}
+    assert len(there) > 20 and len(there & got) >= 0.9 * len(there), (len(there), len(there & got))
+
+
 def test_a_passage_in_many_documents_gives_a_row_each(spark):
     p = words(80)
     rows = [(i, f"{words(20)} {p} {words(20)}") for i in range(300)]
