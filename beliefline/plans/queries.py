@@ -295,7 +295,9 @@ def cox_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def gee_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "readers").select("reader", "agree", F.lit(1.0).alias("one"), F.col("arm").cast("double").alias("arm"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")  # all of them; the view of the SQL statements has a part
+    readers = orders.select((F.col("o_custkey") % 9).alias("reader"), (F.col("o_orderkey") % 2).alias("arm"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("agree"))
+    rows = readers.select("reader", "agree", F.lit(1.0).alias("one"), F.col("arm").cast("double").alias("arm"))
     f = stats.fit_gee(rows, "agree", ["one", "arm"], "reader")
     return tidy(spark.createDataFrame([(n, c, e, f["correlation"]) for n, c, e in zip(("intercept", "arm"), f["coefficients"], f["errors"], strict=True)], "name string, coefficient double, error double, correlation double"))
 
