@@ -4,13 +4,12 @@ A document's words are lower-cased (A-Z) runs of anything but ASCII white space;
 five-word shingles, or the whole sequence where it is shorter. Documents with equal sets collapse to one node first,
 so groups of copies of any size cost one row after a map-side combine. Each distinct set gets ``bands * rows`` bins
 of one permutation; an empty bin copies the first non-empty one of its own random order (optimal densification), so
-each bin still collides with the probability of the Jaccard similarity. Every bucket that holds two sets or more
-proposes a star, from each member to a centre, never all pairs. A proposal whose sketches (the bins) are far below the
-threshold goes; full sets confirm the others exactly. Buckets
-whose members are still apart propose further stars, from the members outside the bucket's main component to some of
-that and one of their own, other ones in each round, until a round confirms nothing new. Then all pairs of a bucket
-that are still apart are compared, in square cells of members: sketches first, then full sets, so that in the end
-any two members of a bucket are in one component or were compared themselves.
+each bin still collides with the probability of the Jaccard similarity. Buckets that hold two sets or more propose
+star-shaped edges, one a set: to that of its bucket mates that has the most mates in all, which is near the middle of
+its group. Full sets confirm them exactly, and links contract. In buckets whose members are still apart, members outside the
+main component are compared with all others of other components, in square cells: sketches (the bins) sift them, full
+sets decide, in the cell, and only links leave it. So any two members of a bucket end in one component or were
+compared themselves.
 """
 
 from __future__ import annotations
@@ -23,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import connected_components, drop_materialised, few, materialise
+from .common import connected_components, drop_materialised, materialise
 
-BANDS, ROWS, SHORT, CENTRES, CELL = 32, 4, 0.25, 4, 512
+BANDS, ROWS, CELL = 32, 4, 1 << 21
 
 
 def densified(hashes: np.ndarray, offsets: np.ndarray, bins: int) -> np.ndarray:
@@ -80,8 +79,8 @@ def _signatures(id_type: pa.DataType, bands: int, rows: int, k: int):
                 sizes = np.diff(o)
                 sig = densified(h, o, bands * rows)
                 keys = band_keys(sig, bands, rows).view(np.int64)
-                sketch = np.ascontiguousarray((K.mix(sig) >> np.uint64(48)).astype("<u2"))
-                sketches = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((np.arange(part.num_rows + 1) * sketch.shape[1] * 2).astype(np.int32)), pa.py_buffer(sketch)])
+                sketch = (K.mix(sig) >> np.uint64(56)).astype(np.uint8)
+                sketches = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((np.arange(part.num_rows + 1) * sketch.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sketch))])
                 have = np.flatnonzero(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)), pa.array(keys[have].reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(set_ids(h, o).view(np.int64), mask=sizes == 0), lists, sketches], schema=schema)
@@ -90,7 +89,7 @@ def _signatures(id_type: pa.DataType, bands: int, rows: int, k: int):
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for an empty set), the band keys and the sketch (16 bits a bin) of each row."""
+    """doc_id, n_shingles, set_id (null for an empty set), the band keys and the sketch (8 bits a bin) of each row."""
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -121,19 +120,6 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _alike(least: float):
-    """Keeps the pairs whose sketches agree on a share of ``least`` of the bins or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(K.utf8(batch.column(c))[0].tobytes(), "<u2").reshape(batch.num_rows, -1) for c in (2, 3))
-                good = np.flatnonzero((a == b).mean(axis=1) >= least)
-                yield batch.select([0, 1]).take(pa.array(good))
-
-    return run
-
-
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches that hold whole runs of equal values of the first three columns, rows being sorted by them."""
     kept: list[pa.RecordBatch] = []
@@ -160,61 +146,91 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1], edges[1:], strict=True)
 
 
-def _alike_in_cells(least: float):
-    """All pairs of a cell (key, i, j) that are apart and whose sketches agree on a share of ``least`` or more. Rows have
-    set_id, component, a role (1 left, 2 right, 3 both), whether they are outside the main component, the sketch."""
-    schema = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+def _pairs_in_cell(low: int, high: int, key: int, ids, component, role, outside, sketch, bands, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left row of the cell [low, high): the right rows that it has to be compared with, the most alike first.
+
+    Those are rows of other components whose sketches agree on a share of ``least`` or more and that share no earlier
+    band with it (so a pair is met in one bucket, not in each that it shares). Of two rows outside the main component
+    the one with the lesser id looks for the other.
+    """
+    other = low + np.flatnonzero(role[low:high] & 2)
+    for x in (low + np.flatnonzero(role[low:high] & 1)).tolist():
+        meet = other[(component[other] != component[x]) & (~outside[other] | (ids[other] > ids[x]))]
+        if len(meet):
+            alike = (sketch[meet] == sketch[x]).mean(axis=1)
+            near = alike >= least
+            meet, alike = meet[near], alike[near]
+        if len(meet):
+            first = bands[x][np.argmax(bands[meet] == bands[x], axis=1)] == key
+            meet, alike = meet[first], alike[first]
+        if len(meet):
+            yield x, meet[np.argsort(-alike, kind="stable")]
+
+
+def _cell_columns(batch: pa.RecordBatch):
+    """The columns of cells: set_id, component, role (1 left, 2 right, 3 both), outside the main component, sketch, bands."""
+    ids, component, role = (batch.column(c).to_numpy() for c in (3, 4, 5))
+    outside = batch.column(6).to_numpy(zero_copy_only=False)
+    sketch, bands = K.utf8(batch.column(7))[0], batch.column(8).flatten().to_numpy()
+    return ids, component, role, outside, sketch.reshape(batch.num_rows, -1), bands.reshape(batch.num_rows, -1)
+
+
+def _near_in_cells(least: float):
+    """The rows of cells (key, i, j) that have to be compared with another one of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
-            ids, component, role = (batch.column(c).to_numpy() for c in (3, 4, 5))
-            outside = batch.column(6).to_numpy(zero_copy_only=False)
-            sketch = np.frombuffer(K.utf8(batch.column(7))[0].tobytes(), "<u2").reshape(batch.num_rows, -1)
-            left, right = [], []
+            columns, keys = _cell_columns(batch), batch.column(0).to_numpy()
+            asked = np.zeros(batch.num_rows, bool)
             for low, high in _groups(batch):
-                other = low + np.flatnonzero(role[low:high] & 2)
-                for x in (low + np.flatnonzero(role[low:high] & 1)).tolist():
-                    # two members outside the main component meet twice
-                    meet = other[(component[other] != component[x]) & (~outside[other] | (ids[other] > ids[x]))]
-                    good = meet[(sketch[meet] == sketch[x]).mean(axis=1) >= least] if len(meet) else meet
-                    left.append(np.full(len(good), x))
-                    right.append(good)
-            if left and len(x := np.concatenate(left)):
-                a, b = ids[x], ids[np.concatenate(right)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(x)) for c in range(3)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+                for x, meet in _pairs_in_cell(low, high, keys[low], *columns, least):
+                    asked[x] = asked[meet] = True
+            if asked.any():
+                yield batch.filter(pa.array(asked))
 
     return run
 
 
-def _links_in_cells(k: int, percent: int):
-    """The links among the asked pairs of a cell. Rows have set_id, the ids it is to be compared with, the text; each text
-    of a cell is read once."""
+def _links_in_cells(least: float, k: int, percent: int):
+    """Links among the rows of cells, by full sets; rows have their texts too. As links only serve to join components,
+    a row is not compared with those that it has been joined with on the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
-            ids = batch.column(3).to_numpy()
-            data, at = K.utf8(batch.column(5))
+            columns, keys = _cell_columns(batch), batch.column(0).to_numpy()
+            ids, component = columns[0], columns[1]
             h, o = [], [np.zeros(1, np.int64)]
-            for i, j in K.chunks(at):
-                hashes, offsets = K.shingle_sets(K.Words(data[at[i] : at[j]], at[i : j + 1] - at[i], lower=True), k)
+            for _, data, offsets in K.text_blocks(batch):
+                hashes, ends = K.shingle_sets(K.Words(data, offsets, lower=True), k)
                 h.append(hashes)
-                o.append(offsets[1:] + o[-1][-1])
+                o.append(ends[1:] + o[-1][-1])
             h, o = np.concatenate(h), np.concatenate(o)
-            mates = batch.column(4).to_pylist()
+
+            def linked(x: int, to: np.ndarray) -> np.ndarray:
+                n, mine = o[to + 1] - o[to], h[o[x] : o[x + 1]]
+                those = h[K.ragged(o[to], n)]
+                same = mine[np.minimum(np.searchsorted(mine, those), len(mine) - 1)] == those
+                both = np.add.reduceat(same.astype(np.int64), np.cumsum(n) - n)
+                return to[100 * both >= percent * (n + len(mine) - both)]
+
             a, b = [], []
             for low, high in _groups(batch):
-                place = {x: low + n for n, x in enumerate(ids[low:high].tolist())}
-                for x in range(low, high):
-                    to = np.array([place[y] for y in mates[x] or () if y in place], np.int64)
-                    n, mine = o[to + 1] - o[to], h[o[x] : o[x + 1]]
-                    if not len(to) or not len(mine) or not n.all():
-                        continue
-                    those = h[K.ragged(o[to], n)]
-                    same = mine[np.minimum(np.searchsorted(mine, those), len(mine) - 1)] == those
-                    both = np.add.reduceat(same.astype(np.int64), np.cumsum(n) - n)
-                    good = to[100 * both >= percent * (n + len(mine) - both)]
-                    a += [ids[x]] * len(good)
-                    b += ids[good].tolist()
+                joined: dict[int, int] = {}
+
+                def root(c: int) -> int:
+                    while c in joined:
+                        c = joined[c]
+                    return c
+
+                for x, meet in _pairs_in_cell(low, high, keys[low], *columns, least):
+                    for part in (meet[:8], meet[8:]):
+                        part = np.array([y for y in part.tolist() if root(component[y]) != root(component[x])], np.int64)
+                        for y in linked(x, part).tolist() if len(part) else ():
+                            u, v = root(component[x]), root(component[y])
+                            if u != v:
+                                joined[max(u, v)] = min(u, v)
+                                a.append(ids[x])
+                                b.append(ids[y])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -241,103 +257,62 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Links join sets with 100 * intersection >= percent * union. A null or blank text has an empty set and links with
     nothing; it is its own component. Rows with a null id stay alone with a null component and are kept. Rows that
     repeat an id count by their texts: each belongs to the component of its own set. Other columns of docs, whatever
-    their names, are not read. n_copies counts the rows with exactly the same set.
+    their names, are not read. n_copies counts the rows with exactly the same set; set_id names it.
     """
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialise(signatures(read, bands=bands, rows=rows, k=k), "minhash")
-    sets = marked.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    sets = marked.where("set_id is not null and doc_id is not null").groupBy("set_id")
+    sets = sets.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     banded = sets.select("set_id", F.explode("bands").alias("key"))
-    # a bucket's centre is the member whose id differs least from one of eight masks: a group has few centres
-    masked = "set_id ^ xxhash64(key & 7)"
-    shared = banded.groupBy("key").agg(F.min(F.expr(masked)).alias("low"), F.max(F.expr(masked)).alias("high")).where("low <> high")
-    buckets = materialise(banded.join(shared.select("key", F.expr("low ^ xxhash64(key & 7)").alias("centre")), "key"), "buckets")
-    known = materialise(buckets.select("set_id").distinct().join(sets.select("set_id", "rep", "sketch"), "set_id"), "sketches")
-    # 128 bins fall 0.25 short of a link's similarity by six standard deviations
-    least = percent / 100 - SHORT
-    component, rounds = None, 0
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that are links: sketches first, then full sets from whole texts."""
-        side = lambda c: known.select(F.col("set_id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike(least), "a long, b long")
-        near = materialise(near, "near")
-        text = lambda c: wanted.select(F.col("set_id").alias(c), F.col("text").alias(f"text_{c}"))
-        sides = near.join(text("a"), "a").join(text("b"), "b")
-        return materialise(sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
-
-    wanted = materialise(
-        read.join(known.select("set_id", F.col("rep").alias("doc_id")), "doc_id").select("set_id", "text").mapInArrow(_texts(k), "set_id long, text string").dropDuplicates(["set_id"]),
-        "texts",
-    )
-    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    tested = materialise(buckets.where("set_id <> centre").select(*ordered("set_id", "centre")).distinct(), "pairs")
-    new = confirmed(tested)
-
-    def merged_with(component: DataFrame | None, new: DataFrame) -> DataFrame:
-        if component is None:
-            return connected_components(new)
-        # links join components, which point to the least of theirs
-        ends = new.join(component.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(component.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        merged = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
-        alone = merged.join(component, merged["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
-        return component.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
-
-    size = buckets.count()
-    while not new.isEmpty():
-        component = merged_with(component, new)
-        component = materialise(few(component, size), "component")
-        # buckets whose members have met for good are done with
-        now = buckets.select("key", "set_id").join(component.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
-        apart = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        now = materialise(few(now.join(apart, "key"), size), "buckets")
-        drop_materialised(buckets)
-        buckets, rounds = now, rounds + 1
-        # in a bucket, members outside its main component meet some members of that, and one of their own
-        salts = [F.xxhash64("key", F.lit(CENTRES * rounds + j)) for j in range(CENTRES)]
-        parts = now.groupBy("key", "component").agg(F.count("*").alias("n"), *(F.min(F.col("set_id").bitwiseXOR(x)).alias(f"c{j}") for j, x in enumerate(salts)))
-        parts = parts.select("key", "component", "n", F.array_distinct(F.array(*(F.col(f"c{j}").bitwiseXOR(x) for j, x in enumerate(salts)))).alias("centres"))
-        main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max_by("centres", F.struct("n", "component")).alias("centres"), F.count("*").alias("parts")).where("parts > 1")
-        other = parts.join(main.select("key", "main"), "key").where("component <> main").groupBy("key").agg(F.min_by(F.col("centres")[0], F.xxhash64("component", F.lit(rounds))).alias("own"))
-        stars = main.join(other, "key").select(F.col("key").alias("at"), "main", F.concat("centres", F.array("own")).alias("centres"))
-        outside = now.join(stars, (F.col("key") == F.col("at")) & (F.col("component") != F.col("main")))
-        pairs = outside.select("set_id", F.explode("centres").alias("centre")).where("set_id <> centre").select(*ordered("set_id", "centre")).distinct()
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested, new = tested.union(pairs), confirmed(pairs)
-    # what is still apart in a bucket is compared pair by pair: members outside the main component with all others
-    stored = buckets
-    if component is None:
-        buckets = buckets.select("key", "set_id", F.col("set_id").alias("component"))
-    parts = buckets.groupBy("key", "component").agg(F.count("*").alias("n"))
-    cells = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
-    cells = cells.select(F.col("key").alias("at"), "main", F.expr(f"cast(ceil((all - most) / {CELL}) as int)").alias("ni"), F.expr(f"cast(ceil(all / {CELL}) as int)").alias("nj"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialise(banded.join(shared, "key"), "buckets")
+    # the first stars: each set meets the one of its bucket mates with the most mates in all, the middle of its group
+    mates = buckets.groupBy("set_id").agg(F.sum("n").alias("mates"))
+    ranked = buckets.join(mates, "set_id").select("key", "set_id", F.struct("mates", "set_id").alias("rank"))
+    hubs = ranked.join(ranked.groupBy("key").agg(F.max("rank").alias("top")), "key").groupBy("set_id").agg(F.max("top")["set_id"].alias("hub")).where("set_id <> hub")
+    members = materialise(mates.join(sets, "set_id").select("set_id", "rep", "n_shingles", "bands", "sketch"), "members")
+    texts = read.join(members.select("set_id", F.col("rep").alias("doc_id")), "doc_id").select("set_id", "text")
+    texts = materialise(texts.mapInArrow(_texts(k), "set_id long, text string").dropDuplicates(["set_id"]), "texts")
+    side = lambda c: texts.select(F.col("set_id").alias(c), F.col("text").alias(f"text_{c}"))
+    stars = hubs.select(F.col("set_id").alias("a"), F.col("hub").alias("b")).join(side("a"), "a").join(side("b"), "b")
+    links = materialise(stars.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+    component = connected_components(links)
+    # what is still apart in a bucket is compared pair by pair: members outside the main component with all others, in
+    # square cells of so many members that their sets have about CELL shingles a side
+    now = buckets.select("key", "set_id").join(members.drop("rep"), "set_id").join(component.withColumnRenamed("node", "set_id"), "set_id", "left")
+    now = now.withColumn("component", F.coalesce("component", "set_id"))
+    parts = now.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    cells = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("s").alias("s")).where("all > most")
+    side_rows = f"greatest(64, least(2048, {CELL} * all / s))"
+    cells = cells.select(F.col("key").alias("at"), "main", F.expr(f"cast(ceil((all - most) / {side_rows}) as int)").alias("ni"), F.expr(f"cast(ceil(all / {side_rows}) as int)").alias("nj"))
     own = "cast(pmod(xxhash64(set_id, key), {}) as int)"
     as_left = f"transform(sequence(0, nj - 1), x -> struct({own.format('ni')} as i, x as j, 1 as role))"
     as_right = f"transform(sequence(0, ni - 1), x -> struct(x as i, {own.format('nj')} as j, 2 as role))"
     roles = f"case when not outside then {as_right} when ni = 1 and nj = 1 then array(struct(0 as i, 0 as j, 3 as role)) else concat({as_left}, {as_right}) end"
-    members = buckets.join(cells, F.col("key") == F.col("at")).withColumn("outside", F.expr("component <> main")).select("key", "set_id", "component", "outside", F.explode(F.expr(roles)).alias("c"))
-    members = members.select("key", "c.i", "c.j", "set_id", "component", "c.role", "outside").join(known.select("set_id", "sketch"), "set_id")
-    ordered_cells = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    near = ordered_cells(members).select("key", "i", "j", "set_id", "component", "role", "outside", "sketch").mapInArrow(_alike_in_cells(least), "key long, i int, j int, a long, b long")
-    near = near.groupBy("a", "b").agg(F.min(F.struct("key", "i", "j")).alias("c")).select("c.*", "a", "b")
-    near = materialise(near.join(tested, ["a", "b"], "left_anti"), "near")
-    asked = near.groupBy("key", "i", "j", F.col("a").alias("set_id")).agg(F.collect_list("b").alias("mates"))
-    asked = asked.unionByName(near.select("key", "i", "j", F.col("b").alias("set_id"), F.lit(None).cast("array<bigint>").alias("mates")).distinct())
-    asked = asked.groupBy("key", "i", "j", "set_id").agg(F.first("mates", ignorenulls=True).alias("mates"))
-    new = ordered_cells(asked.join(wanted, "set_id")).select("key", "i", "j", "set_id", "mates", "text").mapInArrow(_links_in_cells(k, percent), "a long, b long")
-    new = materialise(new, "links")
-    if not new.isEmpty():
-        component = materialise(few(merged_with(component, new), size), "component")
-    drop_materialised(wanted)
-    drop_materialised(stored)
+    rows_of = now.join(cells, F.col("key") == F.col("at")).withColumn("outside", F.expr("component <> main")).withColumn("c", F.explode(F.expr(roles)))
+    rows_of = rows_of.select("key", "c.i", "c.j", "set_id", "component", "c.role", "outside", "sketch", "bands")
+    in_cells = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # bins fall this short of a link's similarity by five standard deviations
+    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
+    asked = materialise(in_cells(rows_of).mapInArrow(_near_in_cells(least), rows_of.schema), "near")
+    compared = in_cells(asked.join(texts, "set_id").select(*asked.columns, "text")).mapInArrow(_links_in_cells(least, k, percent), "a long, b long")
+    late = materialise(compared, "links")
+    for done in (buckets, members, texts, asked):
+        drop_materialised(done)
+    if not late.isEmpty():
+        # links join components: each end stands for its own
+        end = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        ends = late.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        alone = merged.join(component, merged["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
+        component = component.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
     groups = marked.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
-    if component is not None:
-        groups = groups.join(component.withColumnRenamed("node", "set_id"), "set_id", "left")
-        whole = groups.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
-        groups = groups.join(whole, "component", "left").select("set_id", "n_copies", F.coalesce("lowest", "least").alias("least"))
+    groups = groups.join(component.withColumnRenamed("node", "set_id"), "set_id", "left")
+    whole = groups.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
+    groups = groups.join(whole, "component", "left").select("set_id", "n_copies", F.coalesce("lowest", "least").alias("least"))
     out = marked.drop("bands", "sketch").join(groups, "set_id", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "set_id")
 
 
 #: The same in DuckDB's SQL, by an exact join on shared shingles.
