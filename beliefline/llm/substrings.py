@@ -1,13 +1,16 @@
 """Repeated passages across documents, exact or fuzzy: shared k-mer seeds, collinear chains, aligned passages.
 
-Words are lower-cased (A-Z) runs of anything but ASCII white space. Minimisers of the 5-word k-mers (the least hash of
-each window) find which documents share text. First each seed links a document to the least one that holds it and to
-the one before by id; links of two seeds are aligned. Seeds that no passage covers then meet all earlier holders, in
-square cells of documents: pairs whose words around one seed are alike by sketches of word pairs are aligned too. Any
-exact passage of ``window + 4`` words shares a seed.
-For each linked pair all common k-mers around its seeds are matched; runs of matches on a diagonal are segments; a Fenwick tree of
-prefix maxima chains segments that are ordered in both texts, at a cost for each word of gap; chains are cut at long
-gaps, extended and aligned word by word. A passage is reported for the later document, with its place in the other.
+Words are lower-cased (A-Z) runs of anything but ASCII white space. Seeds are minimisers of the 5-word k-mers (the
+least hash of each window). Proposals are linear in the text, whatever the size of a group that shares some:
+1. A seed links each of its documents to the least one that holds it; pairs with two such seeds are aligned.
+2. Seeds of a document that no passage found so covers are open. In all documents that hold an open seed, each run of
+   ``min_words`` words that begins at most a window before the seed gives a key, and so does the seed with
+   each of the next three open ones; a key links its documents to the least that holds it.
+An exact run of ``min_words`` words has a minimiser in its first window, so step 2 links any such run that no passage
+covers to the first document that holds the very same run: exact repeats are complete. Fuzzy ones need two seeds.
+For each linked pair, cut to the words around its seeds, runs of common k-mers on a diagonal are segments; a Fenwick
+tree of prefix maxima chains segments that are ordered in both texts, at a cost for each word of gap; chains are cut at
+long gaps, extended and aligned word by word. A passage is reported for the later document, with its place in the other.
 """
 
 from __future__ import annotations
@@ -22,10 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkernels as K
 from .common import bounded_batches, materialise
-from .minhash import _groups, _whole_groups
 
-K_WORDS, WINDOW, MIN_WORDS, MIN_IDENTITY, MAX_GAP, GAP_COST = 5, 8, 50, 0.75, 24, 0.2
-BITS, CELL = 2048, 512
+K_WORDS, WINDOW, MIN_WORDS, MIN_IDENTITY, MAX_GAP, GAP_COST, REACH = 5, 8, 50, 0.75, 24, 0.2, 32
 
 
 def _slide(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -37,9 +38,8 @@ def _slide(x: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(out[: len(x) - w + 1], out[w - size :][: len(x) - w + 1]) if size < w else out
 
 
-def minimisers(words: K.Words, k: int = K_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, row, first place, last place), distinct in each row; a row with fewer k-mers than a window gives its
-    least one."""
+def occurrences(words: K.Words, k: int = K_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, row, place) of all minimisers, by row and place; a row with fewer k-mers than a window gives its least one."""
     h, row, at = K.shingles(words, k)
     chosen = np.zeros(len(h), bool)
     edges = np.searchsorted(row, np.arange(len(words.counts) + 1))
@@ -55,7 +55,12 @@ def minimisers(words: K.Words, k: int = K_WORDS, window: int = WINDOW) -> tuple[
         least = np.minimum.reduceat(h[those], np.cumsum(lengths) - lengths)
         chosen[those] = h[those] == np.repeat(least, lengths)
     chosen[words.counts[row] < k] = False
-    h, row, place = h[chosen], row[chosen], (at - words.first[:-1][row])[chosen]
+    return h[chosen], row[chosen], (at - words.first[:-1][row])[chosen]
+
+
+def minimisers(words: K.Words, k: int = K_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, row, first place, last place), distinct in each row."""
+    h, row, place = occurrences(words, k, window)
     order = np.lexsort((place, h, row))
     h, row, place = h[order], row[order], place[order]
     edge = np.ones(len(h) + 1, bool)
@@ -121,6 +126,16 @@ def segments(x: np.ndarray, y: np.ndarray, k: int) -> list[tuple[int, int, int]]
     return list(zip(x[first].tolist(), y[first].tolist(), (x[last] - x[first] + k).tolist(), strict=True))
 
 
+def diagonal_runs(a: np.ndarray, b: np.ndarray, diagonal: int, k: int) -> list[tuple[int, int, int]]:
+    """(x, y, words) of the runs of k words or more that agree where y = x - diagonal."""
+    low, high = max(0, diagonal), min(len(a), len(b) + diagonal)
+    if high - low < k:
+        return []
+    same = np.concatenate([[False], a[low:high] == b[low - diagonal : high - diagonal], [False]])
+    turn = np.flatnonzero(same[1:] != same[:-1])
+    return [(low + x, low + x - diagonal, z - x) for x, z in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True) if z - x >= k]
+
+
 def chains(parts: list[tuple[int, int, int]], cost: float = GAP_COST) -> list[list[tuple[int, int, int]]]:
     """Disjoint chains of segments that follow each other in both texts, best first.
 
@@ -166,18 +181,29 @@ def edit_distance(a: list, b: list) -> int:
 
 def _extend(a: np.ndarray, b: np.ndarray, drop: int = 3) -> tuple[int, int]:
     """(words, errors) that a and b run on alike: words score 1 or -1; ends once the score has fallen by drop."""
-    score = best = words = errors = at = 0
-    for n, same in enumerate((a == b).tolist(), 1):
-        score, errors = (score + 1, errors) if same else (score - 1, errors + 1)
-        if score > best:
-            best, words, at = score, n, errors
-        elif score <= best - drop:
-            break
-    return words, at
-
-
-def passages(a: np.ndarray, b: np.ndarray, *, k: int = K_WORDS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, max_gap: int = MAX_GAP) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, start in b, end in b, identity) of the passages of two sequences of word hashes."""
+    size = 64
+    while True:
+        same = a[:size] == b[:size]
+        score = np.cumsum(np.where(same, 1, -1))
+        top = np.maximum(np.maximum.accumulate(score), 0) if len(score) else score
+        over = np.flatnonzero(score <= top - drop)
+        if len(over) or size >= len(a):
+            end = int(over[0]) if len(over) else len(score)
+            if not end or score[:end].max() <= 0:
+                return 0, 0
+            words = int(np.argmax(score[:end])) + 1
+            return words, int((~same[:words]).sum())
+        size *= 4
+
+
+def passages(
+    a: np.ndarray, b: np.ndarray, *, k: int = K_WORDS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, max_gap: int = MAX_GAP, diagonals: tuple[int, ...] = ()
+) -> list[tuple[int, int, int, int, float]]:
+    """(start, end, start in b, end in b, identity) of the passages of two sequences of word hashes.
+
+    Runs of common words on the given diagonals are segments whatever else their k-mers match; of the others, the j-th
+    occurrence of a k-mer goes with the j-th in b.
+    """
     if len(a) < min_words or len(b) < min_words:
         return []
     if len(a) == len(b) and (a == b).all():
@@ -186,8 +212,11 @@ def passages(a: np.ndarray, b: np.ndarray, *, k: int = K_WORDS, min_words: int =
     def kmers(w: np.ndarray) -> np.ndarray:
         return sum((w[j : len(w) - k + 1 + j] * K._STEP[j] for j in range(k)), np.zeros(len(w) - k + 1, np.uint64))
 
+    parts = set(segments(*matches(kmers(a), kmers(b)), k))
+    for d in diagonals:
+        parts.update(diagonal_runs(a, b, d, k))
     out = []
-    for chain in chains(segments(*matches(kmers(a), kmers(b)), k)):
+    for chain in chains(sorted(parts)):
         run: list[tuple[int, int, int]] = []
         for part in [*chain, None]:
             if run and (part is None or part[0] - run[-1][0] - run[-1][2] > max_gap or part[1] - run[-1][1] - run[-1][2] > max_gap):
@@ -196,10 +225,10 @@ def passages(a: np.ndarray, b: np.ndarray, *, k: int = K_WORDS, min_words: int =
                     errors += edit_distance(a[x + n : u].tolist(), b[y + n : v].tolist())
                 x0, y0 = run[0][:2]
                 x1, y1 = run[-1][0] + run[-1][2], run[-1][1] + run[-1][2]
-                n = min(x0, y0, 200)
+                n = min(x0, y0)
                 more, wrong = _extend(a[x0 - n : x0][::-1], b[y0 - n : y0][::-1])
                 x0, y0, errors = x0 - more, y0 - more, errors + wrong
-                n = min(len(a) - x1, len(b) - y1, 200)
+                n = min(len(a) - x1, len(b) - y1)
                 more, wrong = _extend(a[x1 : x1 + n], b[y1 : y1 + n])
                 x1, y1, errors = x1 + more, y1 + more, errors + wrong
                 identity = 1 - errors / max(x1 - x0, y1 - y0)
@@ -208,47 +237,60 @@ def passages(a: np.ndarray, b: np.ndarray, *, k: int = K_WORDS, min_words: int =
                 run = []
             if part:
                 run.append(part)
-    return sorted(out)
+    return sorted(set(out))
 
 
 def _slices(ids: pa.DataType, slack: int):
     """Cuts texts to the words from low - slack to high + slack, with the place and the byte where the cut begins."""
-    schema = pa.schema([("doc_id", ids), ("source_doc_id", ids), ("first_word", pa.int64()), ("first_byte", pa.int64()), ("text", pa.string())])
+    schema = pa.schema(
+        [("doc_id", ids), ("source_doc_id", ids), ("side", pa.int32()), ("diagonals", pa.list_(pa.int64())), ("digest", pa.int64()), ("first_word", pa.int64()), ("first_byte", pa.int64()), ("text", pa.string())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in K.text_blocks(batch):
                 words = K.Words(data, offsets, lower=True)
-                low = np.maximum(part.column(2).to_numpy() - slack, 0)
-                high = np.minimum(part.column(3).to_numpy() + slack, words.counts) - 1
+                low = np.maximum(part.column(5).to_numpy() - slack, 0)
+                high = np.minimum(part.column(6).to_numpy() + slack, words.counts) - 1
                 good = np.flatnonzero(high >= low)  # an id may stand on a shorter text too
                 a, b = words.starts[words.first[good] + low[good]], words.ends[words.first[good] + high[good]]
                 at = np.concatenate([[0], np.cumsum(b - a)])
                 texts = pa.Array.from_buffers(pa.string(), len(good), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[K.ragged(a, b - a)])])
                 take = pa.array(good)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(low[good].astype(np.int64)), pa.array(a - offsets[good]), texts], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(5)), pa.array(low[good].astype(np.int64)), pa.array(a - offsets[good]), texts], schema=schema)
 
     return run
 
 
 def _align(ids: pa.DataType, options: dict):
-    schema = pa.schema([("doc_id", ids), ("source_doc_id", ids), *((c, pa.int64()) for c in ("start_word", "end_word", "source_start_word", "source_end_word", "start_byte", "end_byte")), ("identity", pa.float64())])
+    """Passages of pairs. Rows are sorted by pair and side (0 the document, 1 its source): a pair has a row of each side,
+    more where rows repeat an id. A pair's rows may stand in two batches."""
+    schema = pa.schema(
+        [("doc_id", ids), ("source_doc_id", ids), ("digest", pa.int64()), *((c, pa.int64()) for c in ("start_word", "end_word", "source_start_word", "source_end_word", "start_byte", "end_byte")), ("identity", pa.float64())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, documents = None, []
         for batch in batches:
-            data_a, at_a = K.utf8(batch.column(4))
-            data_b, at_b = K.utf8(batch.column(5))
-            word, byte = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             rows, found = [], []
-            for i, j in K.chunks(at_a + at_b):
-                a = K.Words(data_a[at_a[i] : at_a[j]], at_a[i : j + 1] - at_a[i], lower=True)
-                b = K.Words(data_b[at_b[i] : at_b[j]], at_b[i : j + 1] - at_b[i], lower=True)
-                for r in range(j - i):
-                    lo, hi = a.first[r], a.first[r + 1]
-                    for p in passages(a.hashes[lo:hi], b.hashes[b.first[r] : b.first[r + 1]], **options):
-                        n, begin = word[i + r], byte[i + r] + at_a[i] - at_a[i + r]
-                        rows.append(i + r)
-                        found.append((n + p[0], n + p[1], p[2], p[3], begin + a.starts[lo + p[0]], begin + a.ends[lo + p[1] - 1], p[4]))
+            doc, source, side = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            diagonals, digest, word, byte = batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            r = 0
+            for part, data, offsets in K.text_blocks(batch):
+                words = K.Words(data, offsets, lower=True)
+                for n in range(part.num_rows):
+                    lo, hi = words.first[n], words.first[n + 1]
+                    if (doc[r], source[r]) != pair:
+                        pair, documents = (doc[r], source[r]), []
+                    if not side[r]:
+                        begin = byte[r] - int(offsets[n])
+                        documents.append((digest[r], word[r], diagonals[r].as_py() or (), words.hashes[lo:hi].copy(), words.starts[lo:hi] + begin, words.ends[lo:hi] + begin))
+                    for digest_of, first, lines, hashes, starts, ends in documents if side[r] else ():
+                        shift = first - word[r]
+                        for p in passages(hashes, words.hashes[lo:hi], diagonals=tuple(d - shift for d in lines), **options):
+                            rows.append(r)
+                            found.append((digest_of, first + p[0], first + p[1], word[r] + p[2], word[r] + p[3], int(starts[p[0]]), int(ends[p[1] - 1]), p[4]))
+                    r += 1
             if rows:
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(list(c), f.type) for c, f in zip(zip(*found, strict=True), list(schema)[2:], strict=True))], schema=schema)
@@ -256,144 +298,112 @@ def _align(ids: pa.DataType, options: dict):
     return run
 
 
-def _around(ids: pa.DataType, reach: int, k: int):
-    """A row for each place of a seed: seed, doc_id, whether it is to be explained, place, sketch: a bit for each pair of
-    successive words (with its count so far) of the ``reach`` words on either side."""
-    schema = pa.schema([("seed", pa.int64()), ("doc_id", ids), ("open", pa.bool_()), ("place", pa.int32()), ("ni", pa.int32()), ("nj", pa.int32()), ("sketch", pa.binary())])
+def _keys(ids: pa.DataType, k: int, window: int, length: int):
+    """(key, doc_id, place, whole) of the texts that hold open seeds: for each run of ``length`` words that begins at most
+    a window before one, and for each pair of one with one of the next three within REACH words. Distinct in a text."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", ids), ("place", pa.int32()), ("whole", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in K.text_blocks(batch):
                 words = K.Words(data, offsets, lower=True)
-                spots = part.column(1)
-                counts = np.diff(spots.offsets.to_numpy())
-                seeds, low, high, opens, ni, nj = (x.to_numpy(zero_copy_only=False) for x in spots.flatten().flatten())
-                row = np.repeat(np.arange(part.num_rows), counts)
-                twice = np.repeat(np.arange(len(row)), np.where(low < high, 2, 1))
-                place = low[twice]
-                place[1:] = np.where(twice[1:] == twice[:-1], high[twice[1:]], place[1:])
-                good = place < words.counts[row[twice]]  # an id may stand on a shorter text too
-                twice, place = twice[good], place[good]
-                pairs = np.append(words.hashes[:-1] * K._STEP[0] + words.hashes[1:] * K._STEP[1], np.zeros(1, np.uint64))
-                steps = np.arange(-reach, k + reach)
-                for i in range(0, len(twice), 4096):
-                    t, p = twice[i : i + 4096], place[i : i + 4096]
-                    at = p[:, None] + steps
-                    inside = (at >= 0) & (at < words.counts[row[t]][:, None] - 1)
-                    near = np.where(inside, pairs[np.where(inside, at + words.first[:-1][row[t]][:, None], 0)], np.uint64(0))
-                    near.sort(axis=1)
-                    n = np.arange(near.shape[1])
-                    first = np.where(np.concatenate([np.ones((len(t), 1), bool), near[:, 1:] != near[:, :-1]], axis=1), n, 0)
-                    nth = n - np.maximum.accumulate(first, axis=1)
-                    bits = np.zeros((len(t), BITS + 1), np.uint8)
-                    spot = np.where(near > 0, (K.mix(near + nth.astype(np.uint64) * K._STEP[2]) % np.uint64(BITS)).astype(np.int64), BITS)
-                    np.put_along_axis(bits, spot, 1, axis=1)
-                    packed = np.packbits(bits[:, :BITS], axis=1)
-                    sketches = pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer((np.arange(len(t) + 1) * packed.shape[1]).astype(np.int32)), pa.py_buffer(packed)])
-                    yield pa.RecordBatch.from_arrays([pa.array(seeds[t], pa.int64()), part.column(0).take(pa.array(row[t])), pa.array(opens[t], pa.bool_()), pa.array(p.astype(np.int32)), pa.array(ni[t], pa.int32()), pa.array(nj[t], pa.int32()), sketches], schema=schema)
+                h, row, place = occurrences(words, k, window)
+                lists = part.column(1)
+                asked = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                seeds = lists.flatten().to_numpy().view(np.uint64)
+                # a seed is open in its own row alone
+                held = np.isin(K.mix(h) + row.astype(np.uint64) * K._STEP[0], K.mix(seeds) + asked.astype(np.uint64) * K._STEP[0])
+                h, row, place = h[held], row[held], place[held]
+                up, down = K.powers(len(words.hashes) + 1)
+                run_sum = np.zeros(len(words.hashes) + 1, np.uint64)
+                np.cumsum(words.hashes * up[: len(words.hashes)], out=run_sum[1:])
+                begin = (place[:, None] - np.arange(window)).reshape(-1)
+                of = np.repeat(row, window)
+                good = (begin >= 0) & (begin + length <= words.counts[of])
+                begin, of = begin[good], of[good]
+                at = begin + words.first[:-1][of]
+                found = [(K.mix((run_sum[at + length] - run_sum[at]) * down[at] + np.uint64(length)), of, begin, np.ones(len(of), bool))]
+                for gap in (1, 2, 3):
+                    a, b = np.arange(max(len(h) - gap, 0)), np.arange(gap, max(len(h), gap))
+                    near = (row[a] == row[b]) & (place[b] - place[a] <= REACH)
+                    a, b = a[near], b[near]
+                    found.append((K.mix(h[a] * K._STEP[1] + h[b] * K._STEP[2] + np.uint64(1)), row[a], place[a], np.zeros(len(a), bool)))
+                key, of, at, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((at, key, of))
+                key, of, at, whole = key[order], of[order], at[order], whole[order]
+                first = np.ones(len(key), bool)
+                first[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), part.column(0).take(pa.array(of[first])), pa.array(at[first].astype(np.int32)), pa.array(whole[first])], schema=schema)
 
     return run
 
 
-def _meet(ids: pa.DataType, least: int):
-    """Pairs (doc_id, earlier source_doc_id, place) of a cell (seed, i, j) whose sketches have ``least`` bits in common.
-    Rows have doc_id, place, role (1 left, 2 right, 3 both), sketch."""
-    schema = pa.schema([("doc_id", ids), ("source_doc_id", ids), ("place", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            docs = batch.column(3).to_numpy(zero_copy_only=False)
-            role = batch.column(5).to_numpy()
-            packed = np.frombuffer(K.utf8(batch.column(6))[0].tobytes(), np.uint64).reshape(batch.num_rows, -1)
-            edges = np.array([0, *(high for _, high in _groups(batch))])
-            right = np.flatnonzero(role & 2)
-            bounds = np.searchsorted(right, edges)
-            left = np.flatnonzero(role & 1)
-            cell = np.searchsorted(edges, left, "right") - 1
-            begin, n = bounds[cell], bounds[cell + 1] - bounds[cell]
-            for i, j in K.chunks(np.concatenate([[0], np.cumsum(n)]), 100_000):
-                x, y = np.repeat(left[i:j], n[i:j]), right[K.ragged(begin[i:j], n[i:j])]
-                earlier = (docs[y] < docs[x]).astype(bool)
-                x, y = x[earlier], y[earlier]
-                good = np.bitwise_count(packed[x] & packed[y]).sum(axis=1, dtype=np.int64) >= least
-                if good.any():
-                    x, y = pa.array(x[good]), pa.array(y[good])
-                    yield pa.RecordBatch.from_arrays([batch.column(3).take(x), batch.column(3).take(y), batch.column(4).take(x)], schema=schema)
-
-    return run
+def _linked(held: DataFrame, key: str, place: str) -> DataFrame:
+    """held with the least document of each key and its place there, where the key has two documents or more."""
+    least = held.groupBy(key).agg(F.min(F.struct("doc_id", F.col(place).alias("at"))).alias("least"), F.max("doc_id").alias("last")).where("least.doc_id < last")
+    return held.join(least.select(key, F.col("least.doc_id").alias("source_doc_id"), F.col("least.at").alias("at")), key)
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_seeds: int = 2, **options) -> DataFrame:
     """A row for each passage of a document that an earlier one (by id) holds too: doc_id, source_doc_id, word and
-    byte ranges, identity (share of words that agree), n_words.
+    byte ranges, identity (share of words that agree), n_words, digest (xxhash64 of the document's text).
 
     Options are those of passages(): min_words, min_identity, max_gap, k. Rows with a null id or text take no part;
-    rows that repeat an id count as one document and are not compared with each other. Other columns are not read.
+    rows that repeat an id count as one document and are not compared with each other. Texts of fewer than min_words
+    words have no passage. Other columns, whatever their names, are not read.
     """
     bounded_batches(docs.sparkSession)
-    k = options.get("k", K_WORDS)
+    k, length = options.get("k", K_WORDS), options.get("min_words", MIN_WORDS)
     kind = docs.schema[id_col].dataType
     arrow, name = to_arrow_type(kind), kind.simpleString()
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     seeds = read.mapInArrow(_seeds(arrow, k, window), f"doc_id {name}, seed long, low int, high int")
-    # rows that repeat an id count once; in a seed, ids ascend
-    held = seeds.repartition("seed").groupBy("seed", "doc_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    by_id = Window.partitionBy("seed").orderBy("doc_id")
-    held = held.select("*", F.first("doc_id").over(by_id.rowsBetween(Window.unboundedPreceding, 0)).alias("least"), F.lag("doc_id").over(by_id).alias("before"), F.lead("low").over(by_id).alias("after"))
-    held = materialise(held.where("before is not null or after is not null").drop("after"), "seeds")
+    held = materialise(_linked(seeds, "seed", "low"), "seeds")
     spark = docs.sparkSession
     spark.sparkContext._jvm.System.gc()  # the shuffle files of what is written go
-    linked = held.where("before is not null").select("doc_id", F.explode(F.array_distinct(F.array("least", "before"))).alias("source_doc_id"), "low", "high")
-    pairs = linked.groupBy("doc_id", "source_doc_id").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("n") >= least_seeds).drop("n")
-    pairs = materialise(pairs, "pairs")
+    later = held.where("doc_id <> source_doc_id")
+    spans = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("at").alias("source_low"), F.max("at").alias("source_high"), F.collect_set(F.expr("cast(low - at as bigint)")).alias("diagonals")]
+    pairs = materialise(later.groupBy("doc_id", "source_doc_id").agg(F.count("*").alias("n"), *spans).where(F.col("n") >= least_seeds).drop("n"), "pairs")
     found = materialise(_aligned(read, pairs, window, k, options), "passages")
     spark.sparkContext._jvm.System.gc()
-    # seeds that no passage covers meet every earlier holder
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    is_open = f"before is not null and not coalesce(exists(spans, x -> x.start_word <= low and x.end_word >= high + {k}), false)"
-    marked = held.join(spans, "doc_id", "left").select("seed", "doc_id", "low", "high", F.expr(is_open).alias("open"))
-    sizes = marked.groupBy("seed").agg(F.sum(F.col("open").cast("int")).alias("no"), F.count("*").alias("n")).where("no > 0")
-    sizes = sizes.select("seed", F.expr(f"cast(ceil(no / {CELL}) as int)").alias("ni"), F.expr(f"cast(ceil(n / {CELL}) as int)").alias("nj"))
-    places = marked.join(sizes.hint("merge"), "seed").groupBy("doc_id").agg(F.collect_list(F.struct("seed", "low", "high", "open", "ni", "nj")).alias("places"))
-    words = options.get("min_words", MIN_WORDS)
-    around = places.join(read.hint("merge"), "doc_id").select("doc_id", "places", "text").mapInArrow(_around(arrow, words, k), f"seed long, doc_id {name}, open boolean, place int, ni int, nj int, sketch binary")
-    own = "cast(pmod(xxhash64(doc_id, seed), {}) as int)"
-    as_left = f"transform(sequence(0, nj - 1), x -> struct({own.format('ni')} as i, x as j, 1 as role))"
-    as_right = f"transform(sequence(0, ni - 1), x -> struct(x as i, {own.format('nj')} as j, 2 as role))"
-    roles = f"case when not open then {as_right} when ni = 1 and nj = 1 then array(struct(0 as i, 0 as j, 3 as role)) else concat({as_left}, {as_right}) end"
-    cells = around.select("seed", F.explode(F.expr(roles)).alias("c"), "doc_id", "place", "sketch").select("seed", "c.i", "c.j", "doc_id", "place", "c.role", "sketch")
-    # each of the words that may differ spoils two of the word pairs; five bits are left for pairs that share a bit
-    least = max(1, words - 1 - 2 * int((1 - options.get("min_identity", MIN_IDENTITY)) * words) - 5)
-    met = cells.repartition("seed", "i", "j").sortWithinPartitions("seed", "i", "j").mapInArrow(_meet(arrow, least), f"doc_id {name}, source_doc_id {name}, place int")
-    met = met.groupBy("doc_id", "source_doc_id").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    # open seeds, and all that hold them
+    covered = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    inside = f"coalesce(exists(spans, x -> x.start_word <= low and x.end_word >= high + {k}), false)"
+    open_seeds = later.join(covered, "doc_id", "left").where(f"not {inside}").select("seed").distinct()
+    places = held.join(open_seeds, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
+    keys = places.join(read.hint("merge"), "doc_id").select("doc_id", "seeds", "text").mapInArrow(_keys(arrow, k, window, length), f"key long, doc_id {name}, place int, whole boolean")
+    keys = materialise(keys, "keys")
+    met = _linked(keys, "key", "place").where("doc_id <> source_doc_id").withColumns({"low": F.col("place"), "high": F.col("place")})
+    met = met.groupBy("doc_id", "source_doc_id").agg(F.max("whole").alias("whole"), *spans)
+    # pairs of seeds whose words were aligned already say nothing new
     first = pairs.select("doc_id", "source_doc_id", F.col("low").alias("l"), F.col("high").alias("h"))
-    more = met.join(first, ["doc_id", "source_doc_id"], "left").where("l is null or low < l or high > h")
-    more = materialise(more.select("doc_id", "source_doc_id", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high")), "pairs")
+    more = met.join(first, ["doc_id", "source_doc_id"], "left").where("whole or l is null or low < l or high > h").drop("whole", "l", "h")
+    more = materialise(more, "pairs")
     spark.sparkContext._jvm.System.gc()
-    # a pair that is aligned anew, over more of its words, gives its passages anew; of passages with many holders, the
-    # ones within another of the same document say nothing more
-    stay = found.join(more.select("doc_id", "source_doc_id"), ["doc_id", "source_doc_id"], "left_anti").withColumn("anew", F.lit(0))
-    out = stay.unionByName(_aligned(read, more, window, k, options).withColumn("anew", F.lit(1)))
-    longest_first = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), "anew", "source_doc_id", "source_start_word")
+    # of the passages found then, those within another of the same document say nothing more
+    out = found.withColumn("late", F.lit(0)).unionByName(_aligned(read, more, window, k, options).withColumn("late", F.lit(1)))
+    longest_first = Window.partitionBy("doc_id", "digest").orderBy("start_word", F.desc("end_word"), "late", "source_doc_id", "source_start_word")
     out = out.withColumn("until", F.max("end_word").over(longest_first.rowsBetween(Window.unboundedPreceding, -1)))
-    out = out.where("anew = 0 or until is null or end_word > until").drop("anew", "until")
+    out = out.where("late = 0 or until is null or end_word > until").drop("late", "until")
     return out.withColumn("n_words", F.col("end_word") - F.col("start_word"))
 
 
 def _aligned(read: DataFrame, pairs: DataFrame, window: int, k: int, options: dict) -> DataFrame:
-    """The passages of pairs (doc_id, source_doc_id, low, high), around the words from low to high of the former."""
+    """The passages of pairs, around the words from low to high of the document, source_low to source_high of the source.
+    Each text is cut to what its pairs ask for before anything moves to the pair."""
     kind = read.schema["doc_id"].dataType
     arrow, name = to_arrow_type(kind), kind.simpleString()
-    # the words around the seeds are enough: min_words on either side
     slack = options.get("min_words", MIN_WORDS) + window + k
-    slices = pairs.join(read.hint("merge"), "doc_id").select("doc_id", "source_doc_id", "low", "high", "text").mapInArrow(
-        _slices(arrow, slack), f"doc_id {name}, source_doc_id {name}, first_word long, first_byte long, text string"
-    )
-    source = read.hint("merge")
-    sides = slices.join(source.select(F.col("doc_id").alias("source_doc_id"), F.col("text").alias("source_text")), "source_doc_id")
-    return sides.select("doc_id", "source_doc_id", "first_word", "first_byte", "text", "source_text").mapInArrow(
+    sides = [("doc_id", F.lit(0), F.col("diagonals"), "low", "high"), ("source_doc_id", F.lit(1), F.lit(None).cast("array<bigint>"), "source_low", "source_high")]
+    parts = [pairs.select("doc_id", "source_doc_id", side.alias("side"), lines.alias("diagonals"), F.col(low).alias("low"), F.col(high).alias("high"), F.col(of).alias("of")) for of, side, lines, low, high in sides]
+    asked = parts[0].unionByName(parts[1])
+    texts = read.select(F.col("doc_id").alias("of"), "text").hint("merge")
+    rows = asked.join(texts, "of").select("doc_id", "source_doc_id", "side", "diagonals", F.xxhash64("text").alias("digest"), "low", "high", "text")
+    slices = rows.mapInArrow(_slices(arrow, slack), f"doc_id {name}, source_doc_id {name}, side int, diagonals array<bigint>, digest long, first_word long, first_byte long, text string")
+    both = slices.repartition("doc_id", "source_doc_id").sortWithinPartitions("doc_id", "source_doc_id", "side")
+    return both.mapInArrow(
         _align(arrow, options),
-        f"doc_id {name}, source_doc_id {name}, start_word long, end_word long, source_start_word long, source_end_word long, start_byte long, end_byte long, identity double",
+        f"doc_id {name}, source_doc_id {name}, digest long, start_word long, end_word long, source_start_word long, source_end_word long, start_byte long, end_byte long, identity double",
     )
 
 
@@ -407,8 +417,9 @@ def by_document(found: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the passages that repeated_passages() found, n_chars (if there) counted anew. A document without
-    any word left goes; what stands between two cuts is joined by a line feed. Ids in found must be unique in docs."""
-    spans = found.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("start_byte", "end_byte"))).alias("__spans"))
+    any word left goes; what stands between two cuts is joined by a line feed. Where rows repeat an id, each loses the
+    passages of its own text. Rows with a null id or text stay as they are."""
+    spans = found.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.array_sort(F.collect_set(F.struct("start_byte", "end_byte"))).alias("__spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,7 +434,7 @@ def cut(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col:
                 texts.append(b"\n".join(x for x in (p.strip() for p in parts) if x).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names=["__text", *batch.schema.names[2:]])
 
-    whole = docs.join(spans, docs[id_col] == spans["__id"], "left")
+    whole = docs.join(spans, (docs[id_col] == spans["__id"]) & (F.xxhash64(docs[text_col]) == spans["__digest"]), "left")
     plain = whole.where("__spans is null").select(docs.columns)
     touched = whole.where("__spans is not null").select(F.col(text_col), "__spans", *[c for c in docs.columns if c != text_col])
     schema = ", ".join(["__text string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns if c != text_col)])
