@@ -358,12 +358,14 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     arrow, name = to_arrow_type(kind), kind.simpleString()
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     seeds = read.mapInArrow(_seeds(arrow, k, window), f"doc_id {name}, seed long, low int, high int")
-    held = materialise(_linked(seeds, "seed", "low"), "seeds")
+    least = seeds.groupBy("seed").agg(F.min("doc_id").alias("source_doc_id"), F.max("doc_id").alias("last")).where("source_doc_id < last").drop("last")
+    held = materialise(seeds.join(least, "seed"), "seeds")
     spark = docs.sparkSession
     spark.sparkContext._jvm.System.gc()  # the shuffle files of what is written go
     later = held.where("doc_id <> source_doc_id")
+    placed = later.join(held.where("doc_id = source_doc_id").select("seed", F.col("low").alias("at")), "seed")
     spans = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("at").alias("source_low"), F.max("at").alias("source_high"), F.collect_set(F.expr("cast(low - at as bigint)")).alias("diagonals")]
-    pairs = materialise(later.groupBy("doc_id", "source_doc_id").agg(F.count("*").alias("n"), *spans).where(F.col("n") >= least_seeds).drop("n"), "pairs")
+    pairs = materialise(placed.groupBy("doc_id", "source_doc_id").agg(F.count("*").alias("n"), *spans).where(F.col("n") >= least_seeds).drop("n"), "pairs")
     found = materialise(_aligned(read, pairs, window, k, options), "passages")
     spark.sparkContext._jvm.System.gc()
     # open seeds, and all that hold them
