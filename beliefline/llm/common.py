@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (a local session), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset, in a local session, a temporary one. On a cluster
+    no folder of one machine will do, so there it must be set."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='beliefline-')}"
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -95,17 +99,17 @@ def few(df: DataFrame, rows: int, each: int = 500_000) -> DataFrame:
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // each))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components", most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """(node, component) of an undirected graph; component is the least node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014): each step points the neighbours of a node to
     the least of them, so the number of edges never grows and hub nodes only ever take part in aggregations and
-    skew-splittable joins. A step's edges are written to the shared folder. The end is reached when every node has
+    skew-splittable joins; the number of steps grows with the logarithm of the nodes. A step's edges are written to the shared folder. The end is reached when every node has
     one parent and no parent has one. Nodes without an edge do not appear; loops and null ends are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}")
     e = materialise(e.distinct(), name)
-    for _ in range(most):
+    while True:
         ends = e.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(e.select("v", F.lit(0), F.lit(1)))
         open_ends = ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or (child = 1 and parent = 1)")
         if open_ends.agg(F.count("*")).first()[0] == 0:
@@ -121,6 +125,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
         after = materialise(few(small.distinct(), rows), name)
         drop_materialised(e)
         e = after
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textkernels as K
 from .common import connected_components, drop_materialised, materialise
@@ -251,6 +252,21 @@ def _texts(k: int):
     return run
 
 
+def with_set_ids(docs: DataFrame, name: str, *, text_col: str = "text", k: int = 5) -> DataFrame:
+    """docs with the id of each row's set of shingles (null for an empty set) as a last column."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.utf8(batch.column(at))
+            for i, j in K.chunks(offsets):
+                h, o = K.shingle_sets(K.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True), k)
+                ids = pa.array(set_ids(h, o).view(np.int64), mask=np.diff(o) == 0)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, ids], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, k: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least id reachable over links), kept, n_copies.
 

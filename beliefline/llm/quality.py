@@ -1,7 +1,7 @@
 """Quality scores: random-indexing word vectors pooled per document, then a two-layer network in numpy.
 
-A text is cut into runs of letters, digits or other signs. A run's form (letters: its first four, lower-cased, and its
-case pattern; else the run itself) is hashed to one of 2^13 entries. Each entry has a fixed sparse ternary index
+A text is cut into runs of letters, digits or other signs; an ideograph, kana or Hangul syllable is a run of its own.
+A run's form (letters: lower-cased, with its case pattern; else the run itself) is hashed to one of 2^15 entries. Each entry has a fixed sparse ternary index
 vector; its word vector is the sum of the index vectors of the entries within two places, over all documents
 (random indexing). The table of sums has a fixed size, so it is added up from partial sums of each task, collected
 and broadcast. A document is the mean and the spread of its word vectors and a few ratios. The network learns from a
@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import textkernels as K
 from .common import bounded_batches
 
-ENTRIES, DIMS, NONZERO, REACH = 1 << 13, 32, 2, 2
+ENTRIES, DIMS, NONZERO, REACH = 1 << 15, 32, 2, 2
 #: At most so many labelled rows, those with the least hash of the id, train the network.
 SAMPLE, HIDDEN, EPOCHS, THRESHOLD = 20_000, 32, 30, 0.3
 
@@ -33,6 +33,8 @@ _KIND[65:91] = _KIND[97:123] = 1
 _KIND[128:] = 1
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+_ALONE = np.zeros(256, bool)
+_ALONE[0xE3:0xEE] = True
 _INDEX = K.random_words(ENTRIES, 20)
 _PLACES = np.stack([((_INDEX >> np.uint64(8 * i)) % np.uint64(DIMS)).astype(np.int64) for i in range(NONZERO)], 1)
 _SIGNS = np.stack([1.0 - 2.0 * ((_INDEX >> np.uint64(40 + i)) & np.uint64(1)) for i in range(NONZERO)], 1)
@@ -47,6 +49,9 @@ class Runs:
         edge = np.ones(n, bool)
         edge[1:] = kind[1:] != kind[:-1]
         edge[offsets[:-1][offsets[:-1] < n]] = True
+        alone = np.flatnonzero(_ALONE[data])  # lead bytes of three
+        edge[alone] = True
+        edge[alone[alone + 3 < n] + 3] = True
         starts = np.flatnonzero(edge)
         ends = np.append(starts[1:], n)[: len(starts)]
         solid = kind[starts] > 0
@@ -57,8 +62,7 @@ class Runs:
         letters = self.kind == 1
         upper = _UPPER[data]
         case = np.where(letters, upper[starts] * 1 + upper[np.minimum(starts + 1, ends - 1)] * 2, 0) if n else self.kind
-        stop = np.where(letters, np.minimum(ends, starts + 4), ends)
-        form = K.mix(K.hash_spans(data, starts, stop, K._LOWER_BYTE) + (case.astype(np.uint64) + np.uint64(1)))
+        form = K.mix(K.hash_spans(data, starts, ends, K._LOWER_BYTE) + (case.astype(np.uint64) + np.uint64(1)))
         self.form = form
         self.entry = (form % np.uint64(ENTRIES)).astype(np.int64)
         self.shout = letters & (case == 3) & (self.size > 1)

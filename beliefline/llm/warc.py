@@ -262,7 +262,7 @@ class WarcReader(DataSourceReader):
                 response = row["record_type"] == "response"
                 body = block() if self.payload and response else begun
                 http, found, payload = body.partition(b"\r\n\r\n")
-                if not found and not response:
+                if not found and not (self.payload and response):  # the HTTP header goes on beyond what was inflated
                     http, found, payload = (body := block()).partition(b"\r\n\r\n")
                 length = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length"), None)
                 row |= {"payload_bytes": length, "computed_digest": digest(payload) if self.payload and response else None, "payload": payload if self.payload and response else None}
@@ -321,13 +321,19 @@ def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of Hadoop's default file system, if it has none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def write(records: DataFrame, path: str, *, level: int = 4) -> None:
-    register(records.sparkSession)
+    path = qualified(register(records.sparkSession), path)
     records.write.format("warc").mode("append").option("level", str(level)).save(path)
 
 
 def read(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
-    return register(spark).read.format("warc").option("payload", str(payload).lower()).load(path)
+    return register(spark).read.format("warc").option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 #: The same as the query in DuckDB's SQL; base 32 by blocks of five bits.
