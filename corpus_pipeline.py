@@ -7,38 +7,66 @@ from pyspark.sql import functions as F
 
 from beliefline.llm import bpe, mixing, quality
 from beliefline.llm.common import as_documents, crc_mod, materialise, table
-from beliefline.llm.minhash import near_duplicates
+from beliefline.llm.minhash import near_duplicates, with_set_ids
 from beliefline.llm.substrings import cut, repeated_passages
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labels outside the held-out fifth."""
+    """Documents that the classifier rejects go. It learns from the labels outside the held-out fifth.
+
+    Rows count alone: repeated ids, null ids and columns with other names change nothing. Null and empty texts are
+    scored as texts without a word. Without labels, or with one class alone, every text has that class's share.
+    """
     labels = table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
     return quality.keep(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least id. Rows without an id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates stays: the one with the least id. Rows without an id stay.
+
+    Rows that repeat an id count by their texts: each stays if its own set of shingles does, and of those with equal
+    sets (exact repeats, blank texts) one stays. Blank texts of different ids are not alike, so they all stay.
+    """
+    found = materialise(near_duplicates(docs).where("doc_id is not null").select("doc_id", "set_id", "kept"), "kept")
+    ids = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max("kept").alias("__kept"))
+    same = docs["doc_id"] == F.col("__id")
+    stay = docs.join(ids.where("__n = 1 and __kept"), same, "left_semi").unionByName(docs.where("doc_id is null"))
+    repeated = ids.where("__n > 1").select("__id")
+    if not repeated.isEmpty():
+        sets = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("set_id").alias("__kept_set")).distinct()
+        rows = with_set_ids(docs.join(repeated, same, "left_semi"), "__set")
+        rows = rows.join(sets, (rows["doc_id"] == sets["__id"]) & rows["__set"].eqNullSafe(sets["__kept_set"]), "left_semi")
+        stay = stay.unionByName(as_documents(rows.dropDuplicates(["doc_id", "__set"]), docs))
     return as_documents(stay, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds go; the rest of each document stays."""
+    """Passages that an earlier document holds go; the rest of each document stays.
+
+    A document of which nothing is left goes. Rows that repeat an id are one document, each cut in its own text; rows
+    with a null id or text stay as they are.
+    """
     return as_documents(cut(docs, repeated_passages(docs)), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken. Documents whose source has its budget spent go."""
-    times = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").alias("__times")).where("__times > 0")
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return as_documents(taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))), docs)
+    """The mix: each document as often as it is taken. Documents whose source has its budget spent go.
+
+    Rows are told apart by id (null is one) and text; of rows that agree in both, one stands for all that the mix
+    takes of them. Texts without words weigh nothing.
+    """
+    by_row = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    times = by_row.agg(F.sum("times").alias("__times"), F.count("*").alias("__n")).where("__times > 0")
+    taken = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__id")) & (mixing.digest(docs["text"]) == F.col("__digest")))
+    repeated = taken.where("__n > 1")
+    taken = taken.where("__n = 1").unionByName(repeated.dropDuplicates(["__id", "__digest"]))
+    return as_documents(taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and n_tokens of each document of the mix."""
+    """doc_id, ids and n_tokens of each row of the mix, repeated rows and null ids among them; null and empty texts
+    have no ids. Rows of an empty table give none."""
     return bpe.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
