@@ -25,13 +25,13 @@ from orders o join customer c on c.c_custkey = o.o_custkey join nation n on n.n_
 select l.l_orderkey as record_id, p.p_brand as gene, avg(l.l_extendedprice / l.l_quantity) as value
 from lineitem l join part p on p.p_partkey = l.l_partkey group by l.l_orderkey, p.p_brand""",
     "edges": """
-select row_number() over (order by src, dst, relation) as seq, * from (
+select concat_ws('>', src, dst, relation) as seq, * from (
 select concat('P:', p_partkey) as src, concat('T:', p_type) as dst, 'gene_pathway_membership' as relation,
-       '2024-12-31' as release_date, 1e0 as weight, 'part' as source_db from part where p_partkey < 40
+       '2024-12-31' as release_date, 1e0 as weight, 'part' as source_db from part
 union all
 select concat('P:', l_partkey), concat('S:', l_suppkey), 'reaction_enzyme',
        substr(cast(min(l_shipdate) as varchar(30)), 1, 10), 1e0 - avg(l_discount + 0e0), 'lineitem'
-from lineitem where l_partkey < 40 group by l_partkey, l_suppkey
+from lineitem group by l_partkey, l_suppkey
 union all
 select concat('S:', s_suppkey), concat('N:', s_nationkey), 'metabolic_reaction', '2023-06-30', 1e0, 'supplier' from supplier
 union all
@@ -51,7 +51,7 @@ from (select user_id,
 where d1 is not null and d2 is not null""",
     "readers": """
 select o_custkey % 9 as reader, o_orderkey % 2 as arm, case when o_orderstatus = 'F' then 1 else 0 end as agree
-from orders where o_orderkey < 400""",
+from orders""",
     "citations": """
 select concat_ws('|', cast(user_id as varchar(20)), event_type, cast(event_id as varchar(20))) as key,
        user_id as candidate, event_id % 3 <> 0 as in_ledger, event_type, value, event_id from events""",

@@ -136,11 +136,11 @@ HOLDOUT = ctes("edges") + " select relation, count(*) as n from edges where not
 INDUCED = ctes("edges") + """, k as (select src as key from edges where relation = 'reaction_enzyme' and weight > 0.95 union select dst from edges where relation = 'reaction_enzyme' and weight > 0.95)
 select src, dst, relation from edges where src in (select key from k) and dst in (select key from k)"""
 _BFS = ctes("edges") + """, walk as (
-  select 'P:' || i as source, 'P:' || i as node, 0 as depth from range(1,40) t(i)
+  select 'P:' || p_partkey as source, 'P:' || p_partkey as node, 0 as depth from part
   union select w.source, e.dst, w.depth + 1 from walk w join edges e on e.src = w.node where w.depth < 3)"""
 BFS = _BFS + " select source, node, min(depth)::int as depth from walk group by source, node"
 _PATHS = ctes("edges") + """, grow as (
-  select 'P:' || i as source, ['P:' || i] as nodes, []::varchar[] as rels, 1e0 as w, 0 as hops from range(1,40) t(i)
+  select 'P:' || p_partkey as source, ['P:' || p_partkey] as nodes, []::varchar[] as rels, 1e0 as w, 0 as hops from part
   union all
   select g.source, list_append(g.nodes, e.dst), list_append(g.rels, e.relation), g.w * greatest(e.weight,0e0), g.hops + 1
   from grow g join edges e on e.src = g.nodes[-1] where g.hops < 3 and g.nodes[-1] <> 'R:2' and not list_contains(g.nodes, e.dst)),
@@ -161,10 +161,10 @@ RELIABILITY = _BINNED + " select bin, count(*) as n, round(avg(p),6) as mean_p,
 COCHRAN = ctes("predictions") + """, e as (select grp, avg(y) as effect, var_samp(y)/count(*) as variance from predictions group by grp having var_samp(y) > 0),
 p as (select sum(effect/variance)/sum(1e0/variance) as m from e), q as (select sum(power(effect-m,2)/variance) as q, count(*) as n, max(effect)-min(effect) as gap, max(m) as m from e, p)
 select round(m,5) as pooled, round(q,5) as q, round(case when q <= 0 then 0e0 else greatest((q-(n-1))/q,0e0) end,5) as i2, (case when q <= 0 then 0e0 else greatest((q-(n-1))/q,0e0) end) > 0.5 as heterogeneous, round(gap,5) as max_gap from q"""
-ROC = ctes("predictions") + """, r as (select row_number() over () as id, p, y > 0 as l from predictions where grp < 5),
-c as (select a.id as i, b.id as j, case when a.p > b.p then 1e0 when a.p = b.p then 0.5e0 else 0e0 end as s from r a, r b where a.l and not b.l),
-x as (select i, avg(s) as v from c group by i), z as (select j, avg(s) as v from c group by j)
-select round((select avg(v) from x),9) as auc, round((select var_samp(v)/count(*) from x)+(select var_samp(v)/count(*) from z),9) as variance, (select count(*) from x) as positives, (select count(*) from z) as negatives"""
+ROC = ctes("predictions") + """, r as (select p, y > 0 as l from predictions),
+k as (select l, rank() over (order by p) + (count(*) over (partition by p) - 1)/2e0 as overall, rank() over (partition by l order by p) + (count(*) over (partition by l, p) - 1)/2e0 as own from r),
+n as (select count(*) filter (l) as p, count(*) filter (not l) as q from r), v as (select l, case when l then (overall-own)/q else 1e0-(overall-own)/p end as v from k, n)
+select round(avg(v) filter (l),9) as auc, round(var_samp(v) filter (l)/count(*) filter (l)+var_samp(v) filter (not l)/count(*) filter (not l),9) as variance, count(*) filter (l) as positives, count(*) filter (not l) as negatives from v"""
 PAIRED_ROC = ctes("scores") + """, c as (select a.candidate as i, b.candidate as j, case when a.kg > b.kg then 1e0 when a.kg = b.kg then 0.5e0 else 0e0 end as s, case when a.dep > b.dep then 1e0 when a.dep = b.dep then 0.5e0 else 0e0 end as t from scores a, scores b where a.vulnerable and not b.vulnerable),
 x as (select i, avg(s) as s, avg(t) as t from c group by i), z as (select j, avg(s) as s, avg(t) as t from c group by j),
 o as (select (select avg(s) from x) as a, (select avg(t) from x) as b, (select var_samp(s-t)/count(*) from x)+(select var_samp(s-t)/count(*) from z) as v)
@@ -202,8 +202,8 @@ SEEDS = "select n_name, (('0x' || substr(sha256(n_name),1,16))::ubigint % 214748
 
 def _discovery() -> str:
     support = SUPPORT[: SUPPORT.rindex("\nselect")] + ", sup as (" + SUPPORT[SUPPORT.rindex("\nselect") :].replace("round(least", "(least").replace(",6) as support", ") as support") + ")"
-    scores = """, base as (select 'P:' || i as candidate from range(1,40) t(i)),
-dep0 as (select 'P:' || l_partkey as candidate, -avg(l_quantity)/50 as effect, case when count(*) >= 28 then -avg(l_discount+0e0)*10 end as response, avg(l_tax+0e0)*10 as fx from lineitem where l_partkey < 40 group by l_partkey),
+    scores = """, base as (select 'P:' || p_partkey as candidate from part),
+dep0 as (select 'P:' || l_partkey as candidate, -avg(l_quantity)/50 as effect, case when count(*) >= 28 then -avg(l_discount+0e0)*10 end as response, avg(l_tax+0e0)*10 as fx from lineitem group by l_partkey),
 dscored as (select candidate, fx, least(greatest((-0.1e0-effect)/1.2e0,0e0),1e0) as b, least(greatest(-0.2e0-response,0e0),1e0) as r, response from dep0),
 scores as (select b.candidate, s.support as kg, case when d.response is null then d.b else 0.6e0*d.b+0.4e0*d.r end as dep, d.fx as flux, null::double as clin, false as vulnerable
            from base b left join sup s on s.source = b.candidate left join dscored d on d.candidate = b.candidate)"""

@@ -183,8 +183,8 @@ def cutoff_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(O.DEDUP)
 def edge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = view(spark, sf_dir, "edges")
-    twice = edges.unionByName(edges.withColumn("seq", F.col("seq") + 1_000_000))
-    return graph.dedup_edges(twice).select("src", "dst", "relation", F.col("seq").cast("long").alias("seq"))
+    twice = edges.unionByName(edges.withColumn("seq", F.concat("seq", F.lit(">"))))
+    return graph.dedup_edges(twice).select("src", "dst", "relation", "seq")
 
 
 @query(O.HOLDOUT)
@@ -200,18 +200,18 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.induced(edges, keep).select("src", "dst", "relation")
 
 
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.range(1, 40).select(F.concat(F.lit("P:"), "id").alias("source"))
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("P:"), "p_partkey").alias("source"))
 
 
 @query(O.BFS)
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.bfs_depth(view(spark, sf_dir, "edges"), _sources(spark), 3)
+    return graph.bfs_depth(view(spark, sf_dir, "edges"), _sources(spark, sf_dir), 3)
 
 
 @query(O.PATHS)
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = graph.simple_paths(view(spark, sf_dir, "edges"), _sources(spark), "R:2", 3)
+    paths = graph.simple_paths(view(spark, sf_dir, "edges"), _sources(spark, sf_dir), "R:2", 3)
     return paths.select("source", "hops", F.concat_ws(">", "nodes").alias("path"), F.concat_ws(">", "relations").alias("relations"))
 
 
@@ -219,7 +219,7 @@ def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = view(spark, sf_dir, "edges")
     kinds = edges.select(F.explode(F.array("src", "dst")).alias("key")).distinct().withColumn("kind", F.when(F.col("key").startswith("T:"), "pathway").otherwise("other"))
-    return tidy(graph.path_support(graph.simple_paths(edges, _sources(spark), "R:2", 3), kinds))
+    return tidy(graph.path_support(graph.simple_paths(edges, _sources(spark, sf_dir), "R:2", 3), kinds))
 
 
 @query(O.PATHWAY)
@@ -245,7 +245,7 @@ def cochran_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.ROC)
 def roc_auc_delong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "predictions").where("grp < 5").select("p", (F.col("y") > 0).alias("label"))
+    rows = view(spark, sf_dir, "predictions").select("p", (F.col("y") > 0).alias("label"))
     return tidy(stats.roc_estimate(rows, "p", "label"), 9)
 
 
@@ -295,9 +295,7 @@ def cox_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def gee_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")  # all of them; the view of the SQL statements has a part
-    readers = orders.select((F.col("o_custkey") % 9).alias("reader"), (F.col("o_orderkey") % 2).alias("arm"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("agree"))
-    rows = readers.select("reader", "agree", F.lit(1.0).alias("one"), F.col("arm").cast("double").alias("arm"))
+    rows = view(spark, sf_dir, "readers").select("reader", "agree", F.lit(1.0).alias("one"), F.col("arm").cast("double").alias("arm"))
     f = stats.fit_gee(rows, "agree", ["one", "arm"], "reader")
     return tidy(spark.createDataFrame([(n, c, e, f["correlation"]) for n, c, e in zip(("intercept", "arm"), f["coefficients"], f["errors"], strict=True)], "name string, coefficient double, error double, correlation double"))
 
@@ -392,9 +390,9 @@ def panel_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(O.DISCOVERY)
 def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = view(spark, sf_dir, "edges")
-    candidates = _sources(spark).withColumnRenamed("source", "candidate")
+    candidates = _sources(spark, sf_dir).withColumnRenamed("source", "candidate")
     kinds = edges.select(F.explode(F.array("src", "dst")).alias("key")).distinct().withColumn("kind", F.when(F.col("key").startswith("T:"), "pathway").otherwise("other"))
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey < 40")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     table = lines.groupBy(F.concat(F.lit("P:"), F.col("l_partkey")).alias("gene")).agg((-F.avg("l_quantity") / 50).alias("effect"), F.when(F.count("*") >= 28, -F.avg(F.col("l_discount") + 0.0) * 10).alias("response"))
     scores = lines.groupBy(F.concat(F.lit("P:"), F.col("l_partkey")).alias("gene")).agg(F.avg(F.col("l_tax") + 0.0).alias("t")).select("gene", (F.col("t") * 10).alias("score"))
     rows = operators_of.discover(candidates, RATES, operators_of.path_evidence(candidates, edges, kinds, "R:2"), operators_of.dependency_evidence(candidates, table), operators_of.capacity_evidence(candidates, scores))
