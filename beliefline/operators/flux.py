@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gpr, simplex
+from ..functions.columns import clip, purity_attenuated
+from .ordering import ranked
+
+
+#: Rule markers that are no genes, pathways without a capacity, the growth floor of capacities, weights of
+#: primary and backup networks.
+MARKERS, NO_CAPACITY = ("BIOMASS_MARKER", "ENVIRONMENT"), ("exchange", "drain", "biomass", "transport")
+CAPACITY_FRACTION, PRIMARY, BACKUP = 0.999, 0.7, 0.3
 
 
 @dataclass(frozen=True)
@@ -64,6 +72,34 @@ class Network:
         found = simplex.maximise(c, rows, b, low, high)
         return 0.0 if found is None else (found[0] if maximise else -found[0])
 
+    def has_rule(self, gene: str) -> bool:
+        return bool(self.blocked(gene))
+
+    def of_pathway(self, pathway: str) -> list[str]:
+        return [r.name for r in self.reactions if r.pathway == pathway]
+
+    def expressed(self, expression: dict[str, float], *, quantile: float = 0.25, threshold: float | None = None) -> Network:
+        """The network with the reactions shut whose rule cannot hold on the genes expressed at the threshold (by default
+        a quantile of the values); genes without a value are off, markers stay on."""
+        cut = threshold if threshold is not None else float(np.quantile(list(expression.values()), quantile)) if expression else 0.0
+        on = {g for g, v in expression.items() if v >= cut}
+
+        def shut(r: Reaction) -> bool:
+            off = {g for g in gpr.genes(r.rule) if g not in on and g not in MARKERS} if r.rule else set()
+            return bool(off) and not gpr.is_active(r.rule, off)
+
+        return replace(self, reactions=tuple(replace(r, low=0.0, high=0.0) if shut(r) else r for r in self.reactions))
+
+    def capacity(self, pathway: str, floor: float) -> float:
+        """The sum of the greatest |flux| of a pathway's reactions with growth at the floor."""
+        return sum(abs(self.optimum(n, floor=floor)) for n in self.of_pathway(pathway))
+
+    def capacities(self, fraction: float) -> dict[str, float]:
+        """Capacity by pathway at a fraction of optimal growth, exchange, drain, biomass and transport aside."""
+        best = self.optimum()
+        names = [p for p in dict.fromkeys(r.pathway for r in self.reactions) if p not in NO_CAPACITY]
+        return {p: self.capacity(p, fraction * best) if best > 1e-12 else 0.0 for p in names}
+
     def genes(self) -> list[str]:
         return sorted({g for r in self.reactions if r.rule for g in gpr.genes(r.rule)})
 
@@ -161,3 +197,113 @@ def sample_fluxes(network: Network, n: int, seed: int, fraction: float = 0.9, th
         if i % thin == thin - 1:
             out.append(x)
     return np.array(out)
+
+
+def utilisation(network: Network, pathway: str, *, fraction: float = 0.9) -> float:
+    """What a pathway can carry at a fraction of optimal growth; 0 without reactions."""
+    return network.capacity(pathway, fraction * network.optimum())
+
+
+def feasible(stoich: DataFrame, fluxes: DataFrame, bounds: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """feasible, residual: fluxes (reaction, flux) within bounds (reaction, low, high) that balance every metabolite."""
+    out = fluxes.join(bounds, "reaction").agg(F.count_if((F.col("flux") < F.col("low") - tolerance) | (F.col("flux") > F.col("high") + tolerance)).alias("out"))
+    both = out.crossJoin(imbalance(stoich, fluxes))  # a row each
+    return both.select(((F.col("out") == 0) & (F.col("residual") <= tolerance)).alias("feasible"), "residual")
+
+
+def suppression(spark: SparkSession, network: Network, genes: list[str] | None = None, *, fraction: float = CAPACITY_FRACTION) -> DataFrame:
+    """gene, growth_loss, capacity_loss, score: half the growth and half the worst pathway capacity that the loss of a
+    gene costs. The network without loss is solved once; genes are dealt over tasks. No growth means no capacity. A gene
+    that shuts no reaction has a NULL score."""
+    base, before = network.optimum(), network.capacities(fraction)
+
+    def solve(gene: str):
+        if not network.has_rule(gene):
+            return gene, None, None, None
+        without = network.without(gene)
+        grown = without.optimum()
+        after = without.capacities(fraction) if grown > 1e-12 else {}
+        growth = 1 - grown / base if base > 1e-12 else 0.0
+        losses = [1 - after.get(p, 0.0) / c for p, c in before.items() if c > 1e-9]
+        capacity = max(0.0, *losses) if losses else 0.0
+        return gene, growth, capacity, 0.5 * growth + 0.5 * capacity
+
+    return _solved(spark, genes or network.genes(), "gene", "gene string, growth_loss double, capacity_loss double, score double", solve)
+
+
+def flux_scores(spark: SparkSession, network: Network, backup: Network | None = None, genes: list[str] | None = None, *, attenuation: float = 0.6) -> DataFrame:
+    """gene, score in [0, 1] of the flux evidence: suppression in the primary network, blended with the attenuated score
+    in a backup network where that has a rule for the gene; NULL where the primary has none."""
+    first = suppression(spark, network, genes).select("gene", F.col("score").alias("a"))
+    if backup is None:
+        return first.select("gene", clip(F.col("a")).alias("score"))
+    second = suppression(spark, backup, genes or network.genes()).select("gene", F.col("score").alias("b"))
+    blend = F.when(F.col("b").isNotNull(), PRIMARY * F.col("a") + BACKUP * purity_attenuated(F.col("b"), attenuation)).otherwise(F.col("a"))
+    return first.join(second, "gene").select("gene", clip(blend).alias("score"))
+
+
+def dependency_rank(scores: DataFrame) -> DataFrame:
+    """gene, score, rank: by score descending, gene ascending."""
+    return ranked(scores.where("score is not null").select("gene", "score"), "score", "gene")
+
+
+def synthetic_lethality(spark: SparkSession, network: Network, pairs: list[tuple[str, str]]) -> DataFrame:
+    """first, second, loss: the growth that the second gene's loss costs on top of the first's, a pair a row."""
+    base = network.optimum()
+
+    def solve(pair: str):
+        first, second = pair.split("|")
+        if base <= 1e-12:
+            return first, second, 1.0
+        return first, second, (network.without(first).optimum() - network.without(first, second).optimum()) / base
+
+    return _solved(spark, ["|".join(p) for p in pairs], "pair", "first string, second string, loss double", solve)
+
+
+def reaction_frame(spark: SparkSession, network: Network) -> DataFrame:
+    """seq, reaction, pathway, genes (of the rule, without markers), low, high."""
+    rows = [(i, r.name, r.pathway, sorted(g for g in (gpr.genes(r.rule) if r.rule else ()) if g not in MARKERS), r.low, r.high) for i, r in enumerate(network.reactions)]
+    return spark.createDataFrame(rows, "seq long, reaction string, pathway string, genes array<string>, low double, high double")
+
+
+def reactions_of_genes(reactions: DataFrame) -> DataFrame:
+    """gene, reactions (sorted)."""
+    return reactions.select(F.explode("genes").alias("gene"), "reaction").groupBy("gene").agg(F.array_sort(F.collect_set("reaction")).alias("reactions"))
+
+
+def alternative_uptake(reactions: DataFrame, gene: str) -> DataFrame:
+    """gene: those of reactions that a gene's loss leaves open, exchange, drain and transport aside; none if it has none."""
+    own = reactions.where(F.array_contains("genes", gene)).select("reaction")
+    rest = reactions.where(~F.col("pathway").isin("exchange", "drain", "transport")).join(own, "reaction", "left_anti")
+    return rest.select(F.explode("genes").alias("gene")).distinct().join(own.limit(1).select(F.lit(1)), how="left_semi")
+
+
+def flux_samples(spark: SparkSession, network: Network, n: int, seeds: list[int], fraction: float = 0.9) -> DataFrame:
+    """seed, sample, reaction, flux: a hit-and-run chain a seed, chains dealt over tasks."""
+    names = [r.name for r in network.reactions]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seed = int(pdf["seed"].iloc[0])
+        x = sample_fluxes(network, n, seed, fraction)
+        return pd.DataFrame({"seed": seed, "sample": np.repeat(np.arange(n), len(names)), "reaction": np.tile(names, n), "flux": x.reshape(-1)})
+
+    return spark.createDataFrame([(s,) for s in seeds], "seed long").groupBy("seed").applyInPandas(run, "seed long, sample long, reaction string, flux double")
+
+
+def flux_distribution(samples: DataFrame) -> DataFrame:
+    """reaction, mean, sd (of the population), low, high."""
+    return samples.groupBy("reaction").agg(F.avg("flux").alias("mean"), F.stddev_pop("flux").alias("sd"), F.min("flux").alias("low"), F.max("flux").alias("high"))
+
+
+def range_narrowing(wide: DataFrame, narrow: DataFrame) -> DataFrame:
+    """reaction, narrowing: 1 less the share of the wide samples' span that the narrow ones have, 0 at least."""
+    span = lambda d, n: flux_distribution(d).select("reaction", (F.col("high") - F.col("low")).alias(n))
+    both = span(wide, "w").join(span(narrow, "n"), "reaction")
+    return both.select("reaction", F.when(F.col("w") <= 1e-12, 0.0).otherwise(F.greatest(1 - F.col("n") / F.nullif("w", F.lit(0.0)), F.lit(0.0))).alias("narrowing"))
+
+
+def flux_shift(first: DataFrame, second: DataFrame, reactions: DataFrame) -> DataFrame:
+    """pathway, shift: the mean distance of a pathway's mean fluxes in two sample sets."""
+    mean = lambda d, n: d.groupBy("reaction").agg(F.avg("flux").alias(n))
+    both = mean(first, "a").join(mean(second, "b"), "reaction").join(reactions.select("reaction", "pathway"), "reaction")
+    return both.groupBy("pathway").agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("shift"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -112,31 +112,68 @@ def ablation_plan() -> list[tuple[str, str, str]]:
     return [("full", "fold", ""), ("average", "average", ""), ("dempster", "dempster", ""), ("log_odds", "log_odds", ""), *((f"without_{m.lower()}", "fold", m) for m in C.MODALITIES), *((f"single_{m.lower()}", "single", m) for m in C.MODALITIES)]
 
 
+def _unrolled(masses: list[Column], rows: DataFrame, name: str, dempster: bool = False) -> DataFrame:
+    """rows with the ordered fold of mass columns as plain columns, a projection a step: <name>_v, _n, _t and _k (total
+    conflict). Steps are arithmetic that code generation covers, and each is computed once. Dempster's rule gives NULLs
+    after total conflict."""
+    v, n, t, k = (f"{name}_{c}" for c in "vntk")
+    first = masses[0]
+    rows = rows.withColumns({v: first["v"], n: first["n"], t: first["theta"], k: F.lit(0.0), "__k": F.lit(0.0)})
+    for m in masses[1:]:
+        rows = rows.withColumn("__k", F.col(v) * m["n"] + F.col(n) * m["v"])
+        support = F.col(v) * m["v"] + F.col(v) * m["theta"] + F.col(t) * m["v"]
+        denial = F.col(n) * m["n"] + F.col(n) * m["theta"] + F.col(t) * m["n"]
+        if dempster:
+            rest = F.when(F.col("__k") < 1.0 - 1e-15, 1.0 - F.col("__k"))
+            parts = (support / rest, denial / rest, F.col(t) * m["theta"] / rest)
+        else:
+            parts = (support, denial, F.col(t) * m["theta"] + F.col("__k"))
+        rows = rows.withColumns({v: parts[0], n: parts[1], t: parts[2], k: F.col(k) + F.col("__k")})
+    return rows.drop("__k")
+
+
 def ablation_scores(candidates: DataFrame, rates: dict[str, float]) -> DataFrame:
-    """label, candidate, vulnerable, score, width, conflict for every cell of the plan; one scan of the candidates."""
+    """label, candidate, vulnerable, score, width, conflict for every cell of the plan; one scan of the candidates.
+
+    Masses are columns, made once; folds are unrolled over them; a cell then is a struct of what is there.
+    """
     order = reliability_order(rates)
+    base = [c for c in candidates.columns if c not in SCORES.values()]
+    rows = candidates.select(*base, *(mass_of(m, rates).alias(f"__{m}") for m in order))
+    mass = {m: F.col(f"__{m}") for m in order}
+    rows = _unrolled([mass[m] for m in order], rows, "full")
+    rows = _unrolled([mass[m] for m in order], rows, "dempster", dempster=True)
+    for gone in C.MODALITIES:
+        # a removed modality is a vacuous mass, which changes nothing
+        rows = _unrolled([mass[m] for m in order if m != gone], rows, f"without_{gone.lower()}")
 
     def cell(label: str, rule: str, removed: str) -> Column:
-        masses = F.array(*(mass_of(m, rates, (removed,) if rule == "fold" and removed else ()) for m in order))
         if rule == "fold":
-            f = C.fold(masses)
-            out = (C.pignistic(f["m"]), f["m"]["theta"], F.aggregate(f["ks"], F.lit(0.0), lambda s, k: s + k))
+            out = (F.col(f"{label}_v") + F.col(f"{label}_t") / 2.0, F.col(f"{label}_t"), F.col(f"{label}_k"))
         elif rule == "dempster":
-            f = C.fold(masses, C.dempster_pair)
-            total = F.aggregate(f["ks"], F.lit(0.0), lambda s, k: s + k)
-            out = (F.coalesce(C.pignistic(f["m"]), F.lit(0.5)), F.coalesce(f["m"]["theta"], F.lit(1.0)), F.when(f["m"].isNull(), 1.0).otherwise(total))
+            gone = F.col("dempster_t").isNull()
+            out = (F.coalesce(F.col("dempster_v") + F.col("dempster_t") / 2.0, F.lit(0.5)), F.coalesce("dempster_t", F.lit(1.0)), F.when(gone, 1.0).otherwise(F.col("dempster_k")))
         elif rule == "average":
-            a = C.average(masses)
-            out = (C.pignistic(a), a["theta"], F.lit(0.0))
+            n = float(len(order))
+            v, t = (sum((mass[m][f] for m in order), F.lit(0.0)) / n for f in ("v", "theta"))
+            out = (v + t / 2.0, t, F.lit(0.0))
         elif rule == "log_odds":
-            out = (C.log_odds(F.transform(masses, C.pignistic)), F.lit(0.0), F.lit(0.0))
+            out = (C.log_odds(F.array(*(C.pignistic(mass[m]) for m in order))), F.lit(0.0), F.lit(0.0))
         else:
-            m = mass_of(removed, rates)
-            out = (C.pignistic(m), m["theta"], F.lit(0.0))
+            out = (C.pignistic(mass[removed]), mass[removed]["theta"], F.lit(0.0))
         return F.struct(F.lit(label).alias("label"), out[0].alias("score"), out[1].alias("width"), out[2].alias("conflict"))
 
-    rows = candidates.select("candidate", "vulnerable", F.explode(F.array(*(cell(*p) for p in ablation_plan()))).alias("c"))
-    return rows.select("c.label", "candidate", "vulnerable", "c.score", "c.width", "c.conflict")
+    cells = rows.select("candidate", "vulnerable", F.inline(F.array(*(cell(*p) for p in ablation_plan()))))
+    return cells.select("label", "candidate", "vulnerable", "score", "width", "conflict")
+
+
+def evaluate_cells(candidates: DataFrame, rates: dict[str, float], *, k: int = 10) -> DataFrame:
+    """label, recall of the k best, mean_score, mean_width, mean_conflict, n of every cell of the plan."""
+    cells = ablation_scores(candidates, rates)
+    means = cells.groupBy("label").agg(F.avg("score").alias("mean_score"), F.avg("width").alias("mean_width"), F.avg("conflict").alias("mean_conflict"), F.count("*").alias("n"), F.count_if("vulnerable").alias("p"))
+    order = Window.partitionBy("label").orderBy(F.desc(F.round("score", 6)), "candidate")
+    top = cells.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).groupBy("label").agg(F.count_if("vulnerable").alias("hits"))  # k rows a cell and task
+    return means.join(top, "label").select("label", (F.col("hits") / F.nullif("p", F.lit(0))).alias("recall"), "mean_score", "mean_width", "mean_conflict", "n")
 
 
 def rates_frame(spark: SparkSession, rates: dict[str, float]) -> DataFrame:

@@ -141,3 +141,54 @@ def pathway_of(edges: DataFrame) -> DataFrame:
 def first_seen(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     """Rows numbered by their place within the key."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(seq)))
+
+
+def accepted(edges: DataFrame, *, relations: list[str] | None = None, nodes: DataFrame | None = None, kinds: list[str] | None = None, last: str | None = None) -> DataFrame:
+    """Edges that a path may use: of given relations, into nodes of given kinds, released by a date (undated ones stay)."""
+    out = edges.where(F.col("relation").isin(*relations)) if relations is not None else edges
+    if kinds is not None:
+        keys = nodes.where(F.col("kind").isin(*kinds)).select(F.col("key").alias("__k"))
+        out = out.join(keys, F.col("dst") == F.col("__k"), "left_semi")
+    return cutoff(out, last) if last else out
+
+
+def citations(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """source, evidence_ref of every step of the paths whose edge has one; repeats stay."""
+    steps = paths.select("source", F.explode(F.transform("relations", lambda r, i: F.struct(F.get("nodes", i).alias("src"), F.get("nodes", i + 1).alias("dst"), r.alias("relation")))).alias("s"))
+    known = edges.select("src", "dst", "relation", "evidence_ref").where("evidence_ref is not null and evidence_ref <> ''")
+    return steps.select("source", "s.*").join(known, ["src", "dst", "relation"]).select("source", "evidence_ref")
+
+
+def metabolic_edges(edges: DataFrame) -> DataFrame:
+    """n: edges of the three metabolic relations."""
+    return edges.where(F.col("relation").isin(*METABOLIC)).agg(F.count("*").alias("n"))
+
+
+def has_edge(pairs: DataFrame, edges: DataFrame, relation: str | None = None) -> DataFrame:
+    """Pairs (src, dst) that an edge, of that relation if given, joins."""
+    e = edges.where(F.col("relation") == relation) if relation else edges
+    return pairs.join(e.select("src", "dst"), ["src", "dst"], "left_semi")
+
+
+def enzyme_partners(edges: DataFrame, reactions: DataFrame) -> DataFrame:
+    """reaction, gene of the enzymes of given reactions."""
+    e = edges.where("relation = 'reaction_enzyme'").select(F.col("dst").alias("reaction"), F.col("src").alias("gene"))
+    return e.join(reactions.select("reaction"), "reaction", "left_semi")
+
+
+def positions(nodes: DataFrame) -> DataFrame:
+    """key, position: places from 0 in the order of seq."""
+    from .ordering import prefix_sums
+
+    return prefix_sums(nodes.select("key", F.col("seq").cast("double").alias("seq")), "seq", [F.col("seq").asc(), F.col("key").asc()], {"position": F.lit(1)}, inclusive=False).select("key", F.col("position").cast("long").alias("position"))
+
+
+def leakage_audit(edges: DataFrame, pairs: DataFrame, *, last: str, reference: str) -> DataFrame:
+    """control, removed, kept: edges that the date cutoff, the evidence reference and the hold-out of all pairs
+    (candidate, phenotype) remove, each by itself; one scan for the first two, a semi-join for the third."""
+    late = F.coalesce(strict_date(F.col("release_date")) > F.lit(last).cast("date"), F.lit(False))
+    cited = F.coalesce(F.contains(F.col("evidence_ref"), F.lit(reference)), F.lit(False)) if reference else F.lit(False)
+    direct = edges.join(pairs.select(F.col("candidate").alias("src"), F.col("phenotype").alias("dst")).distinct().withColumn("__d", F.lit(True)), ["src", "dst"], "left")
+    flags = {"cutoff": late, "reference": cited, "holdout": F.coalesce(F.col("__d"), F.lit(False))}
+    wide = direct.agg(F.count("*").alias("n"), *(F.count_if(c).alias(k) for k, c in flags.items()))
+    return wide.select(F.inline(F.array(*(F.struct(F.lit(k).alias("control"), F.col(k).alias("removed"), (F.col("n") - F.col(k)).alias("kept")) for k in flags))))

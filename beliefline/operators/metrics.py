@@ -58,6 +58,24 @@ def auroc(rows: DataFrame, value: str, positive: str) -> DataFrame:
     return r.select(F.coalesce((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("n"), F.lit(0.0)), F.lit(0.0)).alias("auroc"))
 
 
+def concordant(rows: DataFrame, ceiling: float, width: str = "width") -> DataFrame:
+    """Rows no wider than the ceiling."""
+    return rows.where(F.col(width) <= ceiling)
+
+
+def discordant(rows: DataFrame, floor: float, width: str = "width") -> DataFrame:
+    """Rows as wide as the floor or wider; those at it are in both groups."""
+    return rows.where(F.col(width) >= floor)
+
+
+def separability(rows: DataFrame, ceiling: float, width: str = "width") -> DataFrame:
+    """auroc of narrow widths for the concordant group against the discordant one, sizes and mean widths of both; 0 if
+    either is empty."""
+    both = concordant(rows, ceiling, width).select((-F.col(width)).alias("w"), F.lit(True).alias("g")).unionByName(discordant(rows, ceiling, width).select((-F.col(width)).alias("w"), F.lit(False).alias("g")))
+    means = both.agg(F.count_if("g").alias("concordant"), F.count_if(~F.col("g")).alias("discordant"), (-F.avg(F.when(F.col("g"), F.col("w")))).alias("mean_width_concordant"), (-F.avg(F.when(~F.col("g"), F.col("w")))).alias("mean_width_discordant"))
+    return auroc(both, "w", "g").crossJoin(means)  # a row each
+
+
 def linspace(bins: int) -> list[float]:
     """Edges of equal bins as numpy gives them."""
     import numpy as np

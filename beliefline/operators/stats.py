@@ -20,8 +20,21 @@ def two_sided_p(z: float) -> float:
 
 @F.pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
-    """The complementary error function, which Spark SQL lacks."""
-    return x.map(math.erfc)
+    """The complementary error function, which Spark SQL lacks: a continued fraction from 2 on, a series below."""
+    z = x.to_numpy(float)
+    a = np.abs(z)
+    term = total = np.where(a < 2, a, 0.0)
+    for n in range(1, 60):
+        term = np.where(a < 2, term * (2 * a * a) / (2 * n + 1), 0.0)
+        total = total + term
+    small = 1.0 - 2.0 / math.sqrt(math.pi) * np.exp(-a * a) * total
+    tail = np.full_like(a, 0.0)
+    safe = np.where(a < 2, 2.0, a)
+    for n in range(60, 0, -1):
+        tail = (n / 2.0) / (safe + tail)
+    large = np.exp(-safe * safe) / (math.sqrt(math.pi) * (safe + tail))
+    out = np.where(a < 2, small, large)
+    return pd.Series(np.where(z < 0, 2.0 - out, out))
 
 
 def normal_cdf(x: Column) -> Column:
@@ -208,19 +221,28 @@ def bootstrap_mean(rows: DataFrame, by: list[str], value: str, *, resamples: int
 
 
 def poisson_bootstrap(rows: DataFrame, by: list[str], value: str, key: str, *, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """The same interval at scale: each row gets a Poisson(1) weight for each replicate from a hash of its key, and
-    replicates are sums with map-side combines; no group is gathered."""
-    u = (F.pmod(F.xxhash64(key, "b", F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    cumulative, weight, total = 0.0, F.lit(8), math.exp(-1)
-    levels = []
+    """by, lower, upper of a mean at any scale: for each replicate a row has a Poisson(1) weight from a hash of its key,
+    and replicates are sums of a column each, combined before the shuffle; no row is copied and no group is gathered."""
+    cuts, total = [], 0.0
     for n in range(8):
-        cumulative += total / math.factorial(n)
-        levels.append((n, cumulative))
-    for n, c in reversed(levels):
-        weight = F.when(u < c, F.lit(n)).otherwise(weight)
-    spread = rows.select(*by, key, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight)
-    means = spread.groupBy(*by, "b").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    return means.groupBy(*by).agg(F.percentile("m", F.lit((1 - level) / 2)).alias("lower"), F.percentile("m", F.lit(1 - (1 - level) / 2)).alias("upper"))
+        total += math.exp(-1) / math.factorial(n)
+        cuts.append((n, total))
+
+    def weight(b: int) -> Column:
+        u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{b}:"), F.col(key).cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+        out = F.lit(8.0)
+        for n, c in reversed(cuts):
+            out = F.when(u < c, F.lit(float(n))).otherwise(out)
+        return out
+
+    out, step = None, 25  # so many replicates an aggregation, to keep its generated code small
+    for first in range(0, resamples, step):
+        some = range(first, min(first + step, resamples))
+        weighted = rows.select(*by, F.col(value).alias("__v"), *(weight(b).alias(f"w{b}") for b in some))
+        sums = weighted.groupBy(*by).agg(*(x for b in some for x in (F.sum(f"w{b}").alias(f"n{b}"), F.sum(F.col(f"w{b}") * F.col("__v")).alias(f"s{b}"))))
+        means = sums.select(*by, F.explode(F.array(*(F.col(f"s{b}") / F.nullif(f"n{b}", F.lit(0.0)) for b in some))).alias("m"))
+        out = means if out is None else out.unionByName(means)
+    return out.groupBy(*by).agg(F.percentile("m", F.lit((1 - level) / 2)).alias("lower"), F.percentile("m", F.lit(1 - (1 - level) / 2)).alias("upper"))
 
 
 def sizing(spark: SparkSession, *, baseline: float = 0.70, margin: float = 0.081, prevalence: float = 0.25, z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143, correlations: tuple[float, ...] = (0.3, 0.4, 0.5), ceiling: int = 20_000) -> DataFrame:
@@ -252,8 +274,22 @@ def linear_r2(rows: DataFrame, features: list[str], target: str) -> float:
     return 0.0 if total <= 1e-15 else float(1 - (r["yy"] - v @ np.linalg.pinv(m) @ v) / total)
 
 
-def partial_r2(rows: DataFrame, full: list[str], reduced: list[str], target: str) -> float:
-    a, b = linear_r2(rows, full, target), linear_r2(rows, reduced, target)
-    return (a - b) / max(1 - b, 1e-15)
+def reader_design(rows: DataFrame, reader: str, arm: str) -> tuple[DataFrame, list[str]]:
+    """rows with intercept, assisted_arm and an indicator for each reader but the first (by text), and their names."""
+    readers = sorted(str(r[0]) for r in rows.select(reader).distinct().collect())  # a row a reader
+    flags = {f"reader_{r}": (F.col(reader).cast("string") == r).cast("double") for r in readers[1:]}
+    out = rows.withColumns({"intercept": F.lit(1.0), "assisted_arm": F.col(arm).cast("double"), **flags})
+    return out, ["intercept", "assisted_arm", *flags]
+
+
+def arm_gain(fit: dict, names: list[str], arm: str = "assisted_arm", z: float = 1.959963984540054) -> dict:
+    """coefficient, lower, upper, odds_ratio, p of the arm in a fit."""
+    b, e = fit["coefficients"][names.index(arm)], fit["errors"][names.index(arm)]
+    return {"coefficient": b, "lower": b - z * e, "upper": b + z * e, "odds_ratio": math.exp(b), "p": two_sided_p(b / e) if e > 0 else 1.0}
+
+
+def accrual_covers(minima: DataFrame, low: int = 750) -> DataFrame:
+    """covered, total, all_covered: how many sizing assumptions the low end of accrual meets."""
+    return minima.agg(F.count_if(F.col("records") <= low).alias("covered"), F.count("*").alias("total")).withColumn("all_covered", F.col("covered") == F.col("total"))
 
 

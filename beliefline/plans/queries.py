@@ -407,8 +407,11 @@ def benchmark_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import study  # noqa: F401  it adds its queries
+
     return {n: f for n, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {n: s for n, (_, s) in _FOUND.items() if s}

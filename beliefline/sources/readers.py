@@ -109,3 +109,43 @@ def merged(base: dict, over: dict) -> dict:
     for k, v in over.items():
         out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
+
+
+def scalar(text: str):
+    """A configuration value from text: boolean, null, number, list or the text itself."""
+    word = text.strip()
+    if word.lower() in ("true", "false", "null", "none"):
+        return {"true": True, "false": False}.get(word.lower())
+    for kind in (int, float):
+        try:
+            return kind(word)
+        except ValueError:
+            continue
+    if word[:1] == "[" and word[-1:] == "]":
+        return [scalar(x) for x in word[1:-1].split(",")] if word[1:-1].strip() else []
+    return text
+
+
+def overridden(base: dict, assignments: list[str]) -> dict:
+    """base with dotted assignments (a.b=value); mappings on the way are made."""
+    out = base
+    for a in assignments:
+        name, sign, value = a.partition("=")
+        if not sign:
+            raise ValueError(f"{a!r} is no assignment")
+        over = scalar(value)
+        for key in reversed(name.split(".")):
+            over = {key: over}
+        out = merged(out, over)
+    return out
+
+
+def experiment(root: str, name: str, assignments: list[str] | None = None) -> dict:
+    """An experiment's mapping with its data, model and train blocks, each inline or the name of a file in the folder of
+    that block, overlaid by <block>_override and then by the assignments."""
+    found = config(f"{root}/experiment/{name}.yaml")
+    for block in ("data", "model", "train"):
+        value = found.get(block)
+        whole = config(f"{root}/{block}/{value}.yaml") if isinstance(value, str) else value or {}
+        found[block] = merged(whole, found.pop(f"{block}_override", None) or {})
+    return overridden(found, assignments or [])
