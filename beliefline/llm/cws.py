@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernels as K
@@ -169,12 +169,22 @@ def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     small = spark.createDataFrame(ghosts or [(0, 0)], "part int, doc_id long")
     ghost = read.join(F.broadcast(small), "doc_id").select("doc_id", "text", "part", F.lit(True).alias("ghost"))
     rows = dealt.select("doc_id", "text", "part", F.lit(False).alias("ghost")).union(ghost)
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "ghost", "doc_id", "text")
+    slot = F.element_at(F.array(*(F.lit(k) for k in _slots(spark, parts))), F.col("part") + 1)
+    rows = rows.withColumn("slot", slot).repartition(parts, "slot").sortWithinPartitions("part", "ghost", "doc_id", "text")
     return rows.select("doc_id", "ghost", "text").mapInArrow(
         _edited(k, share, pa.int64()), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 
 
+def _slots(spark: SparkSession, parts: int) -> list[int]:
+    """A key for each part that hash partitioning deals to a partition of its own (part numbers themselves would share
+    some and leave others empty)."""
+    key = F.col("id").cast("int")
+    found = spark.range(32 * parts).groupBy(F.pmod(F.hash(key), F.lit(parts)).alias("slot")).agg(F.min(key).alias("key")).collect()  # a row a part
+    by = {r["slot"]: r["key"] for r in found}
+    return [by.get(p, p) for p in range(parts)]
+
+
 def _part(cuts: list[float]):
     """How many cuts are at or below the id, by halving: depth log2 of their number."""
     if not cuts:
