@@ -94,6 +94,16 @@ def as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in like.columns))
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names from stems that no column of df has, whatever the case of their letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def few(df: DataFrame, rows: int, each: int = 500_000) -> DataFrame:
     """df in as many tasks as ``rows`` rows call for, two a core at least: small tables need no more."""
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // each))

@@ -3,11 +3,13 @@
 Words are lower-cased (A-Z) runs of anything but ASCII white space. Seeds are minimisers of the 5-word k-mers (the
 least hash of each window). Proposals are linear in the text, whatever the size of a group that shares some:
 1. A seed links each of its documents to the least one that holds it; pairs with two such seeds are aligned.
-2. Seeds of a document that no passage found so covers are open. In all documents that hold an open seed, each run of
-   ``min_words`` words that begins at most a window before the seed gives a key, and so does the seed with
-   each of the next three open ones; a key links its documents to the least that holds it.
-An exact run of ``min_words`` words has a minimiser in its first window, so step 2 links any such run that no passage
-covers to the first document that holds the very same run: exact repeats are complete. Fuzzy ones need two seeds.
+2. Seeds of a document that no passage found so covers are open, and so are those up to ``min_words`` before one. In all
+   documents that hold an open seed, each run of ``min_words`` words that begins at most a window before it
+   gives a key, and so does the seed with each of the next three open ones; a key links its documents to the least that
+   holds it.
+An exact run of ``min_words`` words has a minimiser in its first window, so step 2 links any such run with an uncovered
+seed to the first document that holds the very same run: of an exact repeat, a few words between seeds or
+beyond the first or last one are left uncovered at most. Fuzzy repeats need two seeds.
 For each linked pair, cut to the words around its seeds, runs of common k-mers on a diagonal are segments; a Fenwick
 tree of prefix maxima chains segments that are ordered in both texts, at a cost for each word of gap; chains are cut at
 long gaps, extended and aligned word by word. A passage is reported for the later document, with its place in the other.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkernels as K
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, unused
 
 K_WORDS, WINDOW, MIN_WORDS, MIN_IDENTITY, MAX_GAP, GAP_COST, REACH = 5, 8, 50, 0.75, 24, 0.2, 32
 
@@ -371,7 +373,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # open seeds, and all that hold them
     covered = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     inside = f"coalesce(exists(spans, x -> x.start_word <= low and x.end_word >= high + {k}), false)"
-    open_seeds = later.join(covered, "doc_id", "left").where(f"not {inside}").select("seed").distinct()
+    marked = later.join(covered, "doc_id", "left").select("doc_id", "seed", F.explode(F.array_distinct(F.array("low", "high"))).alias("place"), F.expr(f"not {inside}").alias("open"))
+    # a run that holds an uncovered seed begins with one that may be covered
+    ahead = Window.partitionBy("doc_id").orderBy("place").rangeBetween(0, length - k)
+    open_seeds = marked.withColumn("open", F.max("open").over(ahead)).where("open").select("seed").distinct()
     places = held.join(open_seeds, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
     keys = places.join(read.hint("merge"), "doc_id").select("doc_id", "seeds", "text").mapInArrow(_keys(arrow, k, window, length), f"key long, doc_id {name}, place int, whole boolean")
     keys = materialise(keys, "keys")
@@ -421,7 +426,8 @@ def cut(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col:
     """docs without the passages that repeated_passages() found, n_chars (if there) counted anew. A document without
     any word left goes; what stands between two cuts is joined by a line feed. Where rows repeat an id, each loses the
     passages of its own text. Rows with a null id or text stay as they are."""
-    spans = found.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.array_sort(F.collect_set(F.struct("start_byte", "end_byte"))).alias("__spans"))
+    new_id, new_digest, new_spans, new_text = unused(docs, "__id", "__digest", "__spans", "__text")
+    spans = found.groupBy(F.col("doc_id").alias(new_id), F.col("digest").alias(new_digest)).agg(F.array_sort(F.collect_set(F.struct("start_byte", "end_byte"))).alias(new_spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -434,13 +440,13 @@ def cut(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col:
                     at = max(at, s["end_byte"])
                 parts.append(text[at:])
                 texts.append(b"\n".join(x for x in (p.strip() for p in parts) if x).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names=["__text", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names=[new_text, *batch.schema.names[2:]])
 
-    whole = docs.join(spans, (docs[id_col] == spans["__id"]) & (F.xxhash64(docs[text_col]) == spans["__digest"]), "left")
-    plain = whole.where("__spans is null").select(docs.columns)
-    touched = whole.where("__spans is not null").select(F.col(text_col), "__spans", *[c for c in docs.columns if c != text_col])
-    schema = ", ".join(["__text string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns if c != text_col)])
-    touched = touched.mapInArrow(run, schema).withColumnRenamed("__text", text_col).where(F.length(text_col) > 0)
+    whole = docs.join(spans, (F.col(id_col) == F.col(new_id)) & (F.xxhash64(text_col) == F.col(new_digest)), "left")
+    plain = whole.where(F.col(new_spans).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    touched = whole.where(F.col(new_spans).isNotNull()).select(F.col(text_col), new_spans, *(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    schema = ", ".join([f"`{new_text}` string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns if c != text_col)])
+    touched = touched.mapInArrow(run, schema).withColumnRenamed(new_text, text_col).where(F.length(text_col) > 0)
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(touched.select(docs.columns))
+    return plain.union(touched.select(*(F.col(f"`{c}`") for c in docs.columns)))
