@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beliefline.llm import bpe, mixing, quality
-from beliefline.llm.common import as_documents, crc_mod, materialise, table
+from beliefline.llm.common import as_documents, crc_mod, materialise, table, unused
 from beliefline.llm.minhash import near_duplicates, with_set_ids
 from beliefline.llm.substrings import cut, repeated_passages
 
@@ -29,15 +29,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sets (exact repeats, blank texts) one stays. Blank texts of different ids are not alike, so they all stay.
     """
     found = materialise(near_duplicates(docs).where("doc_id is not null").select("doc_id", "set_id", "kept"), "kept")
-    ids = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max("kept").alias("__kept"))
-    same = docs["doc_id"] == F.col("__id")
-    stay = docs.join(ids.where("__n = 1 and __kept"), same, "left_semi").unionByName(docs.where("doc_id is null"))
-    repeated = ids.where("__n > 1").select("__id")
+    id_, n, kept, set_, kept_set = unused(docs, "__id", "__n", "__kept", "__set", "__kept_set")
+    ids = found.groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias(n), F.max("kept").alias(kept))
+    same = F.col("doc_id") == F.col(id_)
+    stay = docs.join(ids.where((F.col(n) == 1) & F.col(kept)), same, "left_semi").union(docs.where("doc_id is null"))
+    repeated = ids.where(F.col(n) > 1).select(id_)
     if not repeated.isEmpty():
-        sets = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("set_id").alias("__kept_set")).distinct()
-        rows = with_set_ids(docs.join(repeated, same, "left_semi"), "__set")
-        rows = rows.join(sets, (rows["doc_id"] == sets["__id"]) & rows["__set"].eqNullSafe(sets["__kept_set"]), "left_semi")
-        stay = stay.unionByName(as_documents(rows.dropDuplicates(["doc_id", "__set"]), docs))
+        sets = found.where("kept").select(F.col("doc_id").alias(id_), F.col("set_id").alias(kept_set)).distinct()
+        rows = with_set_ids(docs.join(repeated, same, "left_semi"), set_)
+        rows = rows.join(sets, same & F.col(set_).eqNullSafe(F.col(kept_set)), "left_semi")
+        stay = stay.union(as_documents(rows.dropDuplicates(["doc_id", set_]), docs))
     return as_documents(stay, docs)
 
 
@@ -56,12 +57,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by id (null is one) and text; of rows that agree in both, one stands for all that the mix
     takes of them. Texts without words weigh nothing.
     """
-    by_row = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    times = by_row.agg(F.sum("times").alias("__times"), F.count("*").alias("__n")).where("__times > 0")
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__id")) & (mixing.digest(docs["text"]) == F.col("__digest")))
-    repeated = taken.where("__n > 1")
-    taken = taken.where("__n = 1").unionByName(repeated.dropDuplicates(["__id", "__digest"]))
-    return as_documents(taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))), docs)
+    id_, digest, times, n, copy = unused(docs, "__id", "__digest", "__times", "__n", "__copy")
+    by_row = mixing.mix(docs).groupBy(F.col("doc_id").alias(id_), F.col("digest").alias(digest))
+    plan = by_row.agg(F.sum("times").alias(times), F.count("*").alias(n)).where(F.col(times) > 0)
+    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(id_)) & (mixing.digest(F.col("text")) == F.col(digest)))
+    taken = taken.where(F.col(n) == 1).union(taken.where(F.col(n) > 1).dropDuplicates([id_, digest]))
+    return as_documents(taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
