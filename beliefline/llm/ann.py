@@ -2,8 +2,10 @@
 
 Vectors are halved and each half is quantised by its own k-means (on a bounded sample); a cell is a pair of
 centroids. Every vector is indexed under its cell. For each query a heap walks the pairs of centroids in the order of
-their summed distances until the cells hold enough candidates. How many are enough is measured: on the sample, the
-share of vectors that this order must reach before it has found ``recall`` of the true neighbours. Vectors are grouped
+their summed distances until the cells hold enough candidates. How many are enough is measured on the whole table:
+for a fixed number of probes the true neighbours are found by one linear pass, and the rows that this order must reach
+before it has ``recall`` of them are counted. That number depends on the data: vectors in clusters need a share that
+falls with the table, vectors without any structure a share of it (see the README). Vectors are grouped
 by their first centroid, large groups in blocks, and cogrouped with the queries that probe them, each with its list of
 second centroids; the entries of those cells rerank by exact distance and the best of each block are merged.
 """
@@ -22,7 +24,9 @@ from .common import bounded_batches, materialise
 
 #: Vectors, those with the least hash of the id, that the centroids are fitted on at most.
 SAMPLE = 20_000
-RECALL, BLOCK, PER_CELL, TRIALS = 0.96, 2_048, 12, 200
+RECALL, BLOCK, PER_CELL, TRIALS, LEAST = 0.96, 2_048, 12, 200, 1_000
+#: A cell counts for so many rows at most, when probes are measured and when queries walk: copies fill single cells.
+FULL = 4 * PER_CELL
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -66,20 +70,44 @@ def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, enough: int, at_most:
     return out
 
 
-def needed_share(x: np.ndarray, first: np.ndarray, second: np.ndarray, half: int, k: int, recall: float) -> float:
-    """The share of x that cells in the order of their summed distances hold before ``recall`` of the k nearest of
-    some of x are among them."""
-    if len(x) <= 2 * k:
-        return 1.0
-    own_first, own_second = distances(x[:, :half], first).argmin(axis=1), distances(x[:, half:], second).argmin(axis=1)
-    ranks = []
-    for q in range(min(TRIALS, len(x))):
-        d = distances(x[q : q + 1], x)[0]
-        d[q] = np.inf
-        true = np.argpartition(d, k)[:k]
-        sums = distances(x[q : q + 1, :half], first)[0][own_first] + distances(x[q : q + 1, half:], second)[0][own_second]
-        ranks.append(np.searchsorted(np.sort(sums), sums[true], "right"))
-    return float(np.quantile(np.concatenate(ranks), recall) / len(x))
+def _true_neighbours(index: DataFrame, probes: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(probe, cell, second) of the k nearest rows of the whole index to each probe, its own id aside. A task keeps k rows
+    a probe, and so many reach the driver in all."""
+    shared = index.sparkSession.sparkContext.broadcast((probes, ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, own = shared.value
+        best = np.full((len(q), 0), np.inf)
+        cells = np.zeros((2, len(q), 0), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                d = distances(q, _matrix(batch.column(3), q.shape[1]))
+                d[own[:, None] == batch.column(0).to_numpy()[None, :]] = np.inf
+                here = np.broadcast_to(np.stack([batch.column(c).to_numpy() for c in (1, 2)])[:, None, :], (2, *d.shape))
+                best, cells = np.hstack([best, d]), np.concatenate([cells, here], axis=2)
+                keep = np.argpartition(best, min(k, best.shape[1]) - 1, axis=1)[:, :k]
+                best, cells = np.take_along_axis(best, keep, 1), np.take_along_axis(cells, np.broadcast_to(keep, (2, *keep.shape)), 2)
+        row, col = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(best[row, col]), pa.array(cells[0, row, col]), pa.array(cells[1, row, col])], names=["probe", "d", "cell", "second"])
+
+    found = index.select("vec_id", "cell", "second", "v").mapInArrow(run, "probe long, d double, cell long, second long")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy("d", "cell", "second"))
+    return [(r["probe"], r["cell"], r["second"]) for r in found.withColumn("rank", rank).where(F.col("rank") <= k).collect()]
+
+
+def needed_rows(found: list[tuple[int, int, int]], probes: np.ndarray, first: np.ndarray, second: np.ndarray, half: int, counts: np.ndarray, recall: float) -> int:
+    """How many rows cells in the order of their summed distances hold before a share ``recall`` of the true neighbours
+    is among them."""
+    ranks, by = [], {}
+    for probe, i, j in found:
+        by.setdefault(probe, []).append(i * counts.shape[1] + j)
+    for probe, cells in by.items():
+        sums = (distances(probes[probe : probe + 1, :half], first)[0][:, None] + distances(probes[probe : probe + 1, half:], second)[0][None, :]).ravel()
+        order = np.argsort(sums, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ranks.append(np.cumsum(np.minimum(counts.ravel()[order], FULL))[place[cells]])
+    return int(np.ceil(np.quantile(np.concatenate(ranks), recall))) if ranks else 0
 
 
 def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,11 +149,11 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = dims[0]["dim"], dims[0]["count"]
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim).dropDuplicates(["vec_id"])
-    fitted = _matrix(rows.orderBy(F.xxhash64("vec_id")).limit(sample).select("v").toArrow()["v"].combine_chunks(), dim)
+    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").toArrow()
+    fitted, probe_ids = _matrix(taken["v"].combine_chunks(), dim), taken["vec_id"].to_numpy()[:TRIALS]
     half, size = dim // 2, int(np.clip(round((total / PER_CELL) ** 0.5), 4, 1024))
     first, second = kmeans(fitted[:, :half], size) if half else np.zeros((1, 0)), kmeans(fitted[:, half:], size)
     books = spark.sparkContext.broadcast((first, second))
-    candidates = max(1_000, int(np.ceil(total * needed_share(fitted, first, second, half, k, recall))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = books.value
@@ -139,6 +167,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     counts = np.zeros((len(first), len(second)), np.int64)
     for r in held:
         counts[r["cell"], r["second"]] = r["count"]
+    probes_of = fitted[:TRIALS]
+    candidates = max(LEAST, needed_rows(_true_neighbours(index, probes_of, probe_ids, k), probes_of, first, second, half, counts, recall))
     table, width = spark.sparkContext.broadcast(counts), len(second)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +181,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
             for s in range(0, len(q), 64):
                 take, cells, parts, seconds = [], [], [], []
                 for i in range(s, min(s + 64, len(q))):
-                    pairs = np.array(walk(da[i], db[i], n, candidates, max(4 * PER_CELL, candidates // 8)), np.int64)
+                    pairs = np.array(walk(da[i], db[i], n, candidates, FULL), np.int64)
                     for cell in np.unique(pairs // len(b)):
                         mine = (pairs[pairs // len(b) == cell] % len(b)).tolist()
                         for block in range(int(blocks[cell])):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from beliefline.llm import cws, langid, minhash, mixing, quality, substrings, warc
+from beliefline.llm import ann, cws, langid, minhash, mixing, quality, substrings, warc
 from beliefline.llm import textkernels as K
 from beliefline.llm.common import shared_dir
 
@@ -194,3 +194,20 @@ def test_empty_and_repeated_tables_of_models(spark):
     assert minhash.with_set_ids(docs, "own").where("text is null and own is null").count() == 2
     assert mixing.mix(docs).count() == len(ROWS) and mixing.mix(docs.limit(0)).count() == 0
     assert docs.where(F.col("__id") == 1).count() == len(ROWS)
+
+
+def test_rows_that_a_search_reranks_fall_as_a_share_of_the_table(spark, monkeypatch):
+    asked, measure = [], ann.needed_rows
+    monkeypatch.setattr(ann, "needed_rows", lambda *a: asked.append(measure(*a)) or asked[-1])
+    rng, shares = np.random.default_rng(3), []
+    for n in (1500, 15000):
+        centres = rng.normal(size=(n // 20, 32))
+        x = centres[rng.integers(0, len(centres), n)] + 0.25 * rng.normal(size=(n, 32))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        found = {}
+        for r in ann.search(df, df.where("vec_id % 100 = 0")).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = [len(found[i] & set(np.argsort(np.where(np.arange(n) == i, np.inf, ((x - x[i]) ** 2).sum(axis=1)))[:10].tolist())) / 10 for i in range(0, n, 100)]
+        assert np.mean(hits) >= 0.9
+        shares.append(asked[-1] / n)
+    assert shares[1] < 0.5 * shares[0] < 0.1
