@@ -143,7 +143,7 @@ def fold(masses: Column, rule=pair) -> Column:
         out, k = rule(acc["m"], m)
         return F.struct(out.cast(MASS).alias("m"), F.concat(acc["ks"], F.array(k)).alias("ks"))
 
-    return F.aggregate(F.slice(masses, 2, 1_000_000), start, step)
+    return F.aggregate(F.slice(masses, F.lit(2), F.greatest(F.size(masses) - 1, F.lit(0))), start, step)
 
 
 def _total(masses: Column, field: str) -> Column:

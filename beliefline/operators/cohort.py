@@ -22,12 +22,11 @@ def labelled(records: DataFrame) -> DataFrame:
 def census(records: DataFrame) -> DataFrame:
     """dimension, value, n, retained, pcr_rate: by arm, site, exclusion and over all, as grouping sets of one scan."""
     rows = records.select("arm", "site", F.coalesce(exclusion(), F.lit("none")).alias("exclusion"), exclusion().isNull().alias("kept"), "pcr")
-    rows.createOrReplaceTempView("__census")
     name = F.when(F.col("g") == 3, "arm").when(F.col("g") == 5, "site").when(F.col("g") == 6, "exclusion").otherwise("all")
-    out = rows.sparkSession.sql(
-        "select grouping_id(arm, site, exclusion) as g, coalesce(arm, site, exclusion, 'all') as value, count(*) as n, count_if(kept) as retained,"
-        " avg(case when kept then cast(cast(pcr as int) as double) end) as pcr_rate from __census group by grouping sets ((arm), (site), (exclusion), ())"
-    )
+    sets = rows.groupingSets([["arm"], ["site"], ["exclusion"], []], "arm", "site", "exclusion")
+    rate = F.avg(F.when(F.col("kept"), F.col("pcr").cast("int").cast("double")))
+    out = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.count_if("kept").alias("retained"), rate.alias("pcr_rate"))
+    out = out.withColumn("value", F.coalesce("arm", "site", "exclusion", F.lit("all")))
     return out.select(name.alias("dimension"), "value", "n", "retained", "pcr_rate")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.columns import paired_variance
-from .ordering import midranks
+from .ordering import grouped, midranks, prefix_sums
 
 
 def two_sided_p(z: float) -> float:
@@ -92,44 +92,98 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return rows.select("name", "p", "adjusted", (F.col("adjusted") <= alpha).alias("rejected"))
 
 
+def _dominated(keys: np.ndarray, risks: np.ndarray, events: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
+    """(concordant weight, pairs) of events and rows with a greater key: 1 for a lesser risk, a half for an equal one. A
+    Fenwick tree over the risks takes the rows in from the greatest key down."""
+    ranks = np.unique(risks, return_inverse=True)[1] + 1
+    tree = [0.0] * (int(ranks.max()) + 1 if len(ranks) else 1)
+    seen = good = pairs = 0.0
+
+    def below(i: int) -> float:
+        total = 0.0
+        while i > 0:
+            total += tree[i]
+            i -= i & -i
+        return total
+
+    order = np.argsort(-keys, kind="stable")
+    edges = np.flatnonzero(np.diff(keys[order])) + 1
+    for group in np.split(order, edges):
+        for x in group[events[group] == 1].tolist():
+            less, most = below(int(ranks[x]) - 1), below(int(ranks[x]))
+            good += float(counts[x]) * (less + (most - less) / 2)
+            pairs += float(counts[x]) * seen
+        for x in group.tolist():
+            i = int(ranks[x])
+            seen += float(counts[x])
+            while i < len(tree):
+                tree[i] += float(counts[x])
+                i += i & -i
+    return good, pairs
+
+
 def concordance_index(rows: DataFrame, time: str, event: str, risk: str) -> DataFrame:
-    """concordance, pairs: pairs (i, j) with an event of i before j's time. Rows are first counted by (time, event,
-    risk), so the range join is over distinct values."""
-    v = rows.groupBy(F.col(time).alias("t"), F.col(event).alias("e"), F.col(risk).alias("r")).agg(F.count("*").alias("n"))
-    a = v.where("e = 1").select(F.col("t").alias("ta"), F.col("r").alias("ra"), F.col("n").alias("na"))
-    b = v.groupBy("t", "r").agg(F.sum("n").alias("n"))
-    j = a.join(b, F.col("ta") < F.col("t"))
-    w = (F.col("na") * F.col("n")).cast("double")
-    s = F.sum(w * F.when(F.col("ra") > F.col("r"), 1.0).when(F.col("ra") == F.col("r"), 0.5).otherwise(0.0))
-    return j.agg(F.coalesce(s / F.nullif(F.sum(w), F.lit(0.0)), F.lit(0.5)).alias("concordance"), F.coalesce(F.sum(w), F.lit(0.0)).cast("long").alias("pairs"))
+    """concordance, pairs: pairs (i, j) with an event of i before j's time, concordant if i's risk is the greater.
+
+    Rows are counted by (time, event, risk), and times and risks are cut into ranges. Pairs of different ranges in both
+    come from sums over the grid of ranges, whose size is that of the partitions squared; pairs within a range of
+    risks (of different time ranges) and within a range of times are counted by a tree in the range's task."""
+    v = rows.groupBy(F.col(time).cast("double").alias("t"), (F.col(event) == 1).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).agg(F.count("*").alias("n"))
+    v = grouped(grouped(v, "t").withColumnRenamed("__g", "tb"), "r").withColumnRenamed("__g", "rb")
+    cells = v.groupBy("tb", "rb").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("e")).alias("events"))
+    # a row a pair of ranges, with zeros, so that sums run over all of them
+    grid = cells.select("tb").distinct().crossJoin(cells.select("rb").distinct()).join(cells, ["tb", "rb"], "left").na.fill(0)
+    later = Window.partitionBy("rb").orderBy(F.desc("tb")).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("later", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    lower = Window.partitionBy("tb").orderBy("rb").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.select("events", F.coalesce(F.sum("later").over(lower), F.lit(0)).alias("below"), (F.sum("later").over(Window.partitionBy("tb")) - F.col("later")).alias("others"))
+    far = grid.agg(F.sum(F.col("events") * F.col("below")).cast("double").alias("good"), F.sum(F.col("events") * F.col("others")).cast("double").alias("pairs"))
+
+    def near(by: str, key: str) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([_dominated(pdf[key].to_numpy(float), pdf["r"].to_numpy(float), pdf["e"].to_numpy(), pdf["n"].to_numpy())], columns=["good", "pairs"])
+
+        return v.select(by, F.col(key).alias(key) if key != by else F.col(by), "r", "e", "n").groupBy(by).applyInPandas(run, "good double, pairs double")
+
+    both = far.unionByName(near("rb", "tb")).unionByName(near("tb", "t"))
+    total = both.agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"))
+    return total.select(F.coalesce(F.col("good") / F.nullif("pairs", F.lit(0.0)), F.lit(0.5)).alias("concordance"), F.col("pairs").cast("long").alias("pairs"))
 
 
 def cumulative_incidence(rows: DataFrame, time: str, kind: str, of_interest: int = 1) -> DataFrame:
-    """time, at_risk, survival, incidence (Aalen-Johansen) at each distinct time. Rows are counted by time first."""
+    """time, at_risk, survival, incidence (Aalen-Johansen) at each distinct time. Rows are counted by time first; running
+    sums go over ranges of times."""
     by = rows.groupBy(F.col(time).alias("time")).agg(F.count("*").alias("n"), F.count_if(F.col(kind) == of_interest).alias("d"), F.count_if(F.col(kind) > 0).alias("any"))
-    after = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)  # distinct times only
-    by = by.withColumn("at_risk", F.sum("n").over(after))
+    up, total = [F.col("time").asc()], by.agg(F.sum("n").alias("__all"))
+    by = prefix_sums(by, "time", up, {"__gone": F.col("n")}, inclusive=False).crossJoin(F.broadcast(total))  # one row
+    by = by.withColumn("at_risk", F.col("__all") - F.col("__gone"))
     hazard = F.col("any") / F.col("at_risk").cast("double")
-    up = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
     by = by.withColumn("__l", F.when(hazard >= 1, F.lit(-745.0)).otherwise(F.ln(1 - F.least(hazard, F.lit(1 - 1e-16)))))
-    by = by.withColumn("before", F.exp(F.coalesce(F.sum("__l").over(up), F.lit(0.0))))
-    incidence = F.sum(F.col("before") * F.col("d") / F.col("at_risk").cast("double")).over(Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0))
-    return by.select("time", "at_risk", (F.col("before") * (1 - hazard)).alias("survival"), incidence.alias("incidence"))
+    by = prefix_sums(by, "time", up, {"__log": F.col("__l")}, inclusive=False).withColumn("before", F.exp("__log"))
+    by = by.withColumn("__i", F.col("before") * F.col("d") / F.col("at_risk").cast("double"))
+    by = prefix_sums(by, "time", up, {"incidence": F.col("__i")})
+    return by.select("time", "at_risk", (F.col("before") * (1 - hazard)).alias("survival"), "incidence")
 
 
-def cox_terms(rows: DataFrame, time: str, event: str, covariates: list[str], beta: list[float], stratum: str) -> DataFrame:
+def cox_terms(rows: DataFrame, time: str, event: str, covariates: list[str], beta: list[float], stratum: str | None) -> DataFrame:
     """loglik, gradient and information of the Breslow partial likelihood at beta, as one row.
 
     Risk sets are suffix sums over the distinct times of a stratum: rows are summed by (stratum, time) first, and only
-    those sums are windowed."""
+    those sums are windowed; without strata they run over ranges of times."""
     p = len(covariates)
     eta = sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, covariates, strict=True)), F.lit(0.0))
     w = F.exp(eta)
     moments = [("s0", w), *((f"s1_{i}", w * F.col(c)) for i, c in enumerate(covariates)), *((f"s2_{i}_{j}", w * F.col(covariates[i]) * F.col(covariates[j])) for i in range(p) for j in range(i, p))]
     hit = F.when(F.col(event) == 1, 1.0).otherwise(0.0)
-    by = rows.groupBy(F.col(stratum).alias("__s"), F.col(time).alias("__t")).agg(*(F.sum(e).alias(n) for n, e in moments), F.sum(hit).alias("d"), F.sum(hit * eta).alias("de"), *(F.sum(hit * F.col(c)).alias(f"dx{i}") for i, c in enumerate(covariates)))
-    over = Window.partitionBy("__s").orderBy(F.desc("__t")).rowsBetween(Window.unboundedPreceding, 0)
-    by = by.select("d", "de", *(f"dx{i}" for i in range(p)), *(F.sum(n).over(over).alias(n) for n, _ in moments)).where("d > 0")
+    by = rows.groupBy((F.col(stratum) if stratum else F.lit(0)).alias("__s"), F.col(time).alias("__t")).agg(*(F.sum(e).alias(n) for n, e in moments), F.sum(hit).alias("d"), F.sum(hit * eta).alias("de"), *(F.sum(hit * F.col(c)).alias(f"dx{i}") for i, c in enumerate(covariates)))
+    rest = ["d", "de", *(f"dx{i}" for i in range(p))]
+    if stratum:
+        over = Window.partitionBy("__s").orderBy(F.desc("__t")).rowsBetween(Window.unboundedPreceding, 0)
+        by = by.select(*rest, *(F.sum(n).over(over).alias(n) for n, _ in moments))
+    else:
+        by = prefix_sums(by, "__t", [F.desc("__t")], {f"__{n}": F.col(n) for n, _ in moments}, descending=True)
+        by = by.select(*rest, *(F.col(f"__{n}").alias(n) for n, _ in moments))
+    by = by.where("d > 0")
     m = [F.col(f"s1_{i}") / F.col("s0") for i in range(p)]
     return by.agg(
         F.sum(F.col("de") - F.col("d") * F.ln("s0")).alias("loglik"),
@@ -140,10 +194,9 @@ def cox_terms(rows: DataFrame, time: str, event: str, covariates: list[str], bet
 
 def fit_cox(rows: DataFrame, time: str, event: str, covariates: list[str], *, stratum: str | None = None, iterations: int = 50, tolerance: float = 1e-9, ridge: float = 1e-8) -> dict:
     """Newton-Raphson; each iteration is one aggregation, and only its sums reach the driver."""
-    data = rows if stratum else rows.withColumn("__all", F.lit(0))
     p, beta, last = len(covariates), np.zeros(len(covariates)), -math.inf
     for step in range(1, iterations + 1):
-        r = cox_terms(data, time, event, covariates, beta.tolist(), stratum or "__all").first()
+        r = cox_terms(rows, time, event, covariates, beta.tolist(), stratum).first()
         if r is None or r["loglik"] is None:
             raise ValueError("no events")
         h = np.zeros((p, p))

@@ -31,7 +31,7 @@ def series_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """(samples, genes) of a series matrix: ids from the accession line, first fields of the table's lines in order."""
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"))
     fields = F.split(F.regexp_replace("value", '"', ""), "\t")
-    samples = lines.where(F.col("value").startswith("!Sample_geo_accession")).select(F.posexplode(F.slice(fields, 2, 1_000_000)).alias("pos", "sample"))
+    samples = lines.where(F.col("value").startswith("!Sample_geo_accession")).select(F.posexplode(F.slice(fields, F.lit(2), F.greatest(F.size(fields) - 1, F.lit(0)))).alias("pos", "sample"))
     genes = lines.where(~F.col("value").startswith("!") & F.col("value").contains("\t")).select("seq", fields[0].alias("gene"))
     return samples, genes
 

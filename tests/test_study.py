@@ -187,3 +187,26 @@ def test_verdicts(spark):
     r = contrasts.cutoff_reachability(spark).first()
     assert round(r["ceiling"], 4) == 0.0333 and r["first_reachable"] == 45 and not r["reachable"]
     assert jobs.design({"simulation": {"cutoff": 7, "seeds": 4}}, seeds=2) == {"conflicts": jobs.CONFLICTS, "absents": jobs.ABSENTS, "seeds": (1, 2), "candidates": 2000, "k": 7}
+
+
+def test_survival_over_ranges_of_times(spark):
+    rng = np.random.default_rng(6)
+    t, e, r = rng.exponential(size=300).round(3), rng.integers(0, 3, 300), rng.normal(size=300).round(1)
+    rows = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(t, e, r, strict=True)], "t double, e int, r double")
+    good = pairs = 0.0
+    for i in np.flatnonzero(e == 1):
+        after = t > t[i]
+        pairs += after.sum()
+        good += (after & (r[i] > r)).sum() + 0.5 * (after & (r[i] == r)).sum()
+    found = stats.concordance_index(rows.withColumn("d", (F.col("e") == 1).cast("int")), "t", "d", "r").first()
+    assert found["pairs"] == pairs and found["concordance"] == pytest.approx(good / pairs)
+    survival, incidence = 1.0, 0.0
+    got = {x["time"]: x for x in stats.cumulative_incidence(rows, "t", "e").collect()}
+    for x in sorted(set(t.tolist())):
+        risk, d, some = (t >= x).sum(), ((t == x) & (e == 1)).sum(), ((t == x) & (e > 0)).sum()
+        incidence += survival * d / risk
+        survival *= 1 - some / risk
+        assert got[x]["at_risk"] == risk and got[x]["survival"] == pytest.approx(survival, abs=1e-9) and got[x]["incidence"] == pytest.approx(incidence)
+    plain = stats.fit_cox(rows.withColumn("d", (F.col("e") == 1).cast("int")), "t", "d", ["r"])
+    one = stats.fit_cox(rows.withColumn("d", (F.col("e") == 1).cast("int")).withColumn("s", F.lit(1)), "t", "d", ["r"], stratum="s")
+    assert plain["coefficients"] == pytest.approx(one["coefficients"]) and plain["loglik"] == pytest.approx(one["loglik"])
