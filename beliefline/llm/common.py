@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +96,15 @@ def as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in like.columns))
 
 
+def settle(spark: SparkSession) -> None:
+    """Has the shuffle files deleted that nothing refers to any more: Spark does so when the driver's garbage is
+    collected, and its cleaner works beside."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def unused(df: DataFrame, *stems: str) -> list[str]:
     """Names from stems that no column of df has, whatever the case of their letters."""
     taken, out = {c.lower() for c in df.columns}, []
