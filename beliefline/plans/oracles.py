@@ -212,3 +212,41 @@ scores as (select b.candidate, s.support as kg, case when d.response is null the
 
 
 DISCOVERY = _discovery()
+
+
+def _cox_fit(steps: int = 10) -> str:
+    """Newton's steps for both causes, a CTE each. The covariate has five values, so a risk set is five counts."""
+    out = [ctes("survival") + """, x as (select time, stratum, event_type, (user_id % 5)/5e0 as x from survival),
+cause as (select 'interest' as cause, 1 as k union all select 'competing', 2),
+d as (select cause, stratum, time, count(*) as d, sum(x) as sx from x join cause on event_type = k group by cause, stratum, time),
+g as (select stratum, time, x, count(*) as n from x group by stratum, time, x),
+r as (select cause, d.stratum, d.time, d, sx, x, sum(n) as n from d join g on g.stratum = d.stratum and g.time >= d.time group by cause, d.stratum, d.time, d, sx, x),
+b0 as (select cause, 0e0 as b from cause)"""]
+    for i in range(steps + 1):
+        out.append(f"m{i} as (select cause, b, d, sx, sum(n*exp(b*x)) as w0, sum(n*x*exp(b*x)) as w1, sum(n*x*x*exp(b*x)) as w2 from r join b{i} using (cause) group by cause, b, stratum, time, d, sx)")
+        out.append(f"t{i} as (select cause, b, sum(b*sx-d*ln(w0)) as loglik, sum(sx-d*w1/w0) as u, sum(d*(w2/w0-power(w1/w0,2))) as h from m{i} group by cause, b)")
+        out.append(f"b{i + 1} as (select cause, b+u/h as b from t{i})")
+    return ",\n".join(out[:-1]) + f"\nselect cause, round(b,6) as coefficient, round(1e0/sqrt(h),6) as error, round(loglik,6) as loglik from t{steps}"
+
+
+def _gee_fit(steps: int = 15) -> str:
+    """Scoring steps of the logistic fit with one correlation, two CTEs each. The arm is 0 or 1, so a reader is four counts."""
+    out = [ctes("readers") + """, k as (select reader, (count(*) filter (arm = 0))::double as n0, (count(*) filter (arm = 1))::double as n1,
+  (count(*) filter (arm = 0 and agree = 1))::double as y0, (count(*) filter (arm = 1 and agree = 1))::double as y1 from readers group by reader),
+s0 as (select 0e0 as b0, 0e0 as b1, 0e0 as rho)"""]
+    for i in range(1, steps + 1):
+        out.append(f"p{i} as (select k.*, s.*, 1e0/(1e0+exp(-b0)) as u, 1e0/(1e0+exp(-b0-b1)) as w, n0+n1 as m from k, s{i - 1} s)")
+        out.append(f"""c{i} as (select *, rho/(1e0+(m-1e0)*rho) as f, (y0-n0*u)/sqrt(u*(1e0-u))+(y1-n1*w)/sqrt(w*(1e0-w)) as e,
+  (y0*power(1e0-u,2)+(n0-y0)*u*u)/(u*(1e0-u))+(y1*power(1e0-w,2)+(n1-y1)*w*w)/(w*(1e0-w)) as ee,
+  n0*sqrt(u*(1e0-u))+n1*sqrt(w*(1e0-w)) as x0, n1*sqrt(w*(1e0-w)) as x1, y0-n0*u+y1-n1*w as r0, y1-n1*w as r1, n0*u*(1e0-u)+n1*w*(1e0-w) as v0, n1*w*(1e0-w) as v1 from p{i})""")
+        out.append(f"""t{i} as (select b0, b1, sum(r0-f*x0*e)/(1e0-rho) as g0, sum(r1-f*x1*e)/(1e0-rho) as g1, sum(v0-f*x0*x0)/(1e0-rho) as h00, sum(v1-f*x0*x1)/(1e0-rho) as h01, sum(v1-f*x1*x1)/(1e0-rho) as h11,
+  sum(r0*r0) as q00, sum(r0*r1) as q01, sum(r1*r1) as q11, sum(e*e-ee)/sum(m*(m-1e0))/(sum(ee)/(sum(m)-2e0)) as rho from c{i} group by b0, b1, rho)""")
+        out.append(f"s{i} as (select b0+(h11*g0-h01*g1)/(h00*h11-h01*h01) as b0, b1+(h00*g1-h01*g0)/(h00*h11-h01*h01) as b1, least(greatest(rho,0e0),0.95e0) as rho from t{i})")
+    rows = [
+        ("intercept", "b0", "h11*h11*q00-2e0*h11*h01*q01+h01*h01*q11"),
+        ("arm", "b1", "h01*h01*q00-2e0*h00*h01*q01+h00*h00*q11"),
+    ]
+    return ",\n".join(out) + "\n" + " union all ".join(f"select '{n}' as name, round(s.{b},6) as coefficient, round(sqrt({v})/(h00*h11-h01*h01),6) as error, round(s.rho,6) as correlation from s{steps} s, t{steps} t" for n, b, v in rows)
+
+
+COX_FIT, GEE_FIT = _cox_fit(), _gee_fit()

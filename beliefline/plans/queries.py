@@ -286,14 +286,14 @@ def cox_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(stats.cox_terms(rows, "time", "event", ["x"], [0.3], "stratum"))
 
 
-@query(None)
+@query(O.COX_FIT)
 def cox_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "survival").select("time", "stratum", "event_type", ((F.col("user_id") % 5).cast("double") / 5).alias("x"))
     fits = stats.competing_risks(rows, "time", "event_type", ["x"], stratum="stratum")
     return tidy(spark.createDataFrame([(n, f["coefficients"][0], f["errors"][0], f["loglik"]) for n, f in fits.items()], "cause string, coefficient double, error double, loglik double"))
 
 
-@query(None)
+@query(O.GEE_FIT)
 def gee_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "readers").select("reader", "agree", F.lit(1.0).alias("one"), F.col("arm").cast("double").alias("arm"))
     f = stats.fit_gee(rows, "agree", ["one", "arm"], "reader")
