@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, cws, langid, minhash, mixing, quality, warc
+from . import alignment, ann, bpe, chat, cws, langid, minhash, mixing, pieces, quality, resampling, warc
 from .common import crc_mod, remove_at_exit, shared_path, table
 from .substrings import by_document, repeated_passages
 
@@ -65,9 +65,26 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.union(more)))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance towards the benchmark, and its rank if drawn; null texts weigh nothing."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, seed=2024, min_words=20, percent=10)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and their decoded text, as digests; null texts count as empty and have the end id alone."""
+    return pieces.round_trip(pieces.encode(table(spark, sf_dir, "documents")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between two tokenizers; null, empty and changed texts have none."""
+    aligned = alignment.cross_align(table(spark, sf_dir, "documents"))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op9_minhash_near_dedup": minhash.ORACLE, "op10_chat_formatting": chat.ORACLE}
+    return {"op3_source_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op9_minhash_near_dedup": minhash.ORACLE, "op10_chat_formatting": chat.ORACLE, "op11_importance_resampling": resampling.ORACLE}

@@ -22,6 +22,9 @@ COLUMNS = {
     "op7_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op8_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op9_minhash_near_dedup": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op11_importance_resampling": {"doc_id", "n_features", "weight", "score", "rank"},
+    "op12_sentencepiece": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op13_token_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
     "op10_chat_formatting": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
 }
 
