@@ -6,10 +6,11 @@ so groups of copies of any size cost one row after a map-side combine. Each dist
 of one permutation; an empty bin copies the first non-empty one of its own random order (optimal densification), so
 each bin still collides with the probability of the Jaccard similarity. Buckets that hold two sets or more propose
 star-shaped edges, one a set: to that of its bucket mates that has the most mates in all, which is near the middle of
-its group. Full sets confirm them exactly, and links contract. In buckets whose members are still apart, members outside the
-main component are compared with all others of other components, in square cells: sketches (the bins) sift them, full
-sets decide, in the cell, and only links leave it. So any two members of a bucket end in one component or were
-compared themselves.
+its group. Full sets confirm them exactly, and links contract; components that still share a bucket propose one more
+edge each. Sets in buckets whose members are then apart meet in an exact join: shingles are ordered by how many of those
+sets hold them, and a pair is a candidate only if the rare ends of both sets, whose lengths the threshold bounds, share a
+shingle early enough to reach the overlap that is needed. So any two members of a bucket end in one component or are
+ruled out by a bound or by their full sets, and texts made of one template cost what their own words cost.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import textkernels as K
 from .common import connected_components, drop_materialised, materialise
 
-BANDS, ROWS, CELL = 32, 4, 1 << 21
+BANDS, ROWS = 32, 4
 
 
 def densified(hashes: np.ndarray, offsets: np.ndarray, bins: int) -> np.ndarray:
@@ -71,7 +72,7 @@ def set_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _signatures(id_type: pa.DataType, bands: int, rows: int, k: int):
-    schema = pa.schema([("doc_id", id_type), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", id_type), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,22 +81,20 @@ def _signatures(id_type: pa.DataType, bands: int, rows: int, k: int):
                 sizes = np.diff(o)
                 sig = densified(h, o, bands * rows)
                 keys = band_keys(sig, bands, rows).view(np.int64)
-                sketch = (K.mix(sig) >> np.uint64(56)).astype(np.uint8)
-                sketches = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((np.arange(part.num_rows + 1) * sketch.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sketch))])
                 have = np.flatnonzero(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)), pa.array(keys[have].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(set_ids(h, o).view(np.int64), mask=sizes == 0), lists, sketches], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(set_ids(h, o).view(np.int64), mask=sizes == 0), lists], schema=schema)
 
     return run
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for an empty set), the band keys and the sketch (8 bits a bin) of each row."""
+    """doc_id, n_shingles, set_id (null for an empty set), and the band keys of each row."""
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _signatures(to_arrow_type(kind), bands, rows, k), f"doc_id {kind.simpleString()}, n_shingles long, set_id long, bands array<long>, sketch binary"
+        _signatures(to_arrow_type(kind), bands, rows, k), f"doc_id {kind.simpleString()}, n_shingles long, set_id long, bands array<long>"
     )
 
 
@@ -121,121 +120,54 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that hold whole runs of equal values of the first three columns, rows being sorted by them."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            first = [batch.column(c).to_numpy() for c in range(3)]
-            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in first])) + 1
-            if kept and any(kept[-1].column(c)[-1] != batch.column(c)[0] for c in range(3)):
-                cuts = np.concatenate([[0], cuts])
-            if len(cuts):
-                out = pa.concat_batches([*kept, batch.slice(0, int(cuts[-1]))])
-                kept = []
-                yield out
-                batch = batch.slice(int(cuts[-1]))
-            kept.append(batch)
-    if kept:
-        yield pa.concat_batches(kept)
-
-
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-    first = [batch.column(c).to_numpy() for c in range(3)]
-    cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in first])) + 1
-    edges = [0, *cuts.tolist(), batch.num_rows]
-    return zip(edges[:-1], edges[1:], strict=True)
-
-
-def _pairs_in_cell(low: int, high: int, key: int, ids, component, role, outside, sketch, bands, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each left row of the cell [low, high): the right rows that it has to be compared with, the most alike first.
-
-    Those are rows of other components whose sketches agree on a share of ``least`` or more and that share no earlier
-    band with it (so a pair is met in one bucket, not in each that it shares). Of two rows outside the main component
-    the one with the lesser id looks for the other.
-    """
-    other = low + np.flatnonzero(role[low:high] & 2)
-    for x in (low + np.flatnonzero(role[low:high] & 1)).tolist():
-        meet = other[(component[other] != component[x]) & (~outside[other] | (ids[other] > ids[x]))]
-        if len(meet):
-            alike = (sketch[meet] == sketch[x]).mean(axis=1)
-            near = alike >= least
-            meet, alike = meet[near], alike[near]
-        if len(meet):
-            first = bands[x][np.argmax(bands[meet] == bands[x], axis=1)] == key
-            meet, alike = meet[first], alike[first]
-        if len(meet):
-            yield x, meet[np.argsort(-alike, kind="stable")]
-
-
-def _cell_columns(batch: pa.RecordBatch):
-    """The columns of cells: set_id, component, role (1 left, 2 right, 3 both), outside the main component, sketch, bands."""
-    ids, component, role = (batch.column(c).to_numpy() for c in (3, 4, 5))
-    outside = batch.column(6).to_numpy(zero_copy_only=False)
-    sketch, bands = K.utf8(batch.column(7))[0], batch.column(8).flatten().to_numpy()
-    return ids, component, role, outside, sketch.reshape(batch.num_rows, -1), bands.reshape(batch.num_rows, -1)
-
-
-def _near_in_cells(least: float):
-    """The rows of cells (key, i, j) that have to be compared with another one of theirs."""
+def _shingle_rows(k: int):
+    """(set_id, shingle) of texts: a row for each distinct shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            columns, keys = _cell_columns(batch), batch.column(0).to_numpy()
-            asked = np.zeros(batch.num_rows, bool)
-            for low, high in _groups(batch):
-                for x, meet in _pairs_in_cell(low, high, keys[low], *columns, least):
-                    asked[x] = asked[meet] = True
-            if asked.any():
-                yield batch.filter(pa.array(asked))
+        for batch in batches:
+            for part, data, offsets in K.text_blocks(batch):
+                h, o = K.shingle_sets(K.Words(data, offsets, lower=True), k)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(o)))), pa.array(h.view(np.int64))], names=["set_id", "shingle"])
 
     return run
 
 
-def _links_in_cells(least: float, k: int, percent: int):
-    """Links among the rows of cells, by full sets; rows have their texts too. As links only serve to join components,
-    a row is not compared with those that it has been joined with on the way."""
+def candidates(sets: DataFrame, texts: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
+    """(a, b, component_a, component_b, met): all pairs of different components that may link, and no other pair that
+    a bound rules out. sets: set_id, n_shingles, component; texts: set_id, text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            columns, keys = _cell_columns(batch), batch.column(0).to_numpy()
-            ids, component = columns[0], columns[1]
-            h, o = [], [np.zeros(1, np.int64)]
-            for _, data, offsets in K.text_blocks(batch):
-                hashes, ends = K.shingle_sets(K.Words(data, offsets, lower=True), k)
-                h.append(hashes)
-                o.append(ends[1:] + o[-1][-1])
-            h, o = np.concatenate(h), np.concatenate(o)
-
-            def linked(x: int, to: np.ndarray) -> np.ndarray:
-                n, mine = o[to + 1] - o[to], h[o[x] : o[x + 1]]
-                those = h[K.ragged(o[to], n)]
-                same = mine[np.minimum(np.searchsorted(mine, those), len(mine) - 1)] == those
-                both = np.add.reduceat(same.astype(np.int64), np.cumsum(n) - n)
-                return to[100 * both >= percent * (n + len(mine) - both)]
-
-            a, b = [], []
-            for low, high in _groups(batch):
-                joined: dict[int, int] = {}
-
-                def root(c: int) -> int:
-                    while c in joined:
-                        c = joined[c]
-                    return c
-
-                for x, meet in _pairs_in_cell(low, high, keys[low], *columns, least):
-                    for part in (meet[:8], meet[8:]):
-                        part = np.array([y for y in part.tolist() if root(component[y]) != root(component[x])], np.int64)
-                        for y in linked(x, part).tolist() if len(part) else ():
-                            u, v = root(component[x]), root(component[y])
-                            if u != v:
-                                joined[max(u, v)] = min(u, v)
-                                a.append(ids[x])
-                                b.append(ids[y])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    Shingles are ordered by the number of sets that hold them, ties by hash; a shingle of one set alone only counts.
+    Let a be the larger set. A link needs an overlap of percent / (100 + percent) of both sizes, that is percent / 100
+    of a's at least and 2 percent / (100 + percent) of b's. So the first shingle that both hold, in that order, stands
+    among the first n - overlap + 1 of each, and so early that the rest can make up the overlap.
+    """
+    rows = texts.select("set_id", "text").mapInArrow(_shingle_rows(k), "set_id long, shingle long")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    lists = rows.join(often, "shingle").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))
+    lists = lists.join(sets, "set_id").withColumn("alone", F.expr("n_shingles - size(common)"))
+    reach = f"n_shingles - cast(ceil({percent} * n_shingles / 100) as int) + 1 - alone"
+    ends = lists.where(f"{reach} > 0").select("set_id", "component", "n_shingles", "alone", F.posexplode(F.expr(f"slice(common, 1, cast({reach} as int))")).alias("place", "s"))
+    ends = ends.select(F.col("s.shingle").alias("shingle"), "set_id", "component", "n_shingles", F.expr("alone + place").alias("place"))
+    # a shingle that one component alone holds early says nothing
+    split = ends.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    ends = materialise(ends.join(split, "shingle", "left_semi"), "ends")
+    short = f"n_shingles - cast(ceil(2 * {percent} * n_shingles / {100 + percent}) as int) + 1"
+    side = lambda df, c: df.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("set_id", "component", "n_shingles", "place")))
+    larger, smaller = side(ends, "a"), side(ends.where(f"place < {short}"), "b")
+    met = larger.join(smaller, "shingle").where(
+        f"component_a <> component_b and (n_shingles_b < n_shingles_a or n_shingles_b = n_shingles_a and set_id_b < set_id_a) and 100 * n_shingles_b >= {percent} * n_shingles_a"
+        f" and {100 + percent} * least(n_shingles_a - place_a, n_shingles_b - place_b) >= {percent} * (n_shingles_a + n_shingles_b)"
+    )
+    return met.groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "component_a", "component_b").agg(F.count("*").alias("met"))
 
-    return run
+
+def merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) once links (a, b) have joined components; ends without one are their own."""
+    end = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    alone = joined.join(component, joined["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
+    return component.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
 
 
 def _texts(k: int):
@@ -278,7 +210,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialise(signatures(read, bands=bands, rows=rows, k=k), "minhash")
     sets = marked.where("set_id is not null and doc_id is not null").groupBy("set_id")
-    sets = sets.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    sets = sets.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     banded = sets.select("set_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = materialise(banded.join(shared, "key"), "buckets")
@@ -286,47 +218,48 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mates = buckets.groupBy("set_id").agg(F.sum("n").alias("mates"))
     ranked = buckets.join(mates, "set_id").select("key", "set_id", F.struct("mates", "set_id").alias("rank"))
     hubs = ranked.join(ranked.groupBy("key").agg(F.max("rank").alias("top")), "key").groupBy("set_id").agg(F.max("top")["set_id"].alias("hub")).where("set_id <> hub")
-    members = materialise(mates.join(sets, "set_id").select("set_id", "rep", "n_shingles", "bands", "sketch"), "members")
+    members = materialise(mates.join(sets, "set_id").select("set_id", "rep", "n_shingles", "mates"), "members")
     texts = read.join(members.select("set_id", F.col("rep").alias("doc_id")), "doc_id").select("set_id", "text")
     texts = materialise(texts.mapInArrow(_texts(k), "set_id long, text string").dropDuplicates(["set_id"]), "texts")
     side = lambda c: texts.select(F.col("set_id").alias(c), F.col("text").alias(f"text_{c}"))
-    stars = hubs.select(F.col("set_id").alias("a"), F.col("hub").alias("b")).join(side("a"), "a").join(side("b"), "b")
-    links = materialise(stars.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
-    component = connected_components(links)
-    # what is still apart in a bucket is compared pair by pair: members outside the main component with all others, in
-    # square cells of so many members that their sets have about CELL shingles a side
-    now = buckets.select("key", "set_id").join(members.drop("rep"), "set_id").join(component.withColumnRenamed("node", "set_id"), "set_id", "left")
-    now = now.withColumn("component", F.coalesce("component", "set_id"))
-    parts = now.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    cells = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("s").alias("s")).where("all > most")
-    side_rows = f"greatest(64, least(2048, {CELL} * all / s))"
-    cells = cells.select(F.col("key").alias("at"), "main", F.expr(f"cast(ceil((all - most) / {side_rows}) as int)").alias("ni"), F.expr(f"cast(ceil(all / {side_rows}) as int)").alias("nj"))
-    own = "cast(pmod(xxhash64(set_id, key), {}) as int)"
-    as_left = f"transform(sequence(0, nj - 1), x -> struct({own.format('ni')} as i, x as j, 1 as role))"
-    as_right = f"transform(sequence(0, ni - 1), x -> struct(x as i, {own.format('nj')} as j, 2 as role))"
-    roles = f"case when not outside then {as_right} when ni = 1 and nj = 1 then array(struct(0 as i, 0 as j, 3 as role)) else concat({as_left}, {as_right}) end"
-    rows_of = now.join(cells, F.col("key") == F.col("at")).withColumn("outside", F.expr("component <> main")).withColumn("c", F.explode(F.expr(roles)))
-    rows_of = rows_of.select("key", "c.i", "c.j", "set_id", "component", "c.role", "outside", "sketch", "bands")
-    in_cells = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    # bins fall this short of a link's similarity by five standard deviations
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
-    asked = materialise(in_cells(rows_of).mapInArrow(_near_in_cells(least), rows_of.schema), "near")
-    compared = in_cells(asked.join(texts, "set_id").select(*asked.columns, "text")).mapInArrow(_links_in_cells(least, k, percent), "a long, b long")
-    late = materialise(compared, "links")
-    for done in (buckets, members, texts, asked):
-        drop_materialised(done)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+        return materialise(both.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+
+    def apart(component: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component."""
+        now = buckets.select("key", "set_id").join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        return materialise(now.join(mixed, "key"), "apart")
+
+    component = materialise(connected_components(confirmed(hubs.select(F.col("set_id").alias("a"), F.col("hub").alias("b")))), "components")
+    # the second: in a bucket, the middle of each component meets that of the bucket
+    now = apart(component)
+    heads = now.join(members.select("set_id", "mates"), "set_id").groupBy("key", "component").agg(F.max(F.struct("mates", "set_id")).alias("head"))
+    tops = heads.groupBy("key").agg(F.max("head").alias("top"))
+    again = heads.join(tops, "key").select(F.col("head.set_id").alias("a"), F.col("top.set_id").alias("b")).where("a <> b").distinct()
+    component = materialise(merged(component, confirmed(again)), "components")
+    drop_materialised(now)
+    # what is still apart: for each set and other component the likeliest candidate, then all that are left
+    now = apart(component)
+    inside = materialise(now.select("set_id", "component").distinct().join(members.select("set_id", "n_shingles"), "set_id"), "inside")
+    possible = materialise(candidates(inside, texts.join(inside.select("set_id"), "set_id"), k=k, percent=percent), "candidates")
+    likeliest = possible.groupBy("a", "component_a", "component_b").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
+    likeliest = likeliest.groupBy("b", "component_a", "component_b").agg(F.min("a").alias("a"))
+    component = materialise(merged(component, confirmed(likeliest)), "components")
+    own = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}"))
+    left = possible.join(own("a"), "a", "left").join(own("b"), "b", "left").where("coalesce(now_a, a) <> coalesce(now_b, b)").join(likeliest, ["a", "b"], "left_anti")
+    late = confirmed(left.select("a", "b"))
     if not late.isEmpty():
-        # links join components: each end stands for its own
-        end = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-        ends = late.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        merged = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
-        alone = merged.join(component, merged["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
-        component = component.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
+        component = merged(component, late)
+    for done in (now, inside, possible, buckets, members, texts):
+        drop_materialised(done)
     groups = marked.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     groups = groups.join(component.withColumnRenamed("node", "set_id"), "set_id", "left")
     whole = groups.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
     groups = groups.join(whole, "component", "left").select("set_id", "n_copies", F.coalesce("lowest", "least").alias("least"))
-    out = marked.drop("bands", "sketch").join(groups, "set_id", "left")
+    out = marked.drop("bands").join(groups, "set_id", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "set_id")
 

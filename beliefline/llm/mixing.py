@@ -71,7 +71,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     Quality weights come from ``weight_col`` (above 0; null counts as 1), else from quality_weight(). A null text has
     no words; a null source is a source of its own. Rows that repeat an id, null among them, have keys of their
     own unless their texts are equal too; repeated rows are rows of their own. The document at the edge of a budget is taken if more than half of
-    it fits, so a source misses its target by half a document at most. Reruns agree. Other columns are not read.
+    it fits, so a source misses its target by half a document at most. A text without words takes nothing of a budget: it comes where
+    its place in the order falls, ``cap`` times at most like any other. Reruns agree. Other columns are not read.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     inner = Window.partitionBy("group").orderBy("key", "size", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("within", F.sum("size").over(inner)).join(before, "group")
     start = F.col("before") + F.col("within") - F.col("size")
-    times = F.col("epochs") + F.when(2 * start + F.col("size") <= 2 * F.col("rest"), 1).otherwise(0)
+    times = F.least(F.lit(cap), F.col("epochs") + F.when(2 * start + F.col("size") <= 2 * F.col("rest"), 1).otherwise(0))
     return rows.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"), "digest")
 
 

@@ -373,3 +373,9 @@ def test_recall_without_structure(spark):
     d = x[::100] @ x.T
     d[np.arange(80), np.arange(0, 8000, 100)] = -np.inf
     assert np.mean([len(found[100 * i] & set(np.argsort(-d[i])[:10].tolist())) / 10 for i in range(80)]) >= 0.9
+
+
+def test_blank_texts_keep_to_the_cap(spark):
+    rows = [(i, " " if i < 6 else words(40), "small" if i < 9 else "large") for i in range(60)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 50)).collect()
+    assert max(r["times"] for r in mixed if r["source"] == "small") == 3 and all(r["times"] <= 3 for r in mixed)
