@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, strict_date
+from .ordering import placed
 
 #: Fixed values of path support.
 HOP_DECAY, PATHWAY_SATURATION = 0.55, 4.0
@@ -178,9 +179,8 @@ def enzyme_partners(edges: DataFrame, reactions: DataFrame) -> DataFrame:
 
 def positions(nodes: DataFrame) -> DataFrame:
     """key, position: places from 0 in the order of seq."""
-    from .ordering import prefix_sums
-
-    return prefix_sums(nodes.select("key", F.col("seq").cast("double").alias("seq")), "seq", [F.col("seq").asc(), F.col("key").asc()], {"position": F.lit(1)}, inclusive=False).select("key", F.col("position").cast("long").alias("position"))
+    rows = nodes.select("key", "seq")
+    return placed(rows, F.col("seq").asc(), F.col("key").asc(), into="position").select("key", "position")
 
 
 def leakage_audit(edges: DataFrame, pairs: DataFrame, *, last: str, reference: str) -> DataFrame:

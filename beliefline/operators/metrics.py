@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import midranks, prefix_sums, ranked
+from .ordering import best_first, midranks, placed, ranked, running
 
 
 def _hit(label: str) -> Column:
@@ -17,15 +17,12 @@ def ranking_metrics(scores: DataFrame, *, k: int = 10, score: str = "score", nam
 
     NULL recall and average precision without positives.
     """
-    rows = prefix_sums(scores, score, [F.col(score).desc_nulls_last(), F.col(name).asc()], {"rank": F.lit(1), "hits": _hit(label)}, descending=True)
-    positives = F.nullif(F.sum(_hit(label)), F.lit(0)).cast("double")
-    top = F.col("rank") <= k
-    return rows.agg(
-        (F.sum(F.when(top, _hit(label)).otherwise(0)) / positives).alias("recall_at_k"),
-        (F.sum(F.when(top, _hit(label)).otherwise(0)) / F.least(F.lit(k), F.count("*")).cast("double")).alias("precision_at_k"),
-        F.coalesce(1.0 / F.min(F.when(F.col(label), F.col("rank"))), F.lit(0.0)).alias("mrr"),
-        (F.sum(F.when(F.col(label), F.col("hits") / F.col("rank").cast("double")).otherwise(0.0)) / positives).alias("average_precision"),
-    )
+    rows = placed(scores, *best_first(score, name), into="__place")
+    size = rows.agg(F.count("*").alias("n"))
+    hits = running(rows.where(F.col(label)), {"hits": F.lit(1)}, place="__place").withColumn("rank", F.col("__place") + 1)
+    positives, top = F.nullif(F.count("*"), F.lit(0)).cast("double"), F.count_if(F.col("rank") <= k)
+    found = hits.agg((top / positives).alias("recall_at_k"), top.alias("__top"), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("mrr"), (F.sum(F.col("hits") / F.col("rank").cast("double")) / positives).alias("average_precision"))
+    return found.crossJoin(size).select("recall_at_k", (F.col("__top") / F.least(F.lit(k), F.col("n")).cast("double")).alias("precision_at_k"), "mrr", "average_precision")  # a row each
 
 
 def recall_curve(scores: DataFrame, cutoffs: list[int], *, score: str = "score", name: str = "candidate", label: str = "vulnerable") -> DataFrame:
@@ -42,12 +39,11 @@ def top_k(scores: DataFrame, k: int, *, score: str = "score", name: str = "candi
 
 def best_single(long: DataFrame, *, k: int, label: str = "vulnerable") -> DataFrame:
     """modality and recall at k of each modality's own ranking (modality, ordinal, candidate, betp, label); the best one
-    (first in order on ties) is flagged. There are few modalities, so each ranking is ordered by itself."""
-    parts = None
-    for m in [r["modality"] for r in long.select("modality").distinct().collect()]:
-        one = ranked(long.where(F.col("modality") == m), "betp", "candidate")
-        one = one.agg(F.max("modality").alias("modality"), F.max("ordinal").alias("ordinal"), (F.sum(F.when(F.col("rank") <= k, _hit(label)).otherwise(0)) / F.sum(_hit(label))).alias("recall"))
-        parts = one if parts is None else parts.unionByName(one)
+    (first in order on ties) is flagged. One order of all rows holds the rankings one after the other."""
+    rows = placed(long, F.col("modality").asc(), *best_first("betp", "candidate"), into="__place")
+    first = rows.groupBy("modality").agg(F.min("__place").alias("__first"), F.max("ordinal").alias("ordinal"), F.sum(_hit(label)).alias("p"))  # a row a modality
+    top = rows.join(F.broadcast(first.select("modality", "__first")), "modality").where(F.col("__place") < F.col("__first") + k).groupBy("modality").agg(F.sum(_hit(label)).alias("hits"))
+    parts = first.join(top, "modality").select("modality", "ordinal", (F.col("hits") / F.col("p")).alias("recall"))
     best = parts.agg(F.max_by("modality", F.struct("recall", -F.col("ordinal"))).alias("best"))
     return parts.crossJoin(best).select("modality", "recall", (F.col("modality") == F.col("best")).alias("best"))  # one row
 

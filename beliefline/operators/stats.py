@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.columns import paired_variance
-from .ordering import grouped, midranks, prefix_sums
+from .ordering import placed, prefix_sums, running
+from .pinned import pinned
 
 
 def two_sided_p(z: float) -> float:
@@ -41,23 +42,33 @@ def normal_cdf(x: Column) -> Column:
     return 0.5 * erfc(-x / math.sqrt(2.0))
 
 
+def _placement_table(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """A row for each distinct score: __v, __pos and __neg (rows of each class), the placement of a positive there (the
+    share of negatives below it, ties half) and of a negative (the share of positives above it)."""
+    by = rows.where(F.col(label).isNotNull()).groupBy(F.col(score).alias("__v")).agg(F.count_if(F.col(label)).alias("__pos"), F.count_if(~F.col(label)).alias("__neg"))
+    total = by.agg(F.sum("__pos").cast("double").alias("__p"), F.sum("__neg").cast("double").alias("__q"))
+    by = prefix_sums(by, "__v", [F.col("__v").asc_nulls_first()], {"__pb": F.col("__pos"), "__nb": F.col("__neg")}, inclusive=False).crossJoin(F.broadcast(total))  # one row
+    up = (F.col("__nb") + F.col("__neg") / 2.0) / F.nullif("__q", F.lit(0.0))
+    down = 1.0 - (F.col("__pb") + F.col("__pos") / 2.0) / F.nullif("__p", F.lit(0.0))
+    return by.select("__v", "__pos", "__neg", up.alias("__up"), down.alias("__down"))
+
+
 def placements(rows: DataFrame, score: str, label: str) -> DataFrame:
     """rows with ``placement``: for a positive, the share of negatives below it (ties half); for a negative, the share
-    of positives above it. Midranks over all and within the class give it without comparing pairs."""
-    counts = rows.agg(F.sum(F.col(label).cast("int")).cast("double").alias("__p"), F.sum(1 - F.col(label).cast("int")).cast("double").alias("__q"))
-    both = midranks(rows, score, "__all")
-    split = midranks(both.where(F.col(label)), score, "__own").unionByName(midranks(both.where(~F.col(label)), score, "__own"))
-    split = split.crossJoin(F.broadcast(counts))  # one row
-    diff = F.col("__all") - F.col("__own")
-    return split.select(*rows.columns, F.when(F.col(label), diff / F.nullif("__q", F.lit(0.0))).otherwise(1.0 - diff / F.nullif("__p", F.lit(0.0))).alias("placement"))
+    of positives above it. Counts by distinct score give it without comparing pairs."""
+    by = _placement_table(rows, score, label).drop("__pos", "__neg")
+    out = rows.where(F.col(label).isNotNull()).join(by, F.col(score).eqNullSafe(F.col("__v")))
+    return out.select(*rows.columns, F.when(F.col(label), F.col("__up")).otherwise(F.col("__down")).alias("placement"))
 
 
 def roc_estimate(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """auc, variance (DeLong), positives, negatives."""
-    pl = placements(rows, score, label)
-    pos, neg = F.when(F.col(label), F.col("placement")), F.when(~F.col(label), F.col("placement"))
-    p, q = F.count(pos).cast("double"), F.count(neg).cast("double")
-    return pl.agg(F.avg(pos).alias("auc"), (F.coalesce(F.var_samp(pos), F.lit(0.0)) / p + F.coalesce(F.var_samp(neg), F.lit(0.0)) / q).alias("variance"), F.count(pos).alias("positives"), F.count(neg).alias("negatives"))
+    """auc, variance (DeLong), positives, negatives; moments of the placements, weighted by the rows of each score."""
+    by = pinned(_placement_table(rows, score, label), "placements")
+    p, q = F.sum("__pos").cast("double"), F.sum("__neg").cast("double")
+    mean = by.agg((F.sum(F.col("__pos") * F.col("__up")) / F.nullif(p, F.lit(0.0))).alias("auc"), (F.sum(F.col("__neg") * F.col("__down")) / F.nullif(q, F.lit(0.0))).alias("__m"))
+    rows = by.crossJoin(F.broadcast(mean))  # one row
+    spread = lambda n, x, m, size: F.coalesce(F.sum(F.col(n) * (F.col(x) - F.col(m)) ** 2) / F.nullif(size - 1.0, F.lit(0.0)), F.lit(0.0)) / size
+    return rows.agg(F.max("auc").alias("auc"), (spread("__pos", "__up", "auc", p) + spread("__neg", "__down", "__m", q)).alias("variance"), F.sum("__pos").alias("positives"), F.sum("__neg").alias("negatives"))
 
 
 def paired_roc(rows: DataFrame, first: str, second: str, label: str, key: str) -> DataFrame:
@@ -92,62 +103,73 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return rows.select("name", "p", "adjusted", (F.col("adjusted") <= alpha).alias("rejected"))
 
 
-def _dominated(keys: np.ndarray, risks: np.ndarray, events: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
-    """(concordant weight, pairs) of events and rows with a greater key: 1 for a lesser risk, a half for an equal one. A
-    Fenwick tree over the risks takes the rows in from the greatest key down."""
-    ranks = np.unique(risks, return_inverse=True)[1] + 1
-    tree = [0.0] * (int(ranks.max()) + 1 if len(ranks) else 1)
-    seen = good = pairs = 0.0
-
-    def below(i: int) -> float:
-        total = 0.0
-        while i > 0:
-            total += tree[i]
-            i -= i & -i
-        return total
-
-    order = np.argsort(-keys, kind="stable")
-    edges = np.flatnonzero(np.diff(keys[order])) + 1
-    for group in np.split(order, edges):
-        for x in group[events[group] == 1].tolist():
-            less, most = below(int(ranks[x]) - 1), below(int(ranks[x]))
-            good += float(counts[x]) * (less + (most - less) / 2)
-            pairs += float(counts[x]) * seen
-        for x in group.tolist():
-            i = int(ranks[x])
-            seen += float(counts[x])
-            while i < len(tree):
-                tree[i] += float(counts[x])
-                i += i & -i
-    return good, pairs
-
-
-def concordance_index(rows: DataFrame, time: str, event: str, risk: str) -> DataFrame:
-    """concordance, pairs: pairs (i, j) with an event of i before j's time, concordant if i's risk is the greater.
-
-    Rows are counted by (time, event, risk), and times and risks are cut into ranges. Pairs of different ranges in both
-    come from sums over the grid of ranges, whose size is that of the partitions squared; pairs within a range of
-    risks (of different time ranges) and within a range of times are counted by a tree in the range's task."""
-    v = rows.groupBy(F.col(time).cast("double").alias("t"), (F.col(event) == 1).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).agg(F.count("*").alias("n"))
-    v = grouped(grouped(v, "t").withColumnRenamed("__g", "tb"), "r").withColumnRenamed("__g", "rb")
-    cells = v.groupBy("tb", "rb").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("e")).alias("events"))
+def inversions(rank: np.ndarray, left: np.ndarray, right: np.ndarray) -> float:
+    """The sum of left[i] * right[j] over all i before j with rank[i] > rank[j]; ranks are distinct.
+
+    Two such ranks part at one bit, where i has a 1 and j a 0 behind equal higher bits: a level a bit, and in a level one
+    running sum over all groups of equal higher bits.
+    """
+    n = len(rank)
+    if n < 2:
+        return 0.0
+    dense = np.empty(n, np.int64)
+    dense[np.argsort(rank, kind="stable")] = np.arange(n)
+    total = 0.0
+    for bit in range(n.bit_length()):
+        high = dense >> (bit + 1)
+        order = np.argsort(high, kind="stable")
+        one = (dense[order] >> bit) & 1 == 1
+        seen = np.cumsum(np.where(one, left[order], 0.0))
+        first = np.searchsorted(high[order], high[order])
+        base = np.where(first > 0, seen[np.maximum(first - 1, 0)], 0.0)
+        total += float(np.sum(np.where(one, 0.0, right[order] * (seen - base))))
+    return total
+
+
+def concordance_index(rows: DataFrame, time: str, event: str, risk: str, *, ranges: int | None = None) -> DataFrame:
+    """concordance, pairs: pairs (i, j) with an event of i before j's time, concordant if i's risk is the greater, half if
+    they are equal.
+
+    Rows are counted by (time, risk). Each count has a place in the order (time, risk) and one in the order (risk, time);
+    i dominates j strictly in both time and risk exactly if its first place is less and its second greater, so ties
+    need no care, and ranges of places hold equally many counts whatever ties there are. Pairs of different ranges in
+    both orders come from sums over the grid of ranges; pairs within a range of either are inversions that its task
+    counts. Ties in risk are running sums in the second order, all pairs one running sum over times.
+    """
+    v = rows.where(F.col(time).isNotNull() & F.col(risk).isNotNull()).groupBy(F.col(time).cast("double").alias("t"), F.col(risk).cast("double").alias("r"))
+    v = v.agg(F.count("*").cast("double").alias("n"), F.count_if(F.col(event) == 1).cast("double").alias("e"))
+    v = placed(v, F.col("t").asc(), F.col("r").asc(), into="pt").drop("__p")
+    v = placed(v, F.col("r").asc(), F.col("t").asc(), into="pr")
+    sizes = v.agg(F.count("*").alias("c"), F.sum("n").alias("n")).first()
+    if not sizes["c"]:
+        return rows.sparkSession.createDataFrame([(0.5, 0)], "concordance double, pairs long")
+    ranges = ranges or min(1024, max(8, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    span = -(-sizes["c"] // ranges)
+    v = v.withColumns({"a": F.floor(F.col("pt") / span), "b": F.floor(F.col("pr") / span)})
+    cells = v.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     # a row a pair of ranges, with zeros, so that sums run over all of them
-    grid = cells.select("tb").distinct().crossJoin(cells.select("rb").distinct()).join(cells, ["tb", "rb"], "left").na.fill(0)
-    later = Window.partitionBy("rb").orderBy(F.desc("tb")).rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("later", F.coalesce(F.sum("n").over(later), F.lit(0)))
-    lower = Window.partitionBy("tb").orderBy("rb").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.select("events", F.coalesce(F.sum("later").over(lower), F.lit(0)).alias("below"), (F.sum("later").over(Window.partitionBy("tb")) - F.col("later")).alias("others"))
-    far = grid.agg(F.sum(F.col("events") * F.col("below")).cast("double").alias("good"), F.sum(F.col("events") * F.col("others")).cast("double").alias("pairs"))
-
-    def near(by: str, key: str) -> DataFrame:
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([_dominated(pdf[key].to_numpy(float), pdf["r"].to_numpy(float), pdf["e"].to_numpy(), pdf["n"].to_numpy())], columns=["good", "pairs"])
+    grid = cells.select("a").distinct().crossJoin(cells.select("b").distinct()).join(cells, ["a", "b"], "left").na.fill(0.0)
+    later = Window.partitionBy("b").orderBy(F.desc("a")).rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("later", F.coalesce(F.sum("n").over(later), F.lit(0.0))).select("e", F.coalesce(F.sum("later").over(lower), F.lit(0.0)).alias("below"))
+    far = grid.agg(F.sum(F.col("e") * F.col("below")).alias("good"))
 
-        return v.select(by, F.col(key).alias(key) if key != by else F.col(by), "r", "e", "n").groupBy(by).applyInPandas(run, "good double, pairs double")
+    def near(by: str, first: str) -> DataFrame:
+        """Inversions within the ranges ``by``, rows in the order of ``first``; equal ones of it are no inversion."""
 
-    both = far.unionByName(near("rb", "tb")).unionByName(near("tb", "t"))
-    total = both.agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"))
-    return total.select(F.coalesce(F.col("good") / F.nullif("pairs", F.lit(0.0)), F.lit(0.5)).alias("concordance"), F.col("pairs").cast("long").alias("pairs"))
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values([first, "pr"])
+            return pd.DataFrame({"good": [inversions(pdf["pr"].to_numpy(), pdf["e"].to_numpy(), pdf["n"].to_numpy())]})
+
+        return v.select(F.col(by).alias("__by"), *dict.fromkeys((first, "pr", "n", "e"))).groupBy("__by").applyInPandas(run, "good double")
+
+    # an event's ties in risk at later times: the sum up to the last of its risk less that up to itself
+    sums = running(v, {"s": F.col("n")}, place="pr")
+    ties = sums.groupBy("r").agg((F.sum("e") * F.max("s") - F.sum(F.col("e") * F.col("s"))).alias("x")).agg((F.sum("x") / 2.0).alias("good"))
+    good = far.unionByName(near("a", "pt")).unionByName(near("b", "a")).unionByName(ties).agg(F.sum("good").alias("good"))
+    by = v.groupBy("t").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    pairs = prefix_sums(by, "t", [F.desc("t")], {"after": F.col("n")}, descending=True, inclusive=False).agg(F.sum(F.col("e") * F.col("after")).alias("pairs"))
+    return good.crossJoin(pairs).select(F.coalesce(F.col("good") / F.nullif("pairs", F.lit(0.0)), F.lit(0.5)).alias("concordance"), F.col("pairs").cast("long").alias("pairs"))  # a row each
 
 
 def cumulative_incidence(rows: DataFrame, time: str, kind: str, of_interest: int = 1) -> DataFrame:
