@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fusion, stats
+from .pinned import pinned
 from .simulation import level_contrasts
 
 #: Metrics of a cell and the seed offsets of their bootstraps, seeds of the two inequalities, the margin.
@@ -75,12 +73,6 @@ def single_modality_recall(reports: DataFrame, *, k: int = 10) -> DataFrame:
     return out
 
 
-def summarise_naive(candidates: DataFrame, rates: dict[str, float]) -> DataFrame:
-    """candidate, vulnerable, betp, width, steps of averaged masses: there is no conflict and no trace."""
-    rows = fusion.ablation_scores(candidates, rates).where("label = 'average'")
-    return rows.select("candidate", "vulnerable", F.col("score").alias("betp"), "width", F.lit(0.0).alias("total_conflict"), F.lit(0).alias("trace_steps"))
-
-
 def cell_contrasts(runs: DataFrame, *, resamples: int = 2000, seed: int = CELL_SEED) -> DataFrame:
     """conflict, absent, metric, mean, sd, n, lower, upper: a bootstrap over the seeds of each cell and metric."""
     metrics = [m for m in CELL_METRICS if m in runs.columns]
@@ -130,18 +122,36 @@ def seed_means(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count("*").alias("runs"), *(F.avg(c).alias(c) for c, t in runs.dtypes if t == "double"))
 
 
-def bootstrap_statistic(rows: DataFrame, by: list[str], value: str, statistic: Callable[[np.ndarray], float], *, resamples: int = 2000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """by, point, lower, upper of any statistic of a sample, from numpy's resamples; a group is a sample of runs, readers
-    or sites that fits a task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].to_numpy(float))
-        draws = np.array([statistic(x[i]) for i in np.random.default_rng(seed).integers(0, len(x), (resamples, len(x)))])
-        lower, upper = np.quantile(draws, [(1 - level) / 2, (1 + level) / 2])
-        return pdf[by].head(1).assign(point=float(statistic(x)), lower=lower, upper=upper)
-
-    keys = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
-    return rows.select(*by, value).where(F.col(value).isNotNull()).groupBy(*by).applyInPandas(run, f"{keys}, point double, lower double, upper double")
+def grouped_trace_r2(reports: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, r2_reduced, r2_full, partial of the trace regression in every group, in one plan."""
+    flagged = F.size(F.filter("trace", lambda t: t["flagged"]))
+    rows = reports.withColumns({"__f0": F.col("total_conflict"), "__f1": F.col("absent_modalities"), "__f2": flagged, "__f3": F.size("trace"), "__f4": flagged > 0})
+    rows = rows.select(*by, "width", F.col("__f0"), F.col("__f1"), F.col("__f2"), F.col("__f3"), F.col("__f4").cast("int").alias("__f4"))
+    names = [f"__f{i}" for i in range(5)]
+    out = stats.grouped_r2(pinned(rows, "design"), by, {"r2_reduced": names[:2], "r2_full": names}, "width")
+    rest = 1.0 - F.col("r2_reduced")
+    return out.withColumn("partial", F.when(rest > 1e-12, (F.col("r2_full") - F.col("r2_reduced")) / rest).otherwise(0.0))
+
+
+def pooled_trace_analysis(pools: DataFrame, rates: dict[str, float], *, k: int = 10, seeds: int = 5, threshold: float = 0.05) -> DataFrame:
+    """One row on the pooled candidates of the first ``seeds`` seeds of every cell (conflict, absent): candidates,
+    flag_threshold, full_recall, naive_recall, loss, fusion_verdict, r2_reduced, r2_full, partial, trace_verdict, recall_kg, recall_dep,
+    recall_flux, recall_clin. pools: conflict, absent, seed, candidate, scores, vulnerable. Candidates of the same name in two runs
+    are two candidates."""
+    runs = pools.select("conflict", "absent", "seed").distinct()  # a row a run
+    first = runs.withColumn("__r", F.row_number().over(Window.partitionBy("conflict", "absent").orderBy("seed"))).where(F.col("__r") <= seeds).drop("__r")
+    rows = pools.join(F.broadcast(first), ["conflict", "absent", "seed"])
+    rows = pinned(rows.withColumn("candidate", F.concat_ws("|", F.col("candidate").cast("string"), "conflict", "absent", "seed")), "pooled")
+    reports = pinned(fusion.reports(rows, rates, threshold), "reports")
+    fused = fusion_rule_contrast(rows.drop("conflict", "absent", "seed"), rates, k=k)
+    trace = grouped_trace_r2(reports, []).withColumnRenamed("n", "candidates")
+    singles = single_modality_recall(reports, k=k).groupBy().agg(*(F.max(F.when(F.col("modality") == m, F.col("recall"))).alias(f"recall_{c}") for m, c in fusion.SCORES.items()))
+    word = lambda ok: F.when(ok, "pass").otherwise("fail")
+    out = trace.crossJoin(fused).crossJoin(singles)  # a row each
+    return out.select(
+        "candidates", F.lit(threshold).alias("flag_threshold"), "full_recall", "naive_recall", "loss", word(F.col("loss") > 0.0).alias("fusion_verdict"),
+        "r2_reduced", "r2_full", "partial", word(F.col("partial") > 0.0).alias("trace_verdict"), *(f"recall_{c}" for c in fusion.SCORES.values()),
+    )
 
 
 def paired_difference(rows: DataFrame, by: list[str], first: str, second: str, key: str, **options) -> DataFrame:

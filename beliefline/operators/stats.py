@@ -295,29 +295,86 @@ def bootstrap_mean(rows: DataFrame, by: list[str], value: str, *, resamples: int
     return rows.select(*by, value).groupBy(*by).applyInPandas(run, f"{keys}, mean double, sd double, n long, lower double, upper double")
 
 
-def poisson_bootstrap(rows: DataFrame, by: list[str], value: str, key: str, *, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """by, lower, upper of a mean at any scale: for each replicate a row has a Poisson(1) weight from a hash of its key,
-    and replicates are sums of a column each, combined before the shuffle; no row is copied and no group is gathered."""
+def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
+    """The Poisson(1) weight of a row in a replicate, from a hash of its key alone; weights of 8 and more are 8."""
     cuts, total = [], 0.0
     for n in range(8):
         total += math.exp(-1) / math.factorial(n)
         cuts.append((n, total))
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), replicate.cast("string"), F.lit(":"), key.cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    out = F.lit(8.0)
+    for n, c in reversed(cuts):
+        out = F.when(u < c, F.lit(float(n))).otherwise(out)
+    return out
+
+
+def replicates(rows: DataFrame, by: list[str], key: str, states: dict[str, Column], *, more: tuple[str, ...] = (), resamples: int = 200, seed: int = 0) -> DataFrame:
+    """by, ``replicate``, further keys and the states: for each replicate the sum of every state's column, each row as
+    often as its weight says. A state is what merges: a row is never copied beyond its task, which sums its rows by
+    group and replicate before anything is shuffled."""
+    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__w", poisson_weight(F.col(key), F.col("replicate"), seed))
+    return spread.where("__w > 0").groupBy(*by, "replicate", *more).agg(*(F.sum(F.col("__w") * c).alias(n) for n, c in states.items()))
+
+
+def interval(values: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
+    """by, lower, upper: the central share of a statistic over its replicates, as many values a group as those."""
+    ends = [F.percentile(value, F.lit(p)).alias(n) for n, p in (("lower", (1 - level) / 2), ("upper", 1 - (1 - level) / 2))]
+    return values.groupBy(*by).agg(*ends)
+
+
+def poisson_bootstrap(rows: DataFrame, by: list[str], value: str, key: str, *, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """by, lower, upper of a mean at any scale."""
+    sums = replicates(rows, by, key, {"n": F.when(F.col(value).isNotNull(), 1.0), "s": F.col(value)}, resamples=resamples, seed=seed)
+    return interval(sums.withColumn("x", F.col("s") / F.nullif("n", F.lit(0.0))), by, "x", level)
+
+
+def bootstrap_spread(rows: DataFrame, by: list[str], value: str, key: str, *, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """by, point, lower, upper of a sample standard deviation, from weighted sums and squares about the group's mean."""
+    v = F.col(value).cast("double")
+    mean = rows.where(v.isNotNull()).groupBy(*by).agg(F.avg(v).alias("__m"), F.stddev_samp(v).alias("point"))  # a row a group
+    d = rows.join(mean.drop("point"), by).withColumn("__d", v - F.col("__m"))
+    sums = replicates(d.where("__d is not null"), by, key, {"n": F.lit(1.0), "s": F.col("__d"), "ss": F.col("__d") * F.col("__d")}, resamples=resamples, seed=seed)
+    x = F.sqrt(F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.nullif("n", F.lit(0.0)), F.lit(0.0)) / F.nullif(F.col("n") - 1.0, F.lit(0.0)))
+    return mean.drop("__m").join(interval(sums.withColumn("x", x), by, "x", level), by)
+
 
-    def weight(b: int) -> Column:
-        u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{b}:"), F.col(key).cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-        out = F.lit(8.0)
-        for n, c in reversed(cuts):
-            out = F.when(u < c, F.lit(float(n))).otherwise(out)
-        return out
+def _binned(value: str, low: float, high: float, bins: int) -> Column:
+    return F.least(F.greatest(F.floor((F.col(value) - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
 
-    out, step = None, 25  # so many replicates an aggregation, to keep its generated code small
-    for first in range(0, resamples, step):
-        some = range(first, min(first + step, resamples))
-        weighted = rows.select(*by, F.col(value).alias("__v"), *(weight(b).alias(f"w{b}") for b in some))
-        sums = weighted.groupBy(*by).agg(*(x for b in some for x in (F.sum(f"w{b}").alias(f"n{b}"), F.sum(F.col(f"w{b}") * F.col("__v")).alias(f"s{b}"))))
-        means = sums.select(*by, F.explode(F.array(*(F.col(f"s{b}") / F.nullif(f"n{b}", F.lit(0.0)) for b in some))).alias("m"))
-        out = means if out is None else out.unionByName(means)
-    return out.groupBy(*by).agg(F.percentile("m", F.lit((1 - level) / 2)).alias("lower"), F.percentile("m", F.lit(1 - (1 - level) / 2)).alias("upper"))
+
+def _quantile(states: DataFrame, keys: list[str], share: float, low: float, high: float, bins: int) -> DataFrame:
+    """keys, x: the quantile of weighted histograms (keys, bin, n), linear within the bin that reaches the share."""
+    over = Window.partitionBy(*keys).orderBy("bin")  # as many rows as bins
+    rows = states.select("*", F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("__c"), F.sum("n").over(Window.partitionBy(*keys)).alias("__all"))
+    inside = (F.lit(share) * F.col("__all") - (F.col("__c") - F.col("n"))) / F.col("n")
+    x = F.lit(low) + (F.col("bin") + inside) * F.lit((high - low) / bins)
+    return rows.where((F.col("__c") >= share * F.col("__all")) & (F.col("n") > 0)).groupBy(*keys).agg(F.min_by(x, "bin").alias("x"))
+
+
+def bootstrap_quantile(rows: DataFrame, by: list[str], value: str, key: str, *, share: float = 0.5, low: float = 0.0, high: float = 1.0, bins: int = 256, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """by, point, lower, upper of a quantile, read from histograms of equal bins from low to high (values beyond count in
+    the end bins): as exact as a bin, and ``bins`` sums a group and replicate whatever the rows."""
+    held = rows.where(F.col(value).isNotNull()).withColumn("bin", _binned(value, low, high, bins))
+    point = _quantile(held.groupBy(*by, "bin").agg(F.count("*").cast("double").alias("n")), by, share, low, high, bins).withColumnRenamed("x", "point")
+    drawn = replicates(held, by, key, {"n": F.lit(1.0)}, more=("bin",), resamples=resamples, seed=seed)
+    return point.join(interval(_quantile(drawn, [*by, "replicate"], share, low, high, bins), by, "x", level), by)
+
+
+def _area(states: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, x: the ROC area of weighted counts (keys, bin, pos, neg), ties within a bin half; NULL without a class."""
+    over = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as bins
+    rows = states.withColumn("__below", F.coalesce(F.sum("neg").over(over), F.lit(0.0)))
+    good = F.sum(F.col("pos") * (F.col("__below") + F.col("neg") / 2.0))
+    return rows.groupBy(*keys).agg((good / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("x"))
+
+
+def bootstrap_area(rows: DataFrame, by: list[str], score: str, label: str, key: str, *, low: float = 0.0, high: float = 1.0, bins: int = 256, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """by, point, lower, upper of the area under the ROC curve of scores in bins; scores of one bin tie."""
+    held = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("bin", _binned(score, low, high, bins))
+    y = F.col(label).cast("int").cast("double")
+    point = _area(held.groupBy(*by, "bin").agg(F.sum(y).alias("pos"), F.sum(1.0 - y).alias("neg")), by).withColumnRenamed("x", "point")
+    drawn = replicates(held, by, key, {"pos": y, "neg": 1.0 - y}, more=("bin",), resamples=resamples, seed=seed)
+    return point.join(interval(_area(drawn, [*by, "replicate"]), by, "x", level), by)
 
 
 def sizing(spark: SparkSession, *, baseline: float = 0.70, margin: float = 0.081, prevalence: float = 0.25, z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143, correlations: tuple[float, ...] = (0.3, 0.4, 0.5), ceiling: int = 20_000) -> DataFrame:
@@ -349,6 +406,39 @@ def linear_r2(rows: DataFrame, features: list[str], target: str) -> float:
     return 0.0 if total <= 1e-15 else float(1 - (r["yy"] - v @ np.linalg.pinv(m) @ v) / total)
 
 
+def grouped_r2(rows: DataFrame, by: list[str], nested: dict[str, list[str]], target: str, *, tolerance: float = 1e-10) -> DataFrame:
+    """by, n and for each name of ``nested`` the R2 of least squares of the target on its features, with an intercept, in
+    every group at once: one aggregation gives all groups' moments, and sweeps of the features, a projection each, solve
+    all groups' normal equations as arithmetic of their rows.
+
+    A list of features must begin with those of the list before. A feature that the ones before it explain (up to
+    ``tolerance`` of its own variance) adds nothing, which gives the R2 of the pseudo-inverse. Rows with a null in the
+    target or a feature take no part; a target without variance has R2 0.
+    """
+    features = max(nested.values(), key=len)
+    if any(features[: len(f)] != f for f in nested.values()):
+        raise ValueError("the lists of features are not nested")
+    p = len(features)
+    named = [F.col(f"`{c}`").cast("double").alias(f"__x{i}") for i, c in enumerate([*features, target])]
+    data = rows.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(by)), *named).dropna(subset=[f"__x{i}" for i in range(p + 1)])
+    keys = [f"__k{i}" for i in range(len(by))]
+    # moments about each group's means: sums of products cancel
+    mean = data.groupBy(*keys).agg(F.count("*").alias("__n"), *(F.avg(f"__x{i}").alias(f"__m{i}") for i in range(p + 1)))  # a row a group
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    about = data.join(mean.withColumnsRenamed({k: f"{k}_" for k in keys}), same) if keys else data.crossJoin(F.broadcast(mean))
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    d = lambda i: F.col(f"__x{i}") - F.col(f"__m{i}")
+    out = about.groupBy(*keys).agg(F.count("*").alias("__n"), *(F.sum(d(i) * d(j)).alias(f"s{i}_{j}") for i, j in pairs))
+    out = out.withColumns({**{f"v{i}": F.col(f"s{i}_{i}") for i in range(p + 1)}, "gain": F.lit(0.0), "r2_0": F.lit(0.0)})
+    for i in range(p):
+        # the feature goes out of what is left of the later ones
+        out = out.withColumn("pivot", F.when(F.col(f"s{i}_{i}") > tolerance * F.col(f"v{i}"), F.col(f"s{i}_{i}")))
+        gone = {f"s{a}_{b}": F.coalesce(F.col(f"s{a}_{b}") - F.col(f"s{i}_{a}") * F.col(f"s{i}_{b}") / F.col("pivot"), F.col(f"s{a}_{b}")) for a, b in pairs if a > i}
+        out = out.withColumns({**gone, "gain": F.col("gain") + F.coalesce(F.col(f"s{i}_{p}") * F.col(f"s{i}_{p}") / F.col("pivot"), F.lit(0.0))})
+        out = out.withColumn(f"r2_{i + 1}", F.when(F.col(f"v{p}") > 1e-15, F.col("gain") / F.col(f"v{p}")).otherwise(0.0))
+    return out.select(*(F.col(k).alias(c) for k, c in zip(keys, by, strict=True)), F.col("__n").alias("n"), *(F.col(f"r2_{len(f)}").alias(name) for name, f in nested.items()))
+
+
 def reader_design(rows: DataFrame, reader: str, arm: str) -> tuple[DataFrame, list[str]]:
     """rows with intercept, assisted_arm and an indicator for each reader but the first (by text), and their names."""
     readers = sorted(str(r[0]) for r in rows.select(reader).distinct().collect())  # a row a reader

@@ -231,3 +231,82 @@ def mass_map_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mass_map.fit(data.control_panel(spark))
     rows = [(float(found["before"]["brier"]), float(found["after"]["brier"]), found["history"][-1]["loss"] < found["history"][0]["loss"])]
     return tidy(spark.createDataFrame(rows, "before double, after double, falls boolean"))
+
+
+def _weighted_sql(rows: str, key: str, resamples: int, seed: int) -> str:
+    """CTEs d (the rows) and w (the rows of every replicate b with their weight; b is -1 and w 1 for the sample itself)."""
+    import math
+
+    cuts, total = [], 0.0
+    for n in range(8):
+        total += math.exp(-1) / math.factorial(n)
+        cuts.append(total)
+    weight = "case " + " ".join(f"when u < {c!r}::double then {n}e0" for n, c in enumerate(cuts)) + " else 8e0 end"
+    u = f"('0x' || substr(md5('{seed}:' || b || ':' || {key}),1,13))::bigint::double/4503599627370496e0"
+    return f", d as ({rows}), u as (select d.*, b, {u} as u from d, range({resamples}) t(b)), w as (select * exclude (u), {weight} as w from u union all select *, -1, 1e0 from d)"
+
+
+_ENDS = """ select grp, round(max(x) filter (b < 0),6) as point, round(quantile_cont(x,0.025) filter (b >= 0),6) as lower, round(quantile_cont(x,0.975) filter (b >= 0),6) as upper from x group by grp"""
+
+
+@query(ctes("scores") + _weighted_sql("select candidate, candidate % 5 as grp, kg as v from scores where kg is not null", "candidate::varchar", 40, 5)
+       + ", x as (select grp, b, sqrt((sum(w*v*v)-power(sum(w*v),2)/sum(w))/(sum(w)-1e0)) as x from w group by grp, b)" + _ENDS)
+def bootstrap_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "scores").withColumn("grp", F.col("candidate") % 5)
+    return tidy(stats.bootstrap_spread(rows, ["grp"], "kg", "candidate", resamples=40, seed=5))
+
+
+@query(ctes("scores") + _weighted_sql("select candidate, candidate % 5 as grp, least(greatest(floor(dep*64e0),0e0),63e0) as bin from scores where dep is not null", "candidate::varchar", 40, 6)
+       + """, h as (select grp, b, bin, sum(w) as n from w group by grp, b, bin having sum(w) > 0),
+c as (select *, sum(n) over (partition by grp, b order by bin) as c, sum(n) over (partition by grp, b) as a from h),
+x as (select grp, b, min_by((bin+(0.5e0*a-(c-n))/n)/64e0, bin) as x from c where c >= 0.5e0*a group by grp, b)""" + _ENDS)
+def bootstrap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "scores").withColumn("grp", F.col("candidate") % 5)
+    return tidy(stats.bootstrap_quantile(rows, ["grp"], "dep", "candidate", bins=64, resamples=40, seed=6))
+
+
+@query(ctes("scores") + _weighted_sql("select candidate, candidate % 3 as grp, least(floor(kg*50e0),49e0) as bin, vulnerable::int::double as y from scores where kg is not null", "candidate::varchar", 40, 7)
+       + """, h as (select grp, b, bin, sum(w*y) as p, sum(w*(1e0-y)) as q from w group by grp, b, bin),
+c as (select *, sum(q) over (partition by grp, b order by bin) - q as below from h), x as (select grp, b, sum(p*(below+q/2e0))/nullif(sum(p)*sum(q),0) as x from c group by grp, b)""" + _ENDS)
+def bootstrap_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "scores").withColumn("grp", F.col("candidate") % 3)
+    return tidy(stats.bootstrap_area(rows, ["grp"], "kg", "vulnerable", "candidate", bins=50, resamples=40, seed=7))
+
+
+def _nested_r2_sql(rows: str, by: str, y: str, features: list[str], reduced: int) -> str:
+    """CTEs to fit (by, n, red, extra): the R2 of the first features and what the others add, by residuals of each on the
+    ones before within the group."""
+    over = f"over (partition by {by})"
+    out, left = [f", h0 as (select {by}, {y} as y, " + ", ".join(f"{x} as x{i}" for i, x in enumerate(features)) + f" from {rows})"], len(features)
+    for i in range(left - 1):
+        rest = ", ".join(f"x{j}-coalesce(regr_intercept(x{j},x{i}) {over}+regr_slope(x{j},x{i}) {over}*x{i},0e0) as x{j}" for j in range(i + 1, left))
+        kept = ", ".join(f"x{j}" for j in range(i + 1))
+        out.append(f"h{i + 1} as (select {by}, y, {kept}, {rest} from h{i})")
+    share = [f"case when var_pop(x{i}) > 1e-9 then power(coalesce(corr(y,x{i}),0e0),2) else 0e0 end" for i in range(left)]
+    out.append(f"fit as (select {by}, count(*) as n, {'+'.join(share[:reduced])} as red, {'+'.join(share[reduced:])} as extra from h{left - 1} group by {by})")
+    return ",\n".join(out)
+
+
+_TRACED = ["k1+k2+k3", f"({_ABSENT})::double", _FLAGS, f"({_FLAGS} > 0)::int::double"]
+
+
+@query(O.FOLDED + ", j as (select f3.*, p_brand from f3 join part on p_partkey = candidate)" + _nested_r2_sql("j", "p_brand", "t", _TRACED, 2)
+       + " select p_brand, n, round(red,6) as r2_reduced, round(red+extra,6) as r2_full, round(extra/(1e0-red),6) as partial from fit")
+def trace_regression_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("candidate"), "p_brand")
+    rows = fusion.reports(view(spark, sf_dir, "scores"), RATES, threshold=0.3).join(brands, "candidate")
+    return tidy(contrasts.grouped_trace_r2(rows, ["p_brand"]))
+
+
+_POOLED = ", keep as (select * replace (candidate::varchar || '|' || ((candidate % 2)/10e0)::varchar || '|0.0|' || (candidate % 7)::varchar as candidate) from reports where candidate % 7 < 5)"
+
+
+@query(O.REPORTS + _POOLED + _nested_r2_sql("(select 1 as one, * from keep)", "one", "t", _TRACED, 2) + ",\nr as (select vulnerable, "
+       + ", ".join(f"row_number() over (order by round({c},6) desc nulls last, candidate) as r{i}" for i, c in enumerate(["betp", f"{O._SUMS[0]}/4e0+{O._SUMS[2]}/8e0", *(f"betp_{s}" for s in O.COLUMN.values())]))
+       + " from keep), c as (select " + ", ".join(f"count(*) filter (vulnerable and r{i} <= 50)/count(*) filter (vulnerable)::double as c{i}" for i in range(6))
+       + """ from r) select n as candidates, 0.3e0 as flag_threshold, round(c0,6) as full_recall, round(c1,6) as naive_recall, round(c0-c1,6) as loss, case when c0 > c1 then 'pass' else 'fail' end as fusion_verdict,
+round(red,6) as r2_reduced, round(red+extra,6) as r2_full, round(extra/(1e0-red),6) as partial, case when extra > 0 then 'pass' else 'fail' end as trace_verdict,
+round(c2,6) as recall_kg, round(c3,6) as recall_dep, round(c4,6) as recall_flux, round(c5,6) as recall_clin from fit, c""")
+def pooled_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "scores").withColumns({"conflict": (F.col("candidate") % 2) / 10.0, "absent": F.lit(0.0), "seed": F.col("candidate") % 7})
+    return tidy(contrasts.pooled_trace_analysis(rows, RATES, k=50, seeds=5, threshold=0.3))

@@ -147,12 +147,6 @@ def test_flux_samples(spark):
     assert all(r["shift"] > 0 for r in flux.flux_shift(samples, narrow, flux.reaction_frame(spark, net)).collect())
 
 
-def test_bootstrap_of_any_statistic(spark):
-    rows = spark.createDataFrame([("a", float(i)) for i in range(50)], "g string, v double")
-    r = contrasts.bootstrap_statistic(rows, ["g"], "v", np.median, resamples=300, seed=4).first()
-    assert r["point"] == 24.5 and 14 < r["lower"] < 24.5 < r["upper"] < 35
-
-
 def test_reader_study(spark):
     rng = np.random.default_rng(2)
     rows = spark.createDataFrame([(int(rng.random() < 0.4 + 0.2 * arm), r, arm) for r in range(6) for arm in (0, 1) for _ in range(60)], "agree int, reader int, arm int")
