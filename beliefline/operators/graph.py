@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, strict_date
 from .ordering import placed
+from .pinned import pinned
 
 #: Fixed values of path support.
 HOP_DECAY, PATHWAY_SATURATION = 0.55, 4.0
@@ -77,30 +78,59 @@ def bfs_depth(edges: DataFrame, sources: DataFrame, hops: int = 3) -> DataFrame:
     return seen
 
 
+def _nodes_by_walk(edges: DataFrame, start: DataFrame, steps: int, *, reverse: bool = False) -> list[DataFrame]:
+    """key of the nodes that a walk of exactly 0, 1, ... steps from (to, if reverse) the start reaches. A node is a row."""
+    here, there = ("dst", "src") if reverse else ("src", "dst")
+    out = [start.select(F.col("key")).distinct()]
+    for _ in range(steps):
+        near = out[-1].select(F.col("key").alias("__k"))
+        out.append(pinned(edges.join(near, F.col(here) == F.col("__k"), "left_semi").select(F.col(there).alias("key")).distinct(), "reached"))
+    return out
+
+
 def simple_paths(edges: DataFrame, sources: DataFrame, target: str, hops: int = 3) -> DataFrame:
     """source, hops, nodes, relations, weights: every simple path to the target of at most ``hops`` edges, for all
-    sources at once. Paths stop at the target; parallel relations give paths of their own. Edges that cannot reach the
-    target in the hops that are left are pruned by semi-joins from the target backwards before any path grows."""
-    e = edges.select("src", "dst", "relation", F.col("weight").cast("double").alias("weight"))
-    reach = [e.where(F.col("dst") == target).select(F.col("src").alias("key")).distinct()]
-    for _ in range(hops - 2):
-        back = e.join(reach[-1].select(F.col("key").alias("__k")), F.col("dst") == F.col("__k"), "left_semi").select(F.col("src").alias("key"))
-        reach.append(reach[-1].union(back).distinct())
-    paths = sources.select("source", F.array("source").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<double>").alias("weights"))
+    sources at once. Paths stop at the target; parallel relations give paths of their own.
+
+    A path of n edges is a head of ceil(n / 2) edges from its source and a tail of floor(n / 2) edges to the target, which
+    meet in its middle: heads and tails grow apart, and only along nodes that a walk from a source reaches and a walk to
+    the target leaves in the steps that are left. Each path has one middle, so none is made twice.
+    """
+    e = pinned(edges.select("src", "dst", "relation", F.col("weight").cast("double").alias("weight")).where("src <> dst"), "edges")
+    goal = e.sparkSession.createDataFrame([(target,)], "key string")
+    from_sources = _nodes_by_walk(e, sources.select(F.col("source").alias("key")), hops - 1)
+    to_target = _nodes_by_walk(e, goal, hops - 1, reverse=True)
+
+    def within(levels: list[DataFrame], most: int) -> DataFrame:
+        """Nodes of the levels 0 to most but the target."""
+        out = levels[0]
+        for level in levels[1 : most + 1]:
+            out = out.union(level)
+        return out.distinct().where(F.col("key") != target).select(F.col("key").alias("__k"))
+
+    start = {"relations": F.array().cast("array<string>"), "weights": F.array().cast("array<double>")}
+    heads = sources.select("source", F.array("source").alias("nodes"), *(c.alias(n) for n, c in start.items())).withColumn("end", F.col("source"))
+    tails = [goal.select(F.col("key").alias("end"), F.array("key").alias("nodes"), *(c.alias(n) for n, c in start.items()))]
+    for k in range(1, hops // 2 + 1):
+        near = within(from_sources, hops - k)
+        step = e.join(near, F.col("src") == F.col("__k"), "left_semi")
+        grown = tails[-1].join(step, F.col("end") == F.col("dst")).where(~F.array_contains("nodes", F.col("src")))
+        before = {"nodes": "src", "relations": "relation", "weights": "weight"}
+        tails.append(grown.select(F.col("src").alias("end"), *(F.concat(F.array(c), n).alias(n) for n, c in before.items())))
     done = None
-    for h in range(1, hops + 1):
-        left = hops - h
-        if left:
-            near = reach[left - 1].select(F.col("key").alias("__k"))
-            useful = e.join(near, F.col("dst") == F.col("__k"), "left_semi").union(e.where(F.col("dst") == target)).distinct()
-        else:
-            useful = e.where(F.col("dst") == target)
-        grown = paths.join(useful, F.element_at("nodes", -1) == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
-        grown = grown.select("source", F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("relations", F.col("relation")).alias("relations"), F.array_append("weights", F.col("weight")).alias("weights"))
-        ended = grown.where(F.element_at("nodes", -1) == target).withColumn("hops", F.lit(h))
-        done = ended if done is None else done.unionByName(ended)
-        paths = grown.where(F.element_at("nodes", -1) != target)
-    return done.select("source", "hops", "nodes", "relations", "weights")
+    for h in range(1, (hops + 1) // 2 + 1):
+        near = within(to_target, hops - h)
+        if h == 1:  # an edge straight to the target
+            near = near.union(goal.select(F.col("key").alias("__k")))
+        step = e.join(near, F.col("dst") == F.col("__k"), "left_semi")
+        grown = heads.where(F.col("end") != target).join(step, F.col("end") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+        heads = grown.select("source", F.col("dst").alias("end"), *(F.array_append(n, F.col(c)).alias(n) for n, c in (("nodes", "dst"), ("relations", "relation"), ("weights", "weight"))))
+        for tail in (t for k, t in enumerate(tails) if (h + k + 1) // 2 == h and h + k <= hops):
+            t = tail.select(F.col("end"), F.slice("nodes", 2, hops).alias("__n"), F.col("relations").alias("__r"), F.col("weights").alias("__w"))
+            met = heads.join(t, "end").where(~F.arrays_overlap("nodes", "__n"))
+            met = met.select("source", F.concat("nodes", "__n").alias("nodes"), F.concat("relations", "__r").alias("relations"), F.concat("weights", "__w").alias("weights"))
+            done = met if done is None else done.unionByName(met)
+    return done.select("source", F.size("relations").alias("hops"), "nodes", "relations", "weights")
 
 
 def path_support(paths: DataFrame, kinds: DataFrame, pathway_kind: str = "pathway") -> DataFrame:
