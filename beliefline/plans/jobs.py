@@ -24,7 +24,6 @@ from ..sources import reference_data as data
 CONFLICTS, ABSENTS = (0.1, 0.3, 0.5), (0.0, 0.15, 0.3)
 REFERENCE_CELLS = {"moderate_conflict": (0.3, 0.0), "absent_evidence": (0.3, 0.25)}
 AUDIT_RATES = {"KG": 0.86, "DEP": 0.91, "FLUX": 0.74, "CLIN": 0.66}
-MAX_GENES = 12
 
 
 def grid_axes() -> dict[str, tuple[float, ...]]:
@@ -80,15 +79,15 @@ class Runtime:
 
     @cached_property
     def dependency(self) -> DataFrame:
-        return gen.dependency_table(self.spark, [r[0] for r in self.pool.collect()])  # the genes of a small pool
+        return gen.dependency_table(self.pool.select(F.col("candidate").alias("gene")))
 
     def sources(self, *, hops: int = 3) -> dict[str, Callable[[DataFrame], DataFrame]]:
-        """The four agents by modality: each gives candidate, modality, score of the candidates it is asked for."""
+        """The four agents by modality: each gives candidate, modality, score of the candidates it is asked for, all of them."""
         nodes, edges = self.graph
 
         def clinical(pool: DataFrame) -> DataFrame:
-            genes = [r[0] for r in pool.orderBy("candidate").limit(MAX_GENES).collect()]
-            return discovery.association_evidence(pool, gen.expression(self.spark, self.records, genes), self.records.select("record_id", "label"))
+            values = gen.expression(self.spark, self.records, pool.select(F.col("candidate").alias("gene")))
+            return discovery.association_evidence(pool, values, self.records.select("record_id", "label"))
 
         return {
             "KG": lambda pool: discovery.path_evidence(pool, edges, nodes.select("key", "kind"), gen.PHENOTYPE, hops=hops),

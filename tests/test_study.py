@@ -114,6 +114,28 @@ def test_cohort_and_expression(spark):
     assert means["a", 1] + means["d", 1] > means["a", 0] + means["d", 0]
 
 
+def test_cohort_holds_exact_counts(spark):
+    rows = generators.cohort(spark).cache()
+    by = {(r["site"], r["arm"]): r for r in rows.groupBy("site", "arm").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("ids")).collect()}
+    assert {k: r["n"] for k, r in by.items() if k[1] == "prospective"} == {(s, "prospective"): 275 for s, *_ in generators.SITES}
+    assert rows.select("record_id").distinct().count() == 4125
+    small = generators.cohort(spark, sites=(("Site A", "Region I", 4000),), prospective=0)
+    share = small.where("outcome_ascertained").agg(F.avg(F.col("pcr").cast("int"))).first()[0]
+    assert abs(share - 0.25) < 0.01, "responses and lost outcomes are unrelated"
+    shares = {r["histology"]: r["count"] / 4125 for r in rows.groupBy("histology").count().collect()}
+    assert all(abs(shares[h] - p) < 0.02 for h, p in generators.HISTOLOGIES)
+    assert abs(rows.agg(F.avg("age")).first()[0] - 63) < 0.6 and abs(rows.agg(F.stddev("age")).first()[0] - 10) < 0.5
+    again = generators.cohort(spark).repartition(7)
+    assert rows.exceptAll(again).count() == 0
+    rows.unpersist()
+
+
+def test_discovery_has_clinical_evidence_for_the_whole_pool(spark):
+    run = jobs.Runtime(spark)
+    scores = run.sources()["CLIN"](run.pool)
+    assert scores.count() == run.pool.count() == scores.where("score is not null").count() == 132
+
+
 def test_network_questions(spark):
     net = flux.toy_network()
     rows = {r["gene"]: r for r in flux.suppression(spark, net, ["G1", "none"]).collect()}
