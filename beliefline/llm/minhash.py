@@ -27,6 +27,8 @@ from . import textkernels as K
 from .common import connected_components, drop_materialised, materialise
 
 BANDS, ROWS = 32, 4
+#: Ids that are broadcast at most (8 bytes each), so that only the texts asked for move; beyond, texts are joined by shuffles.
+FEW_IDS = 500_000
 
 
 def densified(hashes: np.ndarray, offsets: np.ndarray, bins: int) -> np.ndarray:
@@ -136,14 +138,15 @@ def candidates(sets: DataFrame, texts: DataFrame, *, k: int = 5, percent: int =
     """(a, b, component_a, component_b, met): all pairs of different components that may link, and no other pair that
     a bound rules out. sets: set_id, n_shingles, component; texts: set_id, text.
 
-    Shingles are ordered by the number of sets that hold them, ties by hash; a shingle of one set alone only counts.
+    Shingles are ordered by the number of sets that hold them (or others with the same 31 low bits), ties by hash; a
+    shingle of one set alone only counts.
     Let a be the larger set. A link needs an overlap of percent / (100 + percent) of both sizes, that is percent / 100
     of a's at least and 2 percent / (100 + percent) of b's. So the first shingle that both hold, in that order, stands
     among the first n - overlap + 1 of each, and so early that the rest can make up the overlap.
     """
-    rows = texts.select("set_id", "text").mapInArrow(_shingle_rows(k), "set_id long, shingle long")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    lists = rows.join(often, "shingle").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))
+    rows = texts.select("set_id", "text").mapInArrow(_shingle_rows(k), "set_id long, shingle long").withColumn("short", F.col("shingle").bitwiseAND((1 << 31) - 1).cast("int"))
+    often = rows.groupBy("short").agg(F.count("*").cast("int").alias("often")).where("often > 1")  # any order of shingles will do, so 31 bits count
+    lists = rows.join(often, "short").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("common"))
     lists = lists.join(sets, "set_id").withColumn("alone", F.expr("n_shingles - size(common)"))
     reach = f"n_shingles - cast(ceil({percent} * n_shingles / 100) as int) + 1 - alone"
     ends = lists.where(f"{reach} > 0").select("set_id", "component", "n_shingles", "alone", F.posexplode(F.expr(f"slice(common, 1, cast({reach} as int))")).alias("place", "s"))
@@ -220,12 +223,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hubs = ranked.join(ranked.groupBy("key").agg(F.max("rank").alias("top")), "key").groupBy("set_id").agg(F.max("top")["set_id"].alias("hub")).where("set_id <> hub")
     members = materialise(mates.join(sets, "set_id").select("set_id", "rep", "n_shingles", "mates"), "members")
     texts = read.join(members.select("set_id", F.col("rep").alias("doc_id")), "doc_id").select("set_id", "text")
-    texts = materialise(texts.mapInArrow(_texts(k), "set_id long, text string").dropDuplicates(["set_id"]), "texts")
-    side = lambda c: texts.select(F.col("set_id").alias(c), F.col("text").alias(f"text_{c}"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    texts = texts.mapInArrow(_texts(k), "set_id long, text string")
+    again = marked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    texts = materialise(texts if again.isEmpty() else texts.dropDuplicates(["set_id"]), "texts")  # only rows that repeat an id repeat a set
+
+    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs that link; of the texts only those asked for move, if their ids are few enough to be broadcast."""
+        pairs = materialise(pairs.select("a", "b"), "pairs")
+        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "asked")
+        texts = texts.join(F.broadcast(ids), "set_id", "left_semi") if ids.count() <= FEW_IDS else texts
+        side = lambda c: texts.select(F.col("set_id").alias(c), F.col("text").alias(f"text_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-        return materialise(both.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+        out = materialise(both.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+        for done in (pairs, ids):
+            drop_materialised(done)
+        return out
 
     def apart(component: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component."""
@@ -233,27 +245,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         return materialise(now.join(mixed, "key"), "apart")
 
-    component = materialise(connected_components(confirmed(hubs.select(F.col("set_id").alias("a"), F.col("hub").alias("b")))), "components")
+    component = materialise(connected_components(confirmed(hubs.select(F.col("set_id").alias("a"), F.col("hub").alias("b")), texts)), "components")
     # the second: in a bucket, the middle of each component meets that of the bucket
     now = apart(component)
+    inner = materialise(texts.join(now.select("set_id").distinct(), "set_id", "left_semi"), "texts")
     heads = now.join(members.select("set_id", "mates"), "set_id").groupBy("key", "component").agg(F.max(F.struct("mates", "set_id")).alias("head"))
     tops = heads.groupBy("key").agg(F.max("head").alias("top"))
     again = heads.join(tops, "key").select(F.col("head.set_id").alias("a"), F.col("top.set_id").alias("b")).where("a <> b").distinct()
-    component = materialise(merged(component, confirmed(again)), "components")
+    component = materialise(merged(component, confirmed(again, inner)), "components")
     drop_materialised(now)
     # what is still apart: for each set and other component the likeliest candidate, then all that are left
     now = apart(component)
     inside = materialise(now.select("set_id", "component").distinct().join(members.select("set_id", "n_shingles"), "set_id"), "inside")
-    possible = materialise(candidates(inside, texts.join(inside.select("set_id"), "set_id"), k=k, percent=percent), "candidates")
+    possible = materialise(candidates(inside, inner.join(inside.select("set_id"), "set_id", "left_semi"), k=k, percent=percent), "candidates")
     likeliest = possible.groupBy("a", "component_a", "component_b").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
     likeliest = likeliest.groupBy("b", "component_a", "component_b").agg(F.min("a").alias("a"))
-    component = materialise(merged(component, confirmed(likeliest)), "components")
+    component = materialise(merged(component, confirmed(likeliest, inner)), "components")
     own = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}"))
     left = possible.join(own("a"), "a", "left").join(own("b"), "b", "left").where("coalesce(now_a, a) <> coalesce(now_b, b)").join(likeliest, ["a", "b"], "left_anti")
-    late = confirmed(left.select("a", "b"))
+    late = confirmed(left.select("a", "b"), inner)
     if not late.isEmpty():
         component = merged(component, late)
-    for done in (now, inside, possible, buckets, members, texts):
+    for done in (now, inside, possible, buckets, members, texts, inner):
         drop_materialised(done)
     groups = marked.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     groups = groups.join(component.withColumnRenamed("node", "set_id"), "set_id", "left")
