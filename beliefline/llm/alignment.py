@@ -34,7 +34,7 @@ from .common import bounded_batches, materialise, remove_at_exit, shared_path
 
 LEFT = "byte_bpe_50k.json"
 #: Bytes of text that are encoded and aligned together; a longer text alone.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: An id of the right tokenizer stands above this bit of a key, one of the left below.
 SHIFT = 32
 

@@ -29,7 +29,7 @@ from .common import bounded_batches
 MODEL = "piece_bpe_32k.model"
 BLANK, BLANK_UTF8 = "▁", "▁".encode()
 #: Bytes of text whose distinct words are encoded together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Words of more symbols are merged with a heap: rounds would cost the square of their length.
 LONG = 256
 #: No rank: beyond all ranks.
