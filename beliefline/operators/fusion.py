@@ -167,13 +167,88 @@ def ablation_scores(candidates: DataFrame, rates: dict[str, float]) -> DataFrame
     return cells.select("label", "candidate", "vulnerable", "score", "width", "conflict")
 
 
-def evaluate_cells(candidates: DataFrame, rates: dict[str, float], *, k: int = 10) -> DataFrame:
-    """label, recall of the k best, mean_score, mean_width, mean_conflict, n of every cell of the plan."""
-    cells = ablation_scores(candidates, rates)
-    means = cells.groupBy("label").agg(F.avg("score").alias("mean_score"), F.avg("width").alias("mean_width"), F.avg("conflict").alias("mean_conflict"), F.count("*").alias("n"), F.count_if("vulnerable").alias("p"))
+#: Fixed names of extraction levels and substitution rules.
+LEVELS = ("full", "no-knowledge-graph", "single-agent", "no-verifier", "per-modality-removal")
+RULES = ("conflict-redistributing", "dempster-renormalised", "naive-sum", "naive-average", "bayesian-log-odds")
+
+
+def battery_plan() -> list[tuple]:
+    """(label, level, rule, removed, score, interval) of the fifteen cells; the last two name what battery() makes."""
+    fold, dempster, total, mean, odds = RULES
+    out = [("full", LEVELS[0], fold, "", "fold", "fold"), ("no-knowledge-graph", LEVELS[1], fold, "", "without KG", "without KG"), ("no-verifier (naive average)", LEVELS[3], mean, "", mean, "fold")]
+    for m in C.MODALITIES:
+        out.append((f"single-agent ({m})", LEVELS[2], fold, "", f"single {m}", "fold"))
+        out.append((f"remove {m}", LEVELS[4], fold, m, f"without {m}", f"without {m}"))
+    return out + [(f"substitution: {rule}", LEVELS[0], rule, "", rule, dempster if rule == dempster else "fold") for rule in (dempster, total, mean, odds)]
+
+
+def battery(candidates: DataFrame, rates: dict[str, float]) -> DataFrame:
+    """label, level, rule, removed, candidate, vulnerable, score, width, conflict of every cell.
+
+    A removed modality is a vacuous mass, which changes nothing in the fold, so the fold without one is the prefix before
+    it, which the full fold has made, and what follows: two combinations at most. Each candidate's scores and intervals
+    are made once and named; the plan's rows, fifteen whatever the candidates, pick from them. Rules without an interval
+    of their own have that of the fold.
+    """
+    order = reliability_order(rates)
+    base = [c for c in candidates.columns if c not in SCORES.values()]
+    rows = candidates.select(*base, *(mass_of(m, rates).alias(f"__{m}") for m in order))
+    mass = {m: F.col(f"__{m}") for m in order}
+    names = {"fold": "p3"}
+    rows = rows.withColumns(_start(mass[order[0]], "p0"))
+    for i in range(1, 4):
+        rows = _joined(rows, f"p{i - 1}", mass[order[i]], f"p{i}")
+    for i, gone in enumerate(order):
+        rest = [m for m in order[i + 1 :]]
+        at = f"p{i - 1}"
+        if i == 0:
+            at, rest = "w0", rest[1:]
+            rows = rows.withColumns(_start(mass[order[1]], at))
+        for j, m in enumerate(rest):
+            rows = _joined(rows, at, mass[m], f"w{i}_{j}")
+            at = f"w{i}_{j}"
+        names[f"without {gone}"] = at
+    rows = _unrolled([mass[m] for m in order], rows, "d", dempster=True)
+    fold, dempster, total, mean, odds = RULES
+    sums = {f: sum((mass[m][f] for m in order), F.lit(0.0)) for f in ("v", "n", "theta")}
+    whole = sums["v"] + sums["n"] + sums["theta"]
+    scores = {name: F.col(f"{at}_v") + F.col(f"{at}_t") / 2.0 for name, at in names.items()} | {f"single {m}": C.pignistic(mass[m]) for m in order}
+    scores |= {
+        dempster: F.coalesce(F.col("d_v") + F.col("d_t") / 2.0, F.lit(0.5)), total: (sums["v"] + sums["theta"] / 2.0) / whole, mean: (sums["v"] + sums["theta"] / 2.0) / float(len(order)),
+        odds: C.log_odds(F.array(*(C.pignistic(mass[m]) for m in order))),
+    }
+    intervals = {name: F.struct(F.col(f"{at}_t").alias("width"), F.col(f"{at}_k").alias("conflict")) for name, at in names.items()}
+    intervals[dempster] = F.struct(F.coalesce("d_t", F.lit(1.0)).alias("width"), F.when(F.col("d_t").isNull(), 1.0).otherwise(F.col("d_k")).alias("conflict"))
+    made = rows.select("candidate", "vulnerable", F.array(*scores.values()).alias("scores"), F.array(*intervals.values()).alias("intervals"))
+    place = {name: i for i, name in enumerate(scores)}, {name: i for i, name in enumerate(intervals)}
+    plan = candidates.sparkSession.createDataFrame([(*p[:4], place[0][p[4]], place[1][p[5]]) for p in battery_plan()], "label string, level string, rule string, removed string, s int, i int")
+    cells = made.crossJoin(F.broadcast(plan))  # fifteen rows
+    return cells.select("label", "level", "rule", "removed", "candidate", "vulnerable", F.get("scores", F.col("s")).alias("score"), F.get("intervals", F.col("i"))["width"].alias("width"), F.get("intervals", F.col("i"))["conflict"].alias("conflict"))
+
+
+def _start(mass: Column, name: str) -> dict[str, Column]:
+    """Columns of a fold that has one mass."""
+    return {f"{name}_v": mass["v"], f"{name}_n": mass["n"], f"{name}_t": mass["theta"], f"{name}_k": F.lit(0.0)}
+
+
+def _joined(rows: DataFrame, before: str, mass: Column, name: str) -> DataFrame:
+    """rows with the fold ``name``: that of ``before`` and one more mass."""
+    v, n, t = (F.col(f"{before}_{c}") for c in "vnt")
+    rows = rows.withColumn("__k", v * mass["n"] + n * mass["v"])
+    return rows.withColumns({
+        f"{name}_v": v * mass["v"] + v * mass["theta"] + t * mass["v"], f"{name}_n": n * mass["n"] + n * mass["theta"] + t * mass["n"],
+        f"{name}_t": t * mass["theta"] + F.col("__k"), f"{name}_k": F.col(f"{before}_k") + F.col("__k"),
+    }).drop("__k")
+
+
+def evaluate_battery(candidates: DataFrame, rates: dict[str, float], *, k: int = 10) -> DataFrame:
+    """label, level, rule, removed, recall of the k best, mean_score, mean_width, mean_conflict, n of the fifteen cells."""
+    cells = battery(candidates, rates)
+    keys = ["label", "level", "rule", "removed"]
+    means = cells.groupBy(*keys).agg(F.avg("score").alias("mean_score"), F.avg("width").alias("mean_width"), F.avg("conflict").alias("mean_conflict"), F.count("*").alias("n"), F.count_if("vulnerable").alias("p"))
     order = Window.partitionBy("label").orderBy(F.desc(F.round("score", 6)), "candidate")
     top = cells.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).groupBy("label").agg(F.count_if("vulnerable").alias("hits"))  # k rows a cell and task
-    return means.join(top, "label").select("label", (F.col("hits") / F.nullif("p", F.lit(0))).alias("recall"), "mean_score", "mean_width", "mean_conflict", "n")
+    return means.join(top, "label").select(*keys, (F.col("hits") / F.nullif("p", F.lit(0))).alias("recall"), "mean_score", "mean_width", "mean_conflict", "n")
 
 
 def rates_frame(spark: SparkSession, rates: dict[str, float]) -> DataFrame:

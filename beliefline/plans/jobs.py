@@ -159,7 +159,7 @@ def benchmark(spark: SparkSession, **options) -> dict[str, DataFrame]:
 def ablate(spark: SparkSession, **options) -> dict[str, DataFrame]:
     """The battery over one simulated pool: means and recall of each cell."""
     pool = simulation.pools(spark, conflicts=(float(options.get("conflict", 0.3)),), absents=(float(options.get("absent", 0.0)),), seeds=(int(options.get("seed", 1)),), candidates=int(options.get("candidates", 2000))).cache()
-    return {"battery": fusion.evaluate_cells(pool, Runtime(spark).rates, k=int(options.get("k", 10))), "plan": spark.createDataFrame(fusion.ablation_plan(), "label string, rule string, removed string")}
+    return {"battery": fusion.evaluate_battery(pool, Runtime(spark).rates, k=int(options.get("k", 10))), "plan": spark.createDataFrame([p[:4] for p in fusion.battery_plan()], "label string, level string, rule string, removed string")}
 
 
 def size(spark: SparkSession, **options) -> dict[str, DataFrame]:

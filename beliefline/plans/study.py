@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import benchmark, calibration, cohort, contrasts, flux, fusion, graph, guarantees, mass_map, stats
+from ..operators import aliases, benchmark, calibration, cohort, contrasts, flux, fusion, graph, guarantees, mass_map, stats
 from ..operators import metrics  # noqa: I001
 from ..sources import generators
 from ..sources import reference_data as data
@@ -310,3 +310,45 @@ round(c2,6) as recall_kg, round(c3,6) as recall_dep, round(c4,6) as recall_flux,
 def pooled_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "scores").withColumns({"conflict": (F.col("candidate") % 2) / 10.0, "absent": F.lit(0.0), "seed": F.col("candidate") % 7})
     return tidy(contrasts.pooled_trace_analysis(rows, RATES, k=50, seeds=5, threshold=0.3))
+
+
+def _battery_sql() -> str:
+    """The fifteen cells, each by its own fold."""
+    parts, m = [O.FOLDED, O._fold("d", O.ORDER, True)], O.COLUMN
+    fold = "t as width, k1+k2+k3 as conflict from f3"
+    total, mean = (f"({O._SUMS[0]}+{O._SUMS[2]}/2e0)/" + x for x in (f"({O._SUMS[0]}+{O._SUMS[1]}+{O._SUMS[2]})", "4e0"))
+    odds = f"1e0/(1e0+exp(-({O._LOGODDS})))"
+    cells = [("full", "full", "conflict-redistributing", "", "v+t/2e0", fold), ("no-verifier (naive average)", "no-verifier", "naive-average", "", mean, fold)]
+    for x, c in m.items():
+        parts.append(O._fold(f"w{c}", tuple(y for y in O.ORDER if y != x)))
+        less = f"t as width, k1+k2 as conflict from w{c}2"
+        cells.append((f"remove {x}", "per-modality-removal", "conflict-redistributing", x, "v+t/2e0", less))
+        cells.append((f"single-agent ({x})", "single-agent", "conflict-redistributing", "", f"{c}_dv+{c}_dt/2e0", fold))
+        if x == "KG":
+            cells.append(("no-knowledge-graph", "no-knowledge-graph", "conflict-redistributing", "", "v+t/2e0", less))
+    cells.append(("substitution: dempster-renormalised", "full", "dempster-renormalised", "", "v+t/2e0", "t as width, k1+k2+k3 as conflict from d3"))
+    cells += [(f"substitution: {n}", "full", n, "", e, fold) for n, e in (("naive-sum", total), ("naive-average", mean), ("bayesian-log-odds", odds))]
+    rows = "\nunion all ".join(f"select '{a}' as label, '{b}' as level, '{r}' as rule, '{x}' as removed, candidate, vulnerable, {e} as score, {rest}" for a, b, r, x, e, rest in cells)
+    return ",\n".join(parts) + f""", cells as ({rows}), ranked as (select *, row_number() over (partition by label order by round(score,6) desc, candidate) as r from cells)
+select label, level, rule, removed, round(count(*) filter (vulnerable and r <= 50)/count(*) filter (vulnerable)::double,6) as recall, round(avg(score),6) as mean_score, round(avg(width),6) as mean_width, round(avg(conflict),6) as mean_conflict, count(*) as n
+from ranked group by label, level, rule, removed"""
+
+
+@query(_battery_sql())
+def ablation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(fusion.evaluate_battery(view(spark, sf_dir, "scores"), RATES, k=50))
+
+
+@query("""with recursive t as (select 'C' || c_custkey as alias, 'C' || (c_custkey // 2) as symbol from customer where c_custkey % 3 <> 0
+  union select 'C' || c_custkey, 'C' || (c_custkey // 5) from customer where c_custkey % 35 = 0),
+e as (select alias as a, symbol as b from t union select symbol, alias from t),
+reach as (select a as n, a as o from e union select n, b from reach join e on e.a = reach.o),
+c as (select n, min(o) as component from reach group by n), s as (select *, n not in (select alias from t where alias <> symbol) as official from c),
+f as (select component, min(n) filter (official) as first, count(*) filter (official) as symbols from s group by component)
+select n as name, coalesce(first, component) as canonical, symbols, symbols > 1 as clash from s join f using (component)""")
+def alias_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    first = customers.where(key % 3 != 0).select(name(key).alias("alias"), name(F.floor(key / 2)).alias("symbol"))
+    return aliases.closure(first.unionByName(customers.where(key % 35 == 0).select(name(key).alias("alias"), name(F.floor(key / 5)).alias("symbol"))))

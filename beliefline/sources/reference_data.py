@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.columns import MODALITIES
 from ..operators.flux import Network, Reaction
 
+#: Other names of genes.
+ALIASES = {"GLUT1": "SLC2A1", "MCT1": "SLC16A1", "MCT9": "SLC16A9"}
 #: Reaction; equation; gene rule; pathway; bounds other than 0 and 1000.
 REACTIONS = """
 EX_glc_D_e; -> glc_D_e; ENVIRONMENT; exchange; ub 10

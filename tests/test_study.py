@@ -190,7 +190,7 @@ def test_configuration(tmp_path):
         readers.overridden({}, ["nothing"])
 
 
-@pytest.mark.parametrize(("job", "options", "table", "rows"), [("size", {}, "minima", 3), ("ablate", {"candidates": 120}, "battery", 12), ("simulate", {"seeds": 2, "candidates": 60, "bootstrap": 100}, "verdicts", 5), ("calibrate", {"epochs": 20}, "history", 20)])
+@pytest.mark.parametrize(("job", "options", "table", "rows"), [("size", {}, "minima", 3), ("ablate", {"candidates": 120}, "battery", 15), ("simulate", {"seeds": 2, "candidates": 60, "bootstrap": 100}, "verdicts", 5), ("calibrate", {"epochs": 20}, "history", 20)])
 def test_jobs(spark, tmp_path, job, options, table, rows):
     out = f"file://{tmp_path}"
     assert jobs.run(spark, job, out, **options)[table] == rows
