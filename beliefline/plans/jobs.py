@@ -19,6 +19,7 @@ from ..operators import calibration, cohort, contrasts, discovery, flux, fusion,
 from ..sources import generators as gen
 from ..sources import readers, sinks
 from ..sources import reference_data as data
+from . import checks
 
 #: The grid of the simulation, its two named cells, the reliability rates of the guarantees.
 CONFLICTS, ABSENTS = (0.1, 0.3, 0.5), (0.0, 0.15, 0.3)
@@ -26,10 +27,6 @@ REFERENCE_CELLS = {"moderate_conflict": (0.3, 0.0), "absent_evidence": (0.3, 0.2
 AUDIT_RATES = {"KG": 0.86, "DEP": 0.91, "FLUX": 0.74, "CLIN": 0.66}
 
 
-def grid_axes() -> dict[str, tuple[float, ...]]:
-    return {"conflict": CONFLICTS, "absent": ABSENTS}
-
-
 def design(config: dict | None = None, **reduced) -> dict:
     """Options of a simulation: the configuration's grid and seeds, then what is reduced by hand; the rest is kept."""
     block = (config or {}).get("simulation", {})
@@ -171,20 +168,33 @@ def size(spark: SparkSession, **options) -> dict[str, DataFrame]:
 JOBS: dict[str, Callable[..., dict[str, DataFrame]]] = {"calibrate": calibrate, "discover": discover, "simulate": simulate, "benchmark": benchmark, "ablate": ablate, "size": size}
 
 
+#: Tables that may have no rows.
+MAY_BE_EMPTY = ("violations",)
+
+
 def run(spark: SparkSession, job: str, output: str, **options) -> dict:
-    """Runs a job, writes its tables under output and a summary of their sizes, and returns that."""
-    found = {}
+    """Runs a job, writes its tables under output with the checks that they met on their way, and a summary of their sizes,
+    which it returns."""
+    recorder = checks.Recorder(spark, job)
     for name, table in JOBS[job](spark, **options).items():
-        table.write.mode("overwrite").parquet(f"{output}/{name}")
-        found[name] = spark.read.parquet(f"{output}/{name}").count()
+        recorder.watched(name, table).write.mode("overwrite").parquet(f"{output}/{name}")
+    found = recorder.counts()
+    recorder.rows().where(~(F.col("table").isin(*MAY_BE_EMPTY) & (F.col("check") == "has_rows"))).write.mode("overwrite").parquet(f"{output}/checks")
     sinks.write_json(spark, f"{output}/summary.json", {"job": job, "options": options, "rows": found})
     sinks.write_report(spark, f"{output}/summary.txt", job, {"options": options, "rows": found})
     return found
 
 
+def run_all(spark: SparkSession, output: str, options: dict[str, dict] | None = None) -> DataFrame:
+    """Every job, each in a folder of its own, and the checks of all."""
+    for job in JOBS:
+        run(spark, job, f"{output}/{job}", **(options or {}).get(job, {}))
+    return spark.read.parquet(*(f"{output}/{job}/checks" for job in JOBS))
+
+
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("job", choices=sorted(JOBS))
+    p.add_argument("job", choices=[*sorted(JOBS), "all"])
     p.add_argument("--output", required=True)
     p.add_argument("--config", help="folder of experiment files")
     p.add_argument("--experiment", default="main")
@@ -193,7 +203,11 @@ def main(args: list[str] | None = None) -> None:
     options = {k: v for k, v in readers.overridden({}, a.option).items()}
     if a.config:
         options["config"] = readers.experiment(a.config, a.experiment)
-    run(SparkSession.builder.appName(a.job).getOrCreate(), a.job, a.output, **options)
+    spark = SparkSession.builder.appName(a.job).getOrCreate()
+    if a.job == "all":
+        run_all(spark, a.output, {job: options for job in JOBS}).orderBy("job", "table", "check").show(1000, truncate=False)
+    else:
+        run(spark, a.job, a.output, **options)
 
 
 if __name__ == "__main__":

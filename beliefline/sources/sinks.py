@@ -34,20 +34,6 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """path, bytes, sha256 of every file below root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def tree_digest(files: DataFrame) -> str:
-    """One digest over the sorted lines of a manifest (its lines reach the driver: a row a file)."""
-    import hashlib
-
-    lines = [f"{r['path']}\t{r['sha256']}\n" for r in files.orderBy("path").select("path", "sha256").toLocalIterator()]
-    return hashlib.sha256("".join(lines).encode()).hexdigest()
-
-
 def write_atomic(spark: SparkSession, path: str, text: str) -> str:
     """UTF-8 text under a path of any Hadoop file system: written beside it, then renamed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
