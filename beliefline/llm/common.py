@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting for shuffle files that nothing can read any more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -64,12 +66,25 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of each execution at its end, as nothing reads them once its table is written;
+    the session's own setting comes back after."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts the lineage: an executor that is
     lost afterwards costs no recomputation. The folder goes when the driver's Python ends."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffle_files_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
     remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
@@ -81,11 +96,6 @@ def drop_materialised(df: DataFrame) -> None:
     remove(df.sparkSession, df.shared_path)
 
 
-def bucket_of(column: Column, n: int, seed: int = 0) -> Column:
-    """0 to n - 1 by hash."""
-    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(n)).cast("int")
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """The split of rows: crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
@@ -96,15 +106,6 @@ def as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in like.columns))
 
 
-def settle(spark: SparkSession) -> None:
-    """Has the shuffle files deleted that nothing refers to any more: Spark does so when the driver's garbage is
-    collected, and its cleaner works beside."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def unused(df: DataFrame, *stems: str) -> list[str]:
     """Names from stems that no column of df has, whatever the case of their letters."""
     taken, out = {c.lower() for c in df.columns}, []

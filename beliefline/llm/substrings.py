@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkernels as K
-from .common import bounded_batches, materialise, settle, unused
+from .common import bounded_batches, drop_materialised, materialise, unused
 
 K_WORDS, WINDOW, MIN_WORDS, MIN_IDENTITY, MAX_GAP, GAP_COST, REACH = 5, 8, 50, 0.75, 24, 0.2, 32
 
@@ -362,14 +362,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     seeds = read.mapInArrow(_seeds(arrow, k, window), f"doc_id {name}, seed long, low int, high int")
     least = seeds.groupBy("seed").agg(F.min("doc_id").alias("source_doc_id"), F.max("doc_id").alias("last")).where("source_doc_id < last").drop("last")
     held = materialise(seeds.join(least, "seed"), "seeds")
-    spark = docs.sparkSession
-    settle(spark)  # the shuffle files of what is written go
     later = held.where("doc_id <> source_doc_id")
     placed = later.join(held.where("doc_id = source_doc_id").select("seed", F.col("low").alias("at")), "seed")
     spans = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("at").alias("source_low"), F.max("at").alias("source_high"), F.collect_set(F.expr("cast(low - at as bigint)")).alias("diagonals")]
     pairs = materialise(placed.groupBy("doc_id", "source_doc_id").agg(F.count("*").alias("n"), *spans).where(F.col("n") >= least_seeds).drop("n"), "pairs")
     found = materialise(_aligned(read, pairs, window, k, options), "passages")
-    settle(spark)
     # open seeds, and all that hold them
     covered = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     inside = f"coalesce(exists(spans, x -> x.start_word <= low and x.end_word >= high + {k}), false)"
@@ -380,14 +377,12 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     places = held.join(open_seeds, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
     keys = places.join(read.hint("merge"), "doc_id").select("doc_id", "seeds", "text").mapInArrow(_keys(arrow, k, window, length), f"key long, doc_id {name}, place int, whole boolean")
     keys = materialise(keys, "keys")
-    settle(spark)
     met = _linked(keys, "key", "place").where("doc_id <> source_doc_id").withColumns({"low": F.col("place"), "high": F.col("place")})
     met = met.groupBy("doc_id", "source_doc_id").agg(F.max("whole").alias("whole"), *spans)
     # pairs of seeds whose words were aligned already say nothing new
     first = pairs.select("doc_id", "source_doc_id", F.col("low").alias("l"), F.col("high").alias("h"))
     more = met.join(first, ["doc_id", "source_doc_id"], "left").where("whole or l is null or low < l or high > h").drop("whole", "l", "h")
     more = materialise(more, "pairs")
-    settle(spark)
     # of the passages found then, those within another of the same document say nothing more
     out = found.withColumn("late", F.lit(0)).unionByName(_aligned(read, more, window, k, options).withColumn("late", F.lit(1)))
     longest_first = Window.partitionBy("doc_id", "digest").orderBy("start_word", F.desc("end_word"), "late", "source_doc_id", "source_start_word")
