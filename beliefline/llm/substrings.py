@@ -2,14 +2,16 @@
 
 Words are lower-cased (A-Z) runs of anything but ASCII white space. Seeds are minimisers of the 5-word k-mers (the
 least hash of each window). Proposals are linear in the text, whatever the size of a group that shares some:
-1. A seed links each of its documents to the least one that holds it; pairs with two such seeds are aligned.
+1. A seed links each of its documents to the least one that holds it; pairs with two such seeds are aligned, and those with
+   one that hardly any other document holds.
 2. Seeds of a document that no passage found so covers are open, and so are those up to ``min_words`` before one. In all
    documents that hold an open seed, each run of ``min_words`` words that begins at most a window before it
-   gives a key, and so does the seed with each of the next three open ones; a key links its documents to the least that
-   holds it.
+   gives a key, and so does the seed with each of the next three open ones; a run's key links its documents to the least
+   that holds it, a pair's to the least of either half of its documents, as the key's own hash parts them, so that an
+   earlier document with short pieces of a passage does not hide the whole one.
 An exact run of ``min_words`` words has a minimiser in its first window, so step 2 links any such run with an uncovered
 seed to the first document that holds the very same run: of an exact repeat, a few words between seeds or
-beyond the first or last one are left uncovered at most. Fuzzy repeats need two seeds.
+beyond the first or last one are left uncovered at most. Fuzzy repeats need two shared seeds, or a rare one.
 For each linked pair, cut to the words around its seeds, runs of common k-mers on a diagonal are segments; a Fenwick
 tree of prefix maxima chains segments that are ordered in both texts, at a cost for each word of gap; chains are cut at
 long gaps, extended and aligned word by word. A passage is reported for the later document, with its place in the other.
@@ -28,7 +30,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import textkernels as K
 from .common import bounded_batches, drop_materialised, materialise, unused
 
-K_WORDS, WINDOW, MIN_WORDS, MIN_IDENTITY, MAX_GAP, GAP_COST, REACH = 5, 8, 50, 0.75, 24, 0.2, 32
+K_WORDS, WINDOW, MIN_WORDS, MIN_IDENTITY, MAX_GAP, GAP_COST, REACH = 5, 5, 50, 0.75, 24, 0.2, 32
+#: One seed proposes a pair if so many documents hold it at most.
+RARE = 3
 
 
 def _slide(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -341,9 +345,13 @@ def _keys(ids: pa.DataType, k: int, window: int, length: int):
 
 
 def _linked(held: DataFrame, key: str, place: str) -> DataFrame:
-    """held with the least document of each key and its place there, where the key has two documents or more."""
-    least = held.groupBy(key).agg(F.min(F.struct("doc_id", F.col(place).alias("at"))).alias("least"), F.max("doc_id").alias("last")).where("least.doc_id < last")
-    return held.join(least.select(key, F.col("least.doc_id").alias("source_doc_id"), F.col("least.at").alias("at")), key)
+    """held with earlier documents of each key and the key's place in them, where it has two documents or more: the least
+    for a whole run, the least of either half of the documents otherwise."""
+    doc = F.struct("doc_id", F.col(place).alias("at"))
+    half = F.when(F.col("whole"), 0).otherwise(F.pmod(F.xxhash64(key, "doc_id"), F.lit(2)))
+    by = held.groupBy(key).agg(F.min(F.when(half == 0, doc)).alias("one"), F.min(F.when(half == 1, doc)).alias("two"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    least = by.where("first < last").select(key, F.explode(F.array_compact(F.array("one", "two"))).alias("least"))
+    return held.join(least.select(key, F.col("least.doc_id").alias("source_doc_id"), F.col("least.at").alias("at")), key).where("source_doc_id < doc_id")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_seeds: int = 2, **options) -> DataFrame:
@@ -359,13 +367,15 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType
     arrow, name = to_arrow_type(kind), kind.simpleString()
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    seeds = read.mapInArrow(_seeds(arrow, k, window), f"doc_id {name}, seed long, low int, high int")
-    least = seeds.groupBy("seed").agg(F.min("doc_id").alias("source_doc_id"), F.max("doc_id").alias("last")).where("source_doc_id < last").drop("last")
-    held = materialise(seeds.join(least, "seed"), "seeds")
+    seeds = materialise(read.mapInArrow(_seeds(arrow, k, window), f"doc_id {name}, seed long, low int, high int"), "seeds")
+    least = seeds.groupBy("seed").agg(F.min("doc_id").alias("source_doc_id"), F.max("doc_id").alias("last"), F.count("*").cast("int").alias("holders")).where("source_doc_id < last").drop("last")
+    held = materialise(seeds.join(least, "seed"), "held")
+    drop_materialised(seeds)
     later = held.where("doc_id <> source_doc_id")
     placed = later.join(held.where("doc_id = source_doc_id").select("seed", F.col("low").alias("at")), "seed")
     spans = [F.min("low").alias("low"), F.max("high").alias("high"), F.min("at").alias("source_low"), F.max("at").alias("source_high"), F.collect_set(F.expr("cast(low - at as bigint)")).alias("diagonals")]
-    pairs = materialise(placed.groupBy("doc_id", "source_doc_id").agg(F.count("*").alias("n"), *spans).where(F.col("n") >= least_seeds).drop("n"), "pairs")
+    pairs = placed.groupBy("doc_id", "source_doc_id").agg(F.count("*").alias("n"), F.min("holders").alias("rarest"), *spans)
+    pairs = materialise(pairs.where((F.col("n") >= least_seeds) | (F.col("rarest") <= RARE)).drop("n", "rarest"), "pairs")
     found = materialise(_aligned(read, pairs, window, k, options), "passages")
     # open seeds, and all that hold them
     covered = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
@@ -377,7 +387,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     places = held.join(open_seeds, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
     keys = places.join(read.hint("merge"), "doc_id").select("doc_id", "seeds", "text").mapInArrow(_keys(arrow, k, window, length), f"key long, doc_id {name}, place int, whole boolean")
     keys = materialise(keys, "keys")
-    met = _linked(keys, "key", "place").where("doc_id <> source_doc_id").withColumns({"low": F.col("place"), "high": F.col("place")})
+    met = _linked(keys, "key", "place").withColumns({"low": F.col("place"), "high": F.col("place")})
     met = met.groupBy("doc_id", "source_doc_id").agg(F.max("whole").alias("whole"), *spans)
     # pairs of seeds whose words were aligned already say nothing new
     first = pairs.select("doc_id", "source_doc_id", F.col("low").alias("l"), F.col("high").alias("h"))
