@@ -111,10 +111,6 @@ def undiscount(m: Column, rate) -> Column:
     return F.when((a > 0) & (theta >= -SIGN_TOLERANCE), mass(m["v"] / F.nullif(a, F.lit(0.0)), m["n"] / F.nullif(a, F.lit(0.0)), F.greatest(theta, F.lit(0.0))))
 
 
-def discount_floor(rate) -> Column:
-    return 1.0 - num(rate)
-
-
 def pair(a: Column, b: Column) -> tuple[Column, Column]:
     """(mass, conflict) of the pair rule that turns conflict into ignorance."""
     k = a["v"] * b["n"] + a["n"] * b["v"]
@@ -186,10 +182,6 @@ def paired_variance(base: Column, other: Column, positives: Column, negatives: C
     return a + b - 2.0 * correlation * F.sqrt(a * b)
 
 
-def single_pignistic(score: Column, rate: Column) -> Column:
-    return rate * score + (1.0 - rate) / 2.0
-
-
 def dependency_score(effect: Column, floor: float = -0.1, span: float = 1.2) -> Column:
     return clip((floor - effect) / span)
 
@@ -206,6 +198,21 @@ def association_strength(correlation: Column, ceiling: float = 0.6) -> Column:
     return clip(F.abs(correlation) / ceiling)
 
 
+def supports(score: Column, threshold: float = 0.5) -> Column:
+    """Whether a score speaks for a candidate; NULL where there is none."""
+    return score >= threshold
+
+
+def disagreement(*values: Column) -> Column:
+    """How far values lie apart."""
+    return F.greatest(*values) - F.least(*values)
+
+
+def query_string(source: Column, version: Column, query: Column, release_date: Column) -> Column:
+    """A reference as one string; the date only where there is one."""
+    return F.concat_ws("|", source, version, query, release_date)
+
+
 def citation_key(*parts: Column) -> Column:
     return F.concat_ws("|", *parts)
 

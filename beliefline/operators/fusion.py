@@ -64,6 +64,19 @@ def reports(candidates: DataFrame, rates: dict[str, float], threshold: float = 0
     )
 
 
+def concordance_labels(rows: DataFrame, margin: float, digits: int | None = None) -> DataFrame:
+    """Rows of reports() with ``disagreement``, how far the four modalities' values lie apart, and ``concordant``, whether
+    by no more than the margin."""
+    apart = C.disagreement(*(F.col(f"betp_{c}") for c in SCORES.values()))
+    return rows.withColumn("disagreement", apart if digits is None else F.round(apart, digits)).withColumn("concordant", F.col("disagreement") <= margin)
+
+
+def support_counts(candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """modality, supporting, opposing, absent: how many candidates each modality's score speaks for."""
+    long = candidates.unpivot("candidate", list(SCORES.values()), "column", "score").withColumn("s", C.supports(F.col("score"), threshold))
+    return long.groupBy(F.upper("column").alias("modality")).agg(F.count_if("s").alias("supporting"), F.count_if(~F.col("s")).alias("opposing"), F.count_if(F.col("s").isNull()).alias("absent"))
+
+
 def rank_reports(rows: DataFrame) -> DataFrame:
     """With ``rank``: by betp descending, candidate ascending."""
     return ranked(rows, "betp", "candidate")
@@ -251,10 +264,6 @@ def evaluate_battery(candidates: DataFrame, rates: dict[str, float], *, k: int =
     return means.join(top, "label").select(*keys, (F.col("hits") / F.nullif("p", F.lit(0))).alias("recall"), "mean_score", "mean_width", "mean_conflict", "n")
 
 
-def rates_frame(spark: SparkSession, rates: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame([(m, i, rates[m]) for i, m in enumerate(C.MODALITIES)], "modality string, ordinal int, rate double")
-
-
 def evidence(candidates: DataFrame, *sources: DataFrame) -> DataFrame:
     """Long evidence (candidate, modality, score) of several sources, each candidate with every source's modality."""
     out = None

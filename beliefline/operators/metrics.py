@@ -146,6 +146,18 @@ def complete_entries(entries: DataFrame, fields: list[str]) -> DataFrame:
     return entries.agg(F.count_if(ok).alias("complete"), F.count("*").alias("entries"))
 
 
+def entries_of(entries: DataFrame, candidate) -> DataFrame:
+    """The ledger's entries of one candidate."""
+    return entries.where(F.col("candidate") == candidate)
+
+
+def provenance_summary(audits: DataFrame, entries: DataFrame, fields: list[str]) -> DataFrame:
+    """candidates, cited, grounded, grounded_rate, hallucinated_rate and complete_entries (those with all fields), one row."""
+    rate = F.coalesce(F.sum("grounded") / F.nullif(F.sum("cited"), F.lit(0)), F.lit(0.0))
+    out = audits.agg(F.count("*").alias("candidates"), F.coalesce(F.sum("cited"), F.lit(0)).alias("cited"), F.coalesce(F.sum("grounded"), F.lit(0)).alias("grounded"), rate.alias("grounded_rate"), (1 - rate).alias("hallucinated_rate"))
+    return out.crossJoin(complete_entries(entries, fields).select(F.col("complete").alias("complete_entries")))  # a row each
+
+
 def latest_by_key(entries: DataFrame, key: str, order: str) -> DataFrame:
     """The last entry of each key, as an aggregation (no sort of a key's rows)."""
     return entries.groupBy(key).agg(F.max_by(F.struct(*(c for c in entries.columns if c != key)), order).alias("e")).select(key, "e.*")

@@ -31,14 +31,15 @@ def placed(df: DataFrame, *order: Column, into: str = "place", ranges: int | Non
     return rows.select(*df.columns, "__p", (F.col("__b") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias(into))
 
 
-def running(rows: DataFrame, sums: dict[str, Column], place: str = "place") -> DataFrame:
-    """Rows of placed(), or some of them, with running sums of columns in their order; each counts itself."""
-    totals = rows.groupBy("__p").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
+def running(rows: DataFrame, values: dict[str, Column], place: str = "place", *, by=F.sum) -> DataFrame:
+    """Rows of placed(), or some of them, with running sums (or F.max, F.min) of columns in their order; each counts itself."""
+    totals = rows.groupBy("__p").agg(*(by(c).alias(f"__t_{n}") for n, c in values.items()))
     over = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("__p", *(F.coalesce(F.sum(f"__t_{n}").over(over), F.lit(0)).alias(f"__b_{n}") for n in sums))  # a row a range
+    before = totals.select("__p", *(by(f"__t_{n}").over(over).alias(f"__b_{n}") for n in values))  # a row a range
     within = Window.partitionBy("__p").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.select("*", *(F.sum(c).over(within).alias(f"__w_{n}") for n, c in sums.items())).join(F.broadcast(before), "__p")
-    return out.select(*rows.columns, *((F.col(f"__b_{n}") + F.col(f"__w_{n}")).alias(n) for n in sums))
+    out = rows.select("*", *(by(c).over(within).alias(f"__w_{n}") for n, c in values.items())).join(F.broadcast(before), "__p")
+    both = {F.sum: lambda b, w: F.coalesce(b, F.lit(0)) + w, F.max: F.greatest, F.min: F.least}[by]  # greatest and least pass over nulls
+    return out.select(*rows.columns, *(both(F.col(f"__b_{n}"), F.col(f"__w_{n}")).alias(n) for n in values))
 
 
 def grouped(df: DataFrame, key: str, parts: int | None = None, error: float | None = None) -> DataFrame:

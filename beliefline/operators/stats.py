@@ -85,21 +85,16 @@ def paired_roc(rows: DataFrame, first: str, second: str, label: str, key: str) -
 
 
 def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """name, p, adjusted, rejected: running maxima of (m - i) p. A family of tests is one group."""
-    m = F.count("*").over(Window.partitionBy())
-    order = Window.partitionBy().orderBy("p", "name")
-    raw = F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col("p"))
-    rows = tests.withColumn("__raw", raw)
-    rows = rows.withColumn("adjusted", F.max("__raw").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """name, p, adjusted, rejected: running maxima of (m - i) p over one family of tests, of any size."""
+    rows = placed(tests.select("name", "p"), F.col("p").asc(), F.col("name").asc()).crossJoin(F.broadcast(tests.agg(F.count("*").alias("__m"))))  # one row
+    rows = running(rows, {"adjusted": F.least(F.lit(1.0), (F.col("__m") - F.col("place")) * F.col("p"))}, by=F.max)
     return rows.select("name", "p", "adjusted", (F.col("adjusted") <= alpha).alias("rejected"))
 
 
 def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """name, p, adjusted, rejected: running minima of p m / rank from the largest p."""
-    m = F.count("*").over(Window.partitionBy())
-    up, down = Window.partitionBy().orderBy("p", "name"), Window.partitionBy().orderBy(F.desc("p"), F.desc("name"))
-    rows = tests.withColumn("__raw", F.least(F.lit(1.0), F.col("p") * m / F.row_number().over(up)))
-    rows = rows.withColumn("adjusted", F.min("__raw").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    """name, p, adjusted, rejected: running minima of p m / rank from the largest p, over one family of any size."""
+    rows = placed(tests.select("name", "p"), F.col("p").desc(), F.col("name").desc()).crossJoin(F.broadcast(tests.agg(F.count("*").alias("__m"))))  # one row
+    rows = running(rows, {"adjusted": F.least(F.lit(1.0), F.col("p") * F.col("__m") / (F.col("__m") - F.col("place")))}, by=F.min)
     return rows.select("name", "p", "adjusted", (F.col("adjusted") <= alpha).alias("rejected"))
 
 

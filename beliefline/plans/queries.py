@@ -122,9 +122,8 @@ def best_single_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.SEPARABILITY)
 def width_separability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _reports(spark, sf_dir)
-    values = [F.col(f"betp_{c}") for c in fusion.SCORES.values()]
-    rows = tidy(rows.select("candidate", (-F.col("width")).alias("w"), (F.greatest(*values) - F.least(*values)).alias("d"))).withColumn("concordant", F.col("d") <= 0.45)
+    rows = fusion.concordance_labels(_reports(spark, sf_dir), 0.45, digits=6)
+    rows = tidy(rows.select("candidate", (-F.col("width")).alias("w"), "concordant"))
     return tidy(metrics.auroc(rows, "w", "concordant"))
 
 

@@ -202,7 +202,8 @@ def reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.crossJoin(late).select("nodes", "edges", "metabolic", "candidates", "held_out", "late")
 
 
-@query("select 4125::bigint as records, 3735::bigint as retained, 278::bigint as insufficient_rna, 112::bigint as outcome_missing, 0::bigint as broken")
+@query("""with r as (select (i*104729+34909) % 4125 as place from range(4125) t(i))
+select count(*) as records, count(*) filter (place >= 278+112) as retained, count(*) filter (place < 278) as insufficient_rna, count(*) filter (place between 278 and 278+111) as outcome_missing, count(*) filter (place is null) as broken from r""")
 def reference_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = generators.cohort(spark)
     x = cohort.exclusion()
@@ -352,3 +353,40 @@ def alias_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("c"), c.cast("string"))
     first = customers.where(key % 3 != 0).select(name(key).alias("alias"), name(F.floor(key / 2)).alias("symbol"))
     return aliases.closure(first.unionByName(customers.where(key % 35 == 0).select(name(key).alias("alias"), name(F.floor(key / 5)).alias("symbol"))))
+
+
+#: A test a supplier: whether its mean quantity is far from all lines' mean, by Cantelli's bound on one side.
+_TESTS = """with g as (select avg(l_quantity + 0e0) as m, var_pop(l_quantity + 0e0) as v from lineitem),
+t as (select 'S' || l_suppkey as name, round(1e0/(1e0+count(*)*power(avg(l_quantity + 0e0)-max(m),2)/max(v)),9) as p from lineitem, g group by l_suppkey)"""
+
+
+def _supplier_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("name"), (F.col("l_quantity") + 0.0).alias("q"))
+    rows = lines.groupBy("name").agg(F.count("*").alias("n"), F.avg("q").alias("m")).crossJoin(F.broadcast(lines.agg(F.avg("q").alias("mean"), F.var_pop("q").alias("var"))))  # one row
+    return rows.select("name", F.round(1.0 / (1.0 + F.col("n") * (F.col("m") - F.col("mean")) ** 2 / F.col("var")), 9).alias("p"))
+
+
+@query(_TESTS + """, r as (select *, least(1e0,(count(*) over ()-row_number() over (order by p,name)+1)*p) as a from t), m as (select name, p, max(a) over (order by p,name) as adjusted from r)
+select name, round(p,6) as p, round(adjusted,6) as adjusted, adjusted <= 0.05e0 as rejected from m""")
+def supplier_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(stats.holm(_supplier_tests(spark, sf_dir)))
+
+
+@query(_TESTS + """, r as (select *, least(1e0,p*count(*) over ()/row_number() over (order by p,name)) as a from t), m as (select name, p, min(a) over (order by p desc,name desc) as adjusted from r)
+select name, round(p,6) as p, round(adjusted,6) as adjusted, adjusted <= 0.05e0 as rejected from m""")
+def supplier_false_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(stats.benjamini_hochberg(_supplier_tests(spark, sf_dir)))
+
+
+@query(O._AUDIT + """, s as (select count(*) as candidates, sum(cited) as cited, sum(grounded) as grounded from a)
+select candidates, cited::bigint as cited, grounded::bigint as grounded, round(grounded/cited::double,6) as grounded_rate, round(1e0-grounded/cited::double,6) as hallucinated_rate,
+(select count(*) from citations where in_ledger and value is not null and key is not null and candidate is not null) as complete_entries from s""")
+def provenance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "citations")
+    entries = rows.select("key", "candidate", F.when(F.col("in_ledger"), F.col("value")).alias("value"))
+    return tidy(metrics.provenance_summary(metrics.audit_citations(rows.select("candidate", "key"), rows.where("in_ledger").select("key")), entries, ["key", "candidate", "value"]))
+
+
+@query(ctes("scores") + " union all ".join(f" select '{m}' as modality, count(*) filter ({c} >= 0.5) as supporting, count(*) filter ({c} < 0.5) as opposing, count(*) filter ({c} is null) as absent from scores" for m, c in O.COLUMN.items()))
+def modality_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.support_counts(view(spark, sf_dir, "scores"))
