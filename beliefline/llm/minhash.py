@@ -26,7 +26,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import textkernels as K
 from .common import connected_components, drop_materialised, materialise
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 44, 5
 #: Ids that are broadcast at most (8 bytes each), so that only the texts asked for move; beyond, texts are joined by shuffles.
 FEW_IDS = 500_000
 
