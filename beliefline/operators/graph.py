@@ -61,7 +61,7 @@ def induced(edges: DataFrame, keep: DataFrame, key: str = "key") -> DataFrame:
 
 
 def census(edges: DataFrame, by: tuple[str, ...] = ("relation", "source_db")) -> DataFrame:
-    """dimension, value, n: counts by each column, as grouping sets over one scan."""
+    """dimension, value, n: counts by each column; a row counts once for every column, and tasks combine their counts first."""
     long = edges.unpivot([], list(by), "dimension", "value")
     return long.groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
