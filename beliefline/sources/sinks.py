@@ -34,6 +34,14 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
+def load_bundle(spark: SparkSession, path: str, *, phenotype: str, last: str) -> dict[str, DataFrame]:
+    """nodes, edges, pool (candidate: every gene, markers too) and held_out (candidate: genes whose edge to the phenotype is
+    dated after ``last``, dates compared as text) of a graph that save_graph() wrote."""
+    nodes, edges = load_graph(spark, path)
+    late = edges.where((F.col("dst") == phenotype) & (F.col("release_date") > last)).select(F.col("src").alias("candidate")).distinct()
+    return {"nodes": nodes, "edges": edges, "pool": nodes.where("kind = 'gene'").select(F.col("key").alias("candidate")).distinct(), "held_out": late}
+
+
 def write_atomic(spark: SparkSession, path: str, text: str) -> str:
     """UTF-8 text under a path of any Hadoop file system: written beside it, then renamed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
