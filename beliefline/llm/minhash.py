@@ -252,7 +252,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     heads = now.join(members.select("set_id", "mates"), "set_id").groupBy("key", "component").agg(F.max(F.struct("mates", "set_id")).alias("head"))
     tops = heads.groupBy("key").agg(F.max("head").alias("top"))
     again = heads.join(tops, "key").select(F.col("head.set_id").alias("a"), F.col("top.set_id").alias("b")).where("a <> b").distinct()
-    component = materialise(merged(component, confirmed(again, inner)), "components")
+    found = confirmed(again, inner)
+    if not found.isEmpty():
+        component = materialise(merged(component, found), "components")
     drop_materialised(now)
     # what is still apart: for each set and other component the likeliest candidate, then all that are left
     now = apart(component)
@@ -260,7 +262,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     possible = materialise(candidates(inside, inner.join(inside.select("set_id"), "set_id", "left_semi"), k=k, percent=percent), "candidates")
     likeliest = possible.groupBy("a", "component_a", "component_b").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
     likeliest = likeliest.groupBy("b", "component_a", "component_b").agg(F.min("a").alias("a"))
-    component = materialise(merged(component, confirmed(likeliest, inner)), "components")
+    found = confirmed(likeliest, inner)
+    if not found.isEmpty():
+        component = materialise(merged(component, found), "components")
     own = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}"))
     left = possible.join(own("a"), "a", "left").join(own("b"), "b", "left").where("coalesce(now_a, a) <> coalesce(now_b, b)").join(likeliest, ["a", "b"], "left_anti")
     late = confirmed(left.select("a", "b"), inner)
