@@ -4,7 +4,8 @@ A document's words are lower-cased (A-Z) runs of anything but ASCII white space;
 five-word shingles, or the whole sequence where it is shorter. Documents with equal sets collapse to one node first,
 so groups of copies of any size cost one row after a map-side combine. Each distinct set gets ``bands * rows`` bins
 of one permutation; an empty bin copies the first non-empty one of its own random order (optimal densification), so
-each bin still collides with the probability of the Jaccard similarity. Buckets that hold two sets or more propose
+each bin still collides with the probability of the Jaccard similarity. A band's bucket holds only sets of sizes that may
+link: a set stands in two of them, by classes of size. Buckets that hold two sets or more propose
 star-shaped edges, one a set: to that of its bucket mates that has the most mates in all, which is near the middle of
 its group. Full sets confirm them exactly, and links contract; components that still share a bucket propose one more
 edge each. Sets in buckets whose members are then apart meet in an exact join: shingles are ordered by how many of those
@@ -15,11 +16,12 @@ ruled out by a bound or by their full sets, and texts made of one template cost
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -100,6 +102,13 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def size_classes(n: Column, percent: int) -> Column:
+    """Two numbers for a set's size; sets that may link share one. Sizes of linked sets differ by a factor of
+    100 / percent at most, less than the width of a class, so their classes are the same or next to each other."""
+    c = F.floor(F.log(n.cast("double")) / math.log(100.5 / percent))
+    return F.array(c, c + 1)
+
+
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,13 +225,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = sets.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     banded = sets.select("set_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = materialise(banded.join(shared, "key"), "buckets")
+    sized = banded.join(shared.select("key"), "key").join(sets.select("set_id", "n_shingles"), "set_id")
+    sized = sized.select("set_id", "key", F.explode(size_classes(F.col("n_shingles"), percent)).alias("size")).select("set_id", F.xxhash64("key", "size").alias("key"))
+    sized = materialise(sized, "sized")
+    buckets = materialise(sized.join(sized.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
+    drop_materialised(sized)
     # the first stars: each set meets the one of its bucket mates with the most mates in all, the middle of its group
     mates = buckets.groupBy("set_id").agg(F.sum("n").alias("mates"))
     ranked = buckets.join(mates, "set_id").select("key", "set_id", F.struct("mates", "set_id").alias("rank"))
     hubs = ranked.join(ranked.groupBy("key").agg(F.max("rank").alias("top")), "key").groupBy("set_id").agg(F.max("top")["set_id"].alias("hub")).where("set_id <> hub")
     members = materialise(mates.join(sets, "set_id").select("set_id", "rep", "n_shingles", "mates"), "members")
-    texts = read.join(members.select("set_id", F.col("rep").alias("doc_id")), "doc_id").select("set_id", "text")
+    reps = members.select("set_id", F.col("rep").alias("doc_id"))
+    texts = read.join(F.broadcast(reps.select("doc_id")), "doc_id", "left_semi") if reps.count() <= FEW_IDS else read
+    texts = texts.join(reps, "doc_id").select("set_id", "text")
     texts = texts.mapInArrow(_texts(k), "set_id long, text string")
     again = marked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     texts = materialise(texts if again.isEmpty() else texts.dropDuplicates(["set_id"]), "texts")  # only rows that repeat an id repeat a set
