@@ -67,11 +67,15 @@ def occurrences(words: K.Words, k: int = K_WORDS, window: int = WINDOW) -> tuple
 def minimisers(words: K.Words, k: int = K_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(seed, row, first place, last place), distinct in each row."""
     h, row, place = occurrences(words, k, window)
-    order = np.lexsort((place, h, row))
+    order = np.argsort(h)
+    order = order[np.argsort(row[order].astype(np.uint16) if len(words.counts) < 1 << 16 else row[order], kind="stable")]  # 16 bits by radix
     h, row, place = h[order], row[order], place[order]
-    edge = np.ones(len(h) + 1, bool)
-    edge[1:-1] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[edge[:-1]], row[edge[:-1]], place[edge[:-1]], place[edge[1:]]
+    edge = np.ones(len(h), bool)
+    edge[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(edge)
+    if not len(at):
+        return h, row, place, place
+    return h[at], row[at], np.minimum.reduceat(place, at), np.maximum.reduceat(place, at)
 
 
 def _seeds(ids: pa.DataType, k: int, window: int):
@@ -187,19 +191,21 @@ def edit_distance(a: list, b: list) -> int:
 
 def _extend(a: np.ndarray, b: np.ndarray, drop: int = 3) -> tuple[int, int]:
     """(words, errors) that a and b run on alike: words score 1 or -1; ends once the score has fallen by drop."""
-    size = 64
-    while True:
-        same = a[:size] == b[:size]
-        score = np.cumsum(np.where(same, 1, -1))
-        top = np.maximum(np.maximum.accumulate(score), 0) if len(score) else score
-        over = np.flatnonzero(score <= top - drop)
-        if len(over) or size >= len(a):
-            end = int(over[0]) if len(over) else len(score)
-            if not end or score[:end].max() <= 0:
-                return 0, 0
-            words = int(np.argmax(score[:end])) + 1
-            return words, int((~same[:words]).sum())
-        size *= 4
+    score = top = words = errors = wrong = at = 0
+    size = 16
+    while at < len(a):
+        for same in (a[at : at + size] == b[at : at + size]).tolist():
+            at += 1
+            if same:
+                score += 1
+                if score > top:
+                    top, words, errors = score, at, wrong
+            else:
+                score, wrong = score - 1, wrong + 1
+                if score <= top - drop:
+                    return words, errors
+        size = min(4 * size, 4096)
+    return words, errors
 
 
 def passages(
@@ -255,15 +261,23 @@ def _slices(ids: pa.DataType, slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in K.text_blocks(batch):
+                # rows of a join on the text's id: what is asked of one text stands together, and its words are made once
+                digest, size = part.column(4).to_numpy(), np.diff(offsets)
+                new = np.ones(len(digest), bool)
+                new[1:] = (digest[1:] != digest[:-1]) | (size[1:] != size[:-1])
+                text, once = np.cumsum(new) - 1, np.flatnonzero(new)
+                data = data[K.ragged(offsets[once], size[once])]
+                offsets = np.concatenate([[0], np.cumsum(size[once])])
                 words = K.Words(data, offsets, lower=True)
                 low = np.maximum(part.column(5).to_numpy() - slack, 0)
-                high = np.minimum(part.column(6).to_numpy() + slack, words.counts) - 1
+                high = np.minimum(part.column(6).to_numpy() + slack, words.counts[text]) - 1
                 good = np.flatnonzero(high >= low)  # an id may stand on a shorter text too
-                a, b = words.starts[words.first[good] + low[good]], words.ends[words.first[good] + high[good]]
+                of = text[good]
+                a, b = words.starts[words.first[of] + low[good]], words.ends[words.first[of] + high[good]]
                 at = np.concatenate([[0], np.cumsum(b - a)])
                 texts = pa.Array.from_buffers(pa.string(), len(good), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[K.ragged(a, b - a)])])
                 take = pa.array(good)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(5)), pa.array(low[good].astype(np.int64)), pa.array(a - offsets[good]), texts], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(5)), pa.array(low[good].astype(np.int64)), pa.array(a - offsets[of]), texts], schema=schema)
 
     return run
 
@@ -368,7 +382,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     arrow, name = to_arrow_type(kind), kind.simpleString()
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     seeds = materialise(read.mapInArrow(_seeds(arrow, k, window), f"doc_id {name}, seed long, low int, high int"), "seeds")
-    least = seeds.groupBy("seed").agg(F.min("doc_id").alias("source_doc_id"), F.max("doc_id").alias("last"), F.count("*").cast("int").alias("holders")).where("source_doc_id < last").drop("last")
+    least = seeds.groupBy("seed").agg(F.min("doc_id").alias("source_doc_id"), F.count("*").cast("int").alias("holders")).where("holders > 1")
     held = materialise(seeds.join(least, "seed"), "held")
     drop_materialised(seeds)
     later = held.where("doc_id <> source_doc_id")
