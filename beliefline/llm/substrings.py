@@ -181,6 +181,10 @@ def chains(parts: list[tuple[int, int, int]], cost: float = GAP_COST) -> list[li
 
 
 def edit_distance(a: list, b: list) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < 2:  # most gaps
+        return len(b) - (len(a) == 1 and a[0] in b)
     row = list(range(len(b) + 1))
     for i, u in enumerate(a, 1):
         corner, row[0] = row[0], i
@@ -232,20 +236,20 @@ def passages(
         run: list[tuple[int, int, int]] = []
         for part in [*chain, None]:
             if run and (part is None or part[0] - run[-1][0] - run[-1][2] > max_gap or part[1] - run[-1][1] - run[-1][2] > max_gap):
-                errors = 0
-                for (x, y, n), (u, v, _) in zip(run, run[1:], strict=False):
-                    errors += edit_distance(a[x + n : u].tolist(), b[y + n : v].tolist())
                 x0, y0 = run[0][:2]
                 x1, y1 = run[-1][0] + run[-1][2], run[-1][1] + run[-1][2]
                 n = min(x0, y0)
                 more, wrong = _extend(a[x0 - n : x0][::-1], b[y0 - n : y0][::-1])
-                x0, y0, errors = x0 - more, y0 - more, errors + wrong
+                x0, y0, errors = x0 - more, y0 - more, wrong
                 n = min(len(a) - x1, len(b) - y1)
                 more, wrong = _extend(a[x1 : x1 + n], b[y1 : y1 + n])
                 x1, y1, errors = x1 + more, y1 + more, errors + wrong
-                identity = 1 - errors / max(x1 - x0, y1 - y0)
-                if x1 - x0 >= min_words and identity >= min_identity:
-                    out.append((x0, x1, y0, y1, identity))
+                if x1 - x0 >= min_words:
+                    for (x, y, n), (u, v, _) in zip(run, run[1:], strict=False):
+                        errors += edit_distance(a[x + n : u].tolist(), b[y + n : v].tolist())
+                    identity = 1 - errors / max(x1 - x0, y1 - y0)
+                    if identity >= min_identity:
+                        out.append((x0, x1, y0, y1, identity))
                 run = []
             if part:
                 run.append(part)

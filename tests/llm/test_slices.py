@@ -49,3 +49,16 @@ def test_extension_ends_at_the_first_best_score():
             if score <= top - 3:
                 break
         assert substrings._extend(a, b) == (words, int((a[:words] != b[:words]).sum()))
+
+
+def test_short_gaps_need_no_table():
+    rng = np.random.default_rng(6)
+
+    def plain(a, b):
+        if not a or not b:
+            return len(a) + len(b)
+        return min(plain(a[1:], b) + 1, plain(a, b[1:]) + 1, plain(a[1:], b[1:]) + (a[0] != b[0]))
+
+    for _ in range(300):
+        a, b = (rng.integers(0, 3, int(rng.integers(0, 5))).tolist() for _ in range(2))
+        assert substrings.edit_distance(a, b) == plain(a, b)
