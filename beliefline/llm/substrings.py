@@ -79,13 +79,15 @@ def minimisers(words: K.Words, k: int = K_WORDS, window: int = WINDOW) -> tuple[
 
 
 def _seeds(ids: pa.DataType, k: int, window: int):
-    schema = pa.schema([("doc_id", ids), ("seed", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+    """(doc_id, seed, span): the first place in the span's low 32 bits, how far the last one is from it in the others. As
+    every seed moves twice, a row is as narrow as can be."""
+    schema = pa.schema([("doc_id", ids), ("seed", pa.int64()), ("span", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in K.text_blocks(batch):
                 h, row, low, high = minimisers(K.Words(data, offsets, lower=True), k, window)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array((high - low << 32) + low)], schema=schema)
 
     return run
 
@@ -113,37 +115,65 @@ class Fenwick:
         return value, item
 
 
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, x in that order), equal values by their place: a fast sort, and a second one of the ties alone."""
+    order = np.argsort(x)
+    ranked = x[order]
+    tie = np.zeros(len(x), bool)
+    tie[1:] = ranked[1:] == ranked[:-1]
+    tie[:-1] |= tie[1:]
+    at = np.flatnonzero(tie)
+    order[at] = order[at][np.lexsort((order[at], ranked[at]))]
+    return order, ranked
+
+
 def matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of equal values: the j-th occurrence in a goes with the j-th in b, or with b's last."""
     if not len(a) or not len(b):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    sa, sb = a[oa], b[ob]
-    low, high = np.searchsorted(sb, sa, "left"), np.searchsorted(sb, sa, "right")
+    (oa, sa), (ob, sb) = _ranked(a), _ranked(b)
+    new = np.ones(len(sa), bool)
+    new[1:] = sa[1:] != sa[:-1]
+    head = np.flatnonzero(new)
+    n = np.diff(np.append(head, len(sa)))
+    low, high = np.searchsorted(sb, sa[head], "left"), np.searchsorted(sb, sa[head], "right")
     found = high > low
-    nth = np.arange(len(sa)) - np.searchsorted(sa, sa, "left")
-    x, y = oa[found], ob[np.minimum(low + nth, high - 1)[found]]
-    order = np.argsort(x)
-    return x[order], y[order]
+    head, n, low, high = head[found], n[found], low[found], high[found]
+    at = K.ragged(head, n)
+    other = np.minimum(at + np.repeat(low - head, n), np.repeat(high, n) - 1)
+    partner = np.full(len(a), -1)
+    partner[oa[at]] = ob[other]
+    x = np.flatnonzero(partner >= 0)
+    return x, partner[x]
 
 
-def segments(x: np.ndarray, y: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(x, y, words) of the runs of matches along a diagonal."""
+def segments(pair: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(pair, x, y, words) of the runs of matches along a diagonal, of matches by pair and x."""
     if not len(x):
-        return []
-    cut = np.flatnonzero((np.diff(x) != 1) | (np.diff(y) != 1)) + 1
+        return pair, x, y, x
+    cut = np.flatnonzero((np.diff(x) != 1) | (np.diff(y) != 1) | (np.diff(pair) != 0)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(x)]]) - 1
-    return list(zip(x[first].tolist(), y[first].tolist(), (x[last] - x[first] + k).tolist(), strict=True))
-
-
-def diagonal_runs(a: np.ndarray, b: np.ndarray, diagonal: int, k: int) -> list[tuple[int, int, int]]:
-    """(x, y, words) of the runs of k words or more that agree where y = x - diagonal."""
-    low, high = max(0, diagonal), min(len(a), len(b) + diagonal)
-    if high - low < k:
-        return []
-    same = np.concatenate([[False], a[low:high] == b[low - diagonal : high - diagonal], [False]])
-    turn = np.flatnonzero(same[1:] != same[:-1])
-    return [(low + x, low + x - diagonal, z - x) for x, z in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True) if z - x >= k]
+    return pair[first], x[first], y[first], x[last] - x[first] + k
+
+
+def diagonal_runs(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, pair: np.ndarray, diagonal: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(pair, x, y, words) of the runs of k words or more that agree where y = x - diagonal: a and b are where the
+    texts of each pair begin in hashes, na and nb their words. Pieces of a million words, or one diagonal."""
+    low = np.maximum(diagonal, 0)
+    n = np.minimum(na[pair], nb[pair] + diagonal) - low
+    good = n >= k
+    pair, diagonal, low, n = pair[good], diagonal[good], low[good], n[good]
+    for i, j in K.chunks(np.concatenate([[0], np.cumsum(n)])):
+        p, d, x, m = pair[i:j], diagonal[i:j], low[i:j], n[i:j]
+        begin = np.cumsum(m + 1) - m  # with a word that differs between two diagonals
+        same = np.zeros(begin[-1] + m[-1] + 1, bool)
+        same[K.ragged(begin, m)] = hashes[K.ragged(a[p] + x, m)] == hashes[K.ragged(b[p] + x - d, m)]
+        turn = np.flatnonzero(same[1:] != same[:-1]) + 1
+        start, size = turn[::2], turn[1::2] - turn[::2]
+        start, size = start[size >= k], size[size >= k]
+        line = np.searchsorted(begin, start, "right") - 1
+        x = x[line] + start - begin[line]
+        yield p[line], x, x - d[line], size
 
 
 def chains(parts: list[tuple[int, int, int]], cost: float = GAP_COST) -> list[list[tuple[int, int, int]]]:
@@ -220,19 +250,60 @@ def passages(
     Runs of common words on the given diagonals are segments whatever else their k-mers match; of the others, the j-th
     occurrence of a k-mer goes with the j-th in b.
     """
-    if len(a) < min_words or len(b) < min_words:
-        return []
-    if len(a) == len(b) and (a == b).all():
-        return [(0, len(a), 0, len(b), 1.0)]
+    first, lines = np.array([0, len(a), len(a) + len(b)]), np.array(diagonals, np.int64)
+    found = passages_of_pairs(
+        np.concatenate([a, b]), first, np.array([0]), np.array([1]), np.zeros(len(lines), np.int64), lines, k=k, min_words=min_words, min_identity=min_identity, max_gap=max_gap
+    )
+    return [p[1:] for p in found]
+
+
+def passages_of_pairs(
+    hashes: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray, diagonals: np.ndarray,
+    *, k: int = K_WORDS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, max_gap: int = MAX_GAP,
+) -> list[tuple[int, int, int, int, int, float]]:
+    """(pair, *passage) as passages() has them for each pair of texts, a[i] with b[i]. Text j is the words from first[j] to
+    first[j + 1] of hashes; diagonals are those of the pairs in of. Segments are found for all pairs at once."""
+    size = np.diff(first)
+    wide = (size[a] >= min_words) & (size[b] >= min_words)
+    equal = np.flatnonzero(wide & (size[a] == size[b]))
+    if len(equal):
+        n = size[a[equal]]
+        alike = hashes[K.ragged(first[a[equal]], n)] == hashes[K.ragged(first[b[equal]], n)]
+        equal = equal[np.logical_and.reduceat(alike, np.cumsum(n) - n)]
+        wide[equal] = False
+    out = [(p, 0, n, 0, n, 1.0) for p, n in zip(equal.tolist(), size[a[equal]].tolist(), strict=True)]
+    rest = np.flatnonzero(wide)
+    if not len(rest):
+        return out
+    at_a, at_b, na, nb = first[a[rest]], first[b[rest]], size[a[rest]], size[b[rest]]
+    kmers = sum((hashes[j : len(hashes) - k + 1 + j] * K._STEP[j] for j in range(k)), np.zeros(len(hashes) - k + 1, np.uint64))
+    ia, ib = K.ragged(at_a, na - k + 1), K.ragged(at_b, nb - k + 1)
+    pa, pb = np.repeat(np.arange(len(rest)), na - k + 1), np.repeat(np.arange(len(rest)), nb - k + 1)
+    # a k-mer matches in its own pair alone
+    x, y = matches(kmers[ia] + pa.astype(np.uint64) * K._STEP[k], kmers[ib] + pb.astype(np.uint64) * K._STEP[k])
+    p = pa[x]
+    parts = [segments(p, ia[x] - at_a[p], ib[y] - at_b[p], k)]
+    slot = np.full(len(a), -1)
+    slot[rest] = np.arange(len(rest))
+    asked = slot[of] >= 0
+    parts += diagonal_runs(hashes, at_a, at_b, na, nb, slot[of[asked]], diagonals[asked], k)
+    table = np.stack([np.concatenate(c) for c in zip(*parts, strict=True)])
+    table = table[:, np.lexsort(table[::-1])]
+    new = np.ones(table.shape[1], bool)
+    new[1:] = (table[:, 1:] != table[:, :-1]).any(axis=0)
+    table = table[:, new]
+    edges = np.searchsorted(table[0], np.arange(len(rest) + 1)).tolist()
+    rows = list(zip(*table[1:].tolist(), strict=True))
+    for i, (pair, u, v, m, n) in enumerate(zip(rest.tolist(), at_a.tolist(), at_b.tolist(), na.tolist(), nb.tolist(), strict=True)):
+        if edges[i + 1] > edges[i]:
+            out += [(pair, *p) for p in _chained(hashes[u : u + m], hashes[v : v + n], rows[edges[i] : edges[i + 1]], min_words, min_identity, max_gap)]
+    return out
 
-    def kmers(w: np.ndarray) -> np.ndarray:
-        return sum((w[j : len(w) - k + 1 + j] * K._STEP[j] for j in range(k)), np.zeros(len(w) - k + 1, np.uint64))
 
-    parts = set(segments(*matches(kmers(a), kmers(b)), k))
-    for d in diagonals:
-        parts.update(diagonal_runs(a, b, d, k))
+def _chained(a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int, int]], min_words: int, min_identity: float, max_gap: int) -> list[tuple[int, int, int, int, float]]:
+    """The passages that chains of the segments of a and b extend to."""
     out = []
-    for chain in chains(sorted(parts)):
+    for chain in chains(parts):
         run: list[tuple[int, int, int]] = []
         for part in [*chain, None]:
             if run and (part is None or part[0] - run[-1][0] - run[-1][2] > max_gap or part[1] - run[-1][1] - run[-1][2] > max_gap):
@@ -294,30 +365,37 @@ def _align(ids: pa.DataType, options: dict):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, documents = None, []
+        pair, kept = None, []  # the documents of the block's last pair: (digest, first word, diagonals, hashes, starts, ends)
         for batch in batches:
-            rows, found = [], []
-            doc, source, side = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            diagonals, digest, word, byte = batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist()
-            r = 0
             for part, data, offsets in K.text_blocks(batch):
                 words = K.Words(data, offsets, lower=True)
-                for n in range(part.num_rows):
-                    lo, hi = words.first[n], words.first[n + 1]
-                    if (doc[r], source[r]) != pair:
-                        pair, documents = (doc[r], source[r]), []
-                    if not side[r]:
-                        begin = byte[r] - int(offsets[n])
-                        documents.append((digest[r], word[r], diagonals[r].as_py() or (), words.hashes[lo:hi].copy(), words.starts[lo:hi] + begin, words.ends[lo:hi] + begin))
-                    for digest_of, first, lines, hashes, starts, ends in documents if side[r] else ():
-                        shift = first - word[r]
-                        for p in passages(hashes, words.hashes[lo:hi], diagonals=tuple(d - shift for d in lines), **options):
-                            rows.append(r)
-                            found.append((digest_of, first + p[0], first + p[1], word[r] + p[2], word[r] + p[3], int(starts[p[0]]), int(ends[p[1] - 1]), p[4]))
-                    r += 1
-            if rows:
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(list(c), f.type) for c, f in zip(zip(*found, strict=True), list(schema)[2:], strict=True))], schema=schema)
+                shift = np.repeat(part.column(6).to_numpy() - offsets[:-1], words.counts)
+                digests, firsts, lines, hashes, starts, ends = ([x[c] for x in kept] for c in range(6))
+                first = np.cumsum([0, *map(len, hashes), *words.counts])
+                hashes, starts, ends = np.concatenate([*hashes, words.hashes]), np.concatenate([*starts, words.starts + shift]), np.concatenate([*ends, words.ends + shift])
+                digest, word = (np.concatenate([np.array(x, np.int64), part.column(c).to_numpy()]) for x, c in ((digests, 4), (firsts, 5)))
+                n_lines = np.concatenate([np.array([*map(len, lines)], np.int64), part.column(3).value_lengths().fill_null(0).to_numpy()])
+                lines = np.concatenate([*lines, part.column(3).flatten().to_numpy()])
+                line = np.concatenate([[0], np.cumsum(n_lines)])
+                documents, a, b = list(range(len(kept))), [], []
+                for r, (doc, source, side) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True), len(kept)):
+                    if (doc, source) != pair:
+                        pair, documents = (doc, source), []
+                    if not side:
+                        documents.append(r)
+                    else:
+                        a += documents
+                        b += [r] * len(documents)
+                a, b = np.array(a, np.int64), np.array(b, np.int64)
+                of = np.repeat(np.arange(len(a)), n_lines[a])
+                diagonals = lines[K.ragged(line[a], n_lines[a])] - (word[a] - word[b])[of]
+                found = passages_of_pairs(hashes, first, a, b, of, diagonals, **options)
+                if found:
+                    p, x0, x1, y0, y1 = (np.array(c, np.int64) for c in list(zip(*found, strict=True))[:5])
+                    a, b, take = a[p], b[p], pa.array(b[p] - len(kept))
+                    columns = (digest[a], word[a] + x0, word[a] + x1, word[b] + y0, word[b] + y1, starts[first[a] + x0], ends[first[a] + x1 - 1], np.array([f[5] for f in found]))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *map(pa.array, columns)], schema=schema)
+                kept = [(digest[d], word[d], lines[line[d] : line[d + 1]], *(c[first[d] : first[d + 1]].copy() for c in (hashes, starts, ends))) for d in documents]
 
     return run
 
@@ -385,9 +463,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType
     arrow, name = to_arrow_type(kind), kind.simpleString()
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    seeds = materialise(read.mapInArrow(_seeds(arrow, k, window), f"doc_id {name}, seed long, low int, high int"), "seeds")
+    seeds = materialise(read.mapInArrow(_seeds(arrow, k, window), f"doc_id {name}, seed long, span long"), "seeds")
     least = seeds.groupBy("seed").agg(F.min("doc_id").alias("source_doc_id"), F.count("*").cast("int").alias("holders")).where("holders > 1")
-    held = materialise(seeds.join(least, "seed"), "held")
+    low = F.expr("cast(span & 4294967295 as int)").alias("low")
+    held = seeds.join(least, "seed").select("seed", "doc_id", low, (low + F.expr("cast(shiftright(span, 32) as int)")).alias("high"), "source_doc_id", "holders")
+    held = materialise(held, "held")
     drop_materialised(seeds)
     later = held.where("doc_id <> source_doc_id")
     placed = later.join(held.where("doc_id = source_doc_id").select("seed", F.col("low").alias("at")), "seed")
@@ -400,8 +480,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     inside = f"coalesce(exists(spans, x -> x.start_word <= low and x.end_word >= high + {k}), false)"
     marked = later.join(covered, "doc_id", "left").select("doc_id", "seed", F.explode(F.array_distinct(F.array("low", "high"))).alias("place"), F.expr(f"not {inside}").alias("open"))
     # a run that holds an uncovered seed begins with one that may be covered
-    ahead = Window.partitionBy("doc_id").orderBy("place").rangeBetween(0, length - k)
-    open_seeds = marked.withColumn("open", F.max("open").over(ahead)).where("open").select("seed").distinct()
+    ahead = Window.partitionBy("doc_id").orderBy(F.desc("place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    open_seeds = marked.withColumn("next", F.min(F.expr("if(open, place, null)")).over(ahead)).where(f"next <= place + {length - k}").select("seed").distinct()
     places = held.join(open_seeds, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
     keys = places.join(read.hint("merge"), "doc_id").select("doc_id", "seeds", "text").mapInArrow(_keys(arrow, k, window, length), f"key long, doc_id {name}, place int, whole boolean")
     keys = materialise(keys, "keys")

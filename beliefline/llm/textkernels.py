@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,10 +89,10 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
 
 
 class Words:
-    """Words of a block of rows: starts and ends in data, the first word of each row (n + 1), hashes."""
+    """Words of a block of rows: starts and ends in data, the first word of each row (n + 1), hashes (made when asked for)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self.lower = data, offsets, lower
         solid = ~_SPACE[data]
         before = np.zeros(len(data), bool)
         before[1:] = solid[:-1]
@@ -105,7 +105,10 @@ class Words:
         self.ends = np.flatnonzero(solid & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets, "left")
         self.counts = np.diff(self.first)
-        self.hashes = hash_spans(data, self.starts, self.ends, _LOWER_BYTE if lower else _BYTE)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return hash_spans(self.data, self.starts, self.ends, _LOWER_BYTE if self.lower else _BYTE)
 
     def row(self) -> np.ndarray:
         """The row of each word."""
